@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, quality_rules, secrets
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op9_secret_scan": secrets.op9_secret_scan,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op9_secret_scan": secrets.ORACLE,
 }
