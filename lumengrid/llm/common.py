@@ -73,3 +73,40 @@ def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def map_texts(docs: DataFrame, score: Callable[[list], dict], added: str) -> DataFrame:
+    """Appends the columns named in the schema string added, which score makes from each batch of texts.
+
+    Columns of docs with those names are replaced. Runs in Arrow batches, on whole texts.
+    """
+    import pyarrow as pa
+
+    new = [x.split()[0] for x in added.split(",")]
+    docs = docs.select(*(c for c in docs.columns if c not in new))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            found = score(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c]) for c in new)], [*names, *new])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, {added}")
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About most of the rows, chosen by a hash of their key; all of them if they are fewer."""
+    n = rows.count()
+    share = min(1.0, most / max(1, n))
+    return rows if share == 1 else rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, r: int, most: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of the labelled documents to learn from, about most of them.
+
+    Rows whose remainder modulo n is r are left out. Of several labels of one id the largest counts.
+    """
+    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), n, r))
+    chosen = sampled(wanted.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), "doc_id", most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has about most rows at the most
