@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality_rules, secrets
+from . import decontaminate, language, line_dedup, quality, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
+    "op8_language": language.op8_language,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
 
