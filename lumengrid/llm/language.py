@@ -86,8 +86,8 @@ def fit(docs: DataFrame, n: int = 5, r: int = 0, most: int = TRAIN_DOCS) -> dict
         got = sorted((x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda x: (x[3], x[0]))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train([x[1:3] for x in got]))] if got else [], pa.binary())})
 
-    got = rows.withColumn("h", F.xxhash64("doc_id")).repartition(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(got.model) if got else None
+    got = rows.withColumn("h", F.xxhash64("doc_id")).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else None
 
 
 def language(docs: DataFrame, n: int = 5, r: int = 0) -> DataFrame:

@@ -86,8 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = 4, r: int = 2, most: int =
         found.sort(key=lambda x: x[0])  # the same order however Spark deals the rows
         yield pa.RecordBatch.from_pydict({"weights": pa.array([train([x[1:] for x in found]).tobytes()], pa.binary())})
 
-    got = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "weights binary").first()
-    return np.frombuffer(got.weights, np.float32) if got else np.zeros(DIM, np.float32)
+    got = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "weights binary").collect()
+    return np.frombuffer(got[0].weights, np.float32) if got else np.zeros(DIM, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

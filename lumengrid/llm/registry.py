@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, quality, quality_rules, secrets, simhash, toxicity
+from . import decontaminate, language, line_dedup, mixing_lm, quality, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_mixing_lm": mixing_lm.op7_mixing_lm,
     "op8_language": language.op8_language,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
