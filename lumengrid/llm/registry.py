@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing_lm, quality, quality_rules, secrets, simhash, toxicity
+from . import decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mixing_lm": mixing_lm.op7_mixing_lm,
     "op8_language": language.op8_language,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
