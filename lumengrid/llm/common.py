@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumengrid.session import materialise as keep
+from lumengrid.session import scratch, table
+
+__all__ = ["ascii_lower", "held_out", "id_or_last", "keep", "labelled", "let", "map_texts", "pieces", "remainder", "sampled", "scratch", "sha256", "small", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest id: rows without a doc_id sort behind all others.
 NO_ID = 9223372036854775807
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a fresh folder in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared scratch folder and reads it back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
