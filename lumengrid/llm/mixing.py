@@ -70,8 +70,8 @@ def features(text: Column, spoken: dict[str, list[str]]) -> Column:
         capitals = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
         repeated = n - F.size(F.array_distinct(w))
         bins = [_log_bin(n, 8.0), _log_bin(marks / chars, 0.002), _log_bin(capitals / chars, 0.002), _log_bin(repeated / F.greatest(n, F.lit(1)), 0.02), _log_bin(chars / F.greatest(n, F.lit(1)), 0.5)]
-        bins += [F.least(F.lit(BINS - 1), F.size(F.array_intersect(_stems(w), F.array(*map(F.lit, stems))))) if stems else F.lit(0) for stems in spoken.values()]
-        return F.struct(n.cast("bigint").alias("n_words"), F.array(*bins).alias("bins"))
+        heard = lambda own: F.array(*(F.least(F.lit(BINS - 1), F.size(F.array_intersect(own, F.array(*map(F.lit, stems))))) if stems else F.lit(0) for stems in spoken.values()))
+        return F.struct(n.cast("bigint").alias("n_words"), F.concat(F.array(*bins), let(_stems(w), heard)).alias("bins"))
 
     return let(pieces(t, BLANK), of)
 
