@@ -22,9 +22,9 @@ from .common import held_out, labelled, map_texts, table
 #: Labelled documents to learn from, at most about so many.
 TRAIN_DOCS = 12_000
 #: Lengths of word beginnings; the whole word is the last link of the chain.
-PREFIXES = (2, 3, 4)
+PREFIXES = (3, 4, 5)
 PRIOR = 4.0  # documents that the shorter beginning's estimate counts as
-LEAST_DOCS, LEAST_Z = 4, 3.5  # evidence for a toxic entry
+LEAST_DOCS, LEAST_Z = 4, 2.5  # evidence for a toxic entry
 DRIFT = 1.0
 SIGNIFICANT = 0.05
 #: Entries of the table of toxic words, by evidence; they are sent to every task.
@@ -36,19 +36,19 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def links(word: str) -> list[str]:
+def links(word: str, prefixes: tuple[int, ...] = PREFIXES) -> list[str]:
     """The word's beginnings and, last, the word itself as `word$`."""
-    return [word[:n] for n in PREFIXES if len(word) >= n] + [word + "$"]
+    return [word[:n] for n in prefixes if len(word) >= n] + [word + "$"]
 
 
 class WordScores(dict):
     """Log-odds less drift of a word, from the longest link with evidence; words without any get minus drift."""
 
-    def __init__(self, entries: dict[str, float], drift: float):
-        self.entries, self.drift = entries, drift
+    def __init__(self, entries: dict[str, float], drift: float, prefixes: tuple[int, ...] = PREFIXES):
+        self.entries, self.drift, self.prefixes = entries, drift, prefixes
 
     def __missing__(self, word: str) -> float:
-        found = [self.entries[x] for x in links(word) if x in self.entries]
+        found = [self.entries[x] for x in links(word, self.prefixes) if x in self.entries]
         score = (found[-1] if found else 0.0) - self.drift
         if len(self) < 500_000:
             self[word] = score
@@ -106,15 +106,15 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     return a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r: int = 0, most: int = TRAIN_DOCS) -> dict:
-    """The model: entries (link to log-odds), lam, k, slope, intercept. Documents with odd hashes calibrate what the others taught."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r: int = 0, most: int = TRAIN_DOCS, prefixes: tuple[int, ...] = PREFIXES) -> dict:
+    """The model: entries (link to log-odds), prefixes, lam, k, slope, intercept. Documents with odd hashes calibrate what the others taught."""
     rows = labelled(docs, labels, label, n, r, most).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
 
     def counted(batches):
         for batch in batches:
             tokens, classes = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {x for w in set(words(text)) for x in links(w)} | {""}
+                own = {x for w in set(words(text)) for x in links(w, prefixes)} | {""}
                 tokens += own
                 classes += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(classes, pa.int32())], ["token", "label"])
@@ -132,12 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r:
     entries = {}
     for token in seen:
         q = 1 / (1 + math.exp(-base))
-        for link in links(token[:-1]) if token.endswith("$") else [token[:n] for n in PREFIXES if n <= len(token)]:
+        for link in links(token[:-1], prefixes) if token.endswith("$") else [token[:n] for n in prefixes if n <= len(token)]:
             if link in seen:
                 t, u = seen[link]
                 q = (t + PRIOR * q) / (t + u + PRIOR)
         entries[token] = math.log(q / (1 - q)) - base
-    memo = WordScores(entries, DRIFT)
+    memo = WordScores(entries, DRIFT, prefixes)
 
     kept: list[tuple[int, np.ndarray]] = []
     for x in rows.where("half").select("text", "label").mapInArrow(_squeezed(memo), "label int, n int, at array<int>, s array<double>").toLocalIterator():
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r:
     k = (len(best) + 1) / (1 + sum(n * math.exp(-lam * s) for n, s in best))
     x = np.array([math.log1p(evidence(s, lam, k)[0]) for _, s in kept])
     slope, intercept = platt(x, np.array([y for y, _ in kept], float)) if kept else (1.0, -2.0)
-    return {"entries": entries, "lam": lam, "k": k, "slope": slope, "intercept": intercept}
+    return {"entries": entries, "prefixes": prefixes, "lam": lam, "k": k, "slope": slope, "intercept": intercept}
 
 
 def _squeezed(memo: WordScores):
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(texts: list) -> dict:
         m = shared.value
-        word_scores = memo.setdefault(0, WordScores(m["entries"], DRIFT))
+        word_scores = memo.setdefault(0, WordScores(m["entries"], DRIFT, m["prefixes"]))
         scores, spans = [], []
         for text in texts:
             total, found = evidence(np.array([word_scores[w] for w in words(text)], float), m["lam"], m["k"])
