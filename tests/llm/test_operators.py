@@ -156,6 +156,13 @@ def test_classifiers_on_held_out_rows(spark, sf):
     assert np.mean([r.lang_pred == truth[r.doc_id].lang for r in lang]) > 0.95
 
 
+def test_toxicity_on_held_out_rows(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.1")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    rows = [(truth[r.doc_id], r.predicted) for r in registry.QUERIES["op5_toxicity"](spark, sf).where("held_out").collect() if r.doc_id in truth]
+    assert np.mean([p for y, p in rows if y]) > 0.8 and np.mean([p for y, p in rows if not y]) < 0.01
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, ("good words in a line " if i % 4 else "bad!! BAD!! ### ") * (3 + i % 5)) for i in range(200)]
     labelled = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(100)], "doc_id long, domain string")
