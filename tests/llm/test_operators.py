@@ -141,6 +141,17 @@ def test_lm_base_matches_brute_force(spark, sf):
         assert got[i].n_known == sum(c[w] > 0 for w in [*ws, None]) and got[i].score < 0
 
 
+def test_lm_learns_nothing_from_held_out_rows(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(i, f"the word w{i % 7} and x{i % 3} again", f"l{i % 2}") for i in range(60)]
+    hidden = [next(i for i in range(1000, 2000) if held(i))]
+    score = lambda extra: {r.doc_id: r.score for r in mixing_lm.lm_scores(spark.createDataFrame(rows + extra, "doc_id long, text string, lang string"), head_words=12).collect()}
+    once, again = score([(hidden[0], "q" * 3000, "zz")]), score([(hidden[0], "other words of it", None)])
+    assert all(math.isclose(once[i], again[i], rel_tol=1e-9) for i, *_ in rows)
+    # 3000 letters of an unseen word cost more than any floor would make them
+    assert once[hidden[0]] < -1000 * math.log10(2)
+
+
 def test_lm_beats_its_base_on_held_out_rows(spark, sf):
     # the base gives every unseen word the same probability and so is no distribution; with few words that favours it
     got = [r for r in registry.QUERIES["op7_mixing_lm"](spark, sf.replace("sf0.001", "sf0.01")).collect() if r.held_out]
