@@ -11,6 +11,9 @@ from lumengrid.functions.kernels import norm2, spline, triangle
 from lumengrid.session import materialise
 
 AXES = ("x", "y", "z")
+CELL = ["cx", "cy", "cz"]
+#: Rows of the fullest cell that a search for neighbours starts with.
+MOST_IN_CELL = 256
 
 
 def cells(edge: float, prefix: str = "c") -> list[Column]:
@@ -25,12 +28,32 @@ def around(df: DataFrame, edge: float, reach: int = 1) -> DataFrame:
     return out.drop(*(f"_h{a}" for a in AXES))
 
 
+def full_cells(near: DataFrame, k: int) -> DataFrame:
+    """Cells that together with the 26 around them hold k rows or more; near has rows with their cells."""
+    out = near.groupBy(*CELL).agg(F.count("*").alias("n"))
+    for c in CELL:
+        out = out.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    return out.groupBy(*CELL).agg(F.sum("n").alias("n")).where(F.col("n") >= k).select(*CELL)
+
+
+def first_edge(points: DataFrame, edge: float, least: float, most: int = MOST_IN_CELL) -> float:
+    """edge, made smaller until no cell holds more than most rows; cells whose rows all coincide can't be split and don't count."""
+    extent = F.greatest(*(F.max(a) - F.min(a) for a in AXES))
+    while True:
+        crowded = points.groupBy(*cells(edge)).agg(F.count("*").alias("n"), extent.alias("extent")).where((F.col("n") > most) & (F.col("extent") > 0))
+        widest = crowded.agg(F.max_by("extent", "n")).first()[0]
+        if widest is None or min(edge, widest) / 2 < least:
+            return edge
+        edge = min(edge, widest) / 2
+
+
 def nearest(points: DataFrame, k: int = 33) -> DataFrame:
     """The k nearest rows of every row, itself included: pid, nid, rn, d2, dx, dy, dz; ties go to the smaller nid.
 
     A row's candidates are in its grid cell and the 26 around it. They are certain to hold its k nearest where the k-th is
     nearer than a cell's edge; rows for which it isn't go on with cells twice as large. The first edge comes from the mean
-    density. Raises ValueError for fewer than k rows.
+    density and is halved where a cell would be crowded, so that a cluster's rows meet its own few cells only; rows in
+    sparser places are not joined before their cells hold k rows. Raises ValueError for fewer than k rows.
     """
     points = points.select("pid", *AXES)
     s = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{f.__name__}_{a}") for a in AXES for f in (F.min, F.max))).first()
@@ -38,13 +61,18 @@ def nearest(points: DataFrame, k: int = 33) -> DataFrame:
         raise ValueError(f"{k} neighbours of {s.n} rows")
     spans = [s[f"max_{a}"] - s[f"min_{a}"] for a in AXES]
     volume = math.prod(max(x, 1e-9) for x in spans)
-    edge = max((k * 3 / (4 * math.pi) * volume / s.n) ** (1 / 3), max(spans) / 1e6, 1e-9)
+    least = max(max(spans) / 1e6, 1e-9)
+    mean_edge = max((k * 3 / (4 * math.pi) * volume / s.n) ** (1 / 3), least)
+    edge = first_edge(points, mean_edge, least)
     other = points.select(F.col("pid").alias("nid"), *(F.col(a).alias(f"n{a}") for a in AXES), "x", "y", "z")
     best, todo = Window.partitionBy("pid").orderBy("d2", "nid"), points
     done: list[DataFrame] = []
     while True:
         near = other.select("nid", "nx", "ny", "nz", *cells(edge))
-        pairs = around(todo, edge).join(near, [f"c{a}" for a in AXES]).select("pid", "nid", *((F.col(a) - F.col(f"n{a}")).alias(f"d{a}") for a in AXES))
+        ready = todo
+        if edge < mean_edge:
+            ready = todo.select("*", *cells(edge)).join(full_cells(near, k), CELL, "left_semi").select(todo.columns)
+        pairs = around(ready, edge).join(near, CELL).select("pid", "nid", *((F.col(a) - F.col(f"n{a}")).alias(f"d{a}") for a in AXES))
         pairs = pairs.withColumn("d2", norm2(F.col("dx"), F.col("dy"), F.col("dz"))).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
         found = materialise(pairs, "neighbours")
         if edge > max(spans):
@@ -81,7 +109,7 @@ def links(points: DataFrame, length: float) -> DataFrame:
     """Pairs a < b at most length apart."""
     left = around(points.select(F.col("pid").alias("a"), *AXES), length)
     right = points.select(F.col("pid").alias("b"), *(F.col(q).alias(f"n{q}") for q in AXES), *cells(length))
-    near = left.join(right, [f"c{a}" for a in AXES]).where("a < b")
+    near = left.join(right, CELL).where("a < b")
     return near.where(norm2(*(F.col(a) - F.col(f"n{a}") for a in AXES)) <= length * length).select("a", "b")
 
 
@@ -90,7 +118,7 @@ def sphere_members(points: DataFrame, halos: DataFrame, edge: float) -> DataFram
     cover = halos.select("hid", *(F.col(a).alias(f"h{a}") for a in AXES), "r")
     for a in AXES:
         cover = cover.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"h{a}") - F.col("r")) / edge), F.floor((F.col(f"h{a}") + F.col("r")) / edge))))
-    inside = points.select("pid", *AXES, *cells(edge)).join(cover, [f"c{a}" for a in AXES])
+    inside = points.select("pid", *AXES, *cells(edge)).join(cover, CELL)
     return inside.where(norm2(*(F.col(a) - F.col(f"h{a}") for a in AXES)) < F.col("r") * F.col("r")).select("hid", "pid")
 
 

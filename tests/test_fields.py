@@ -70,6 +70,18 @@ def test_nearest_matches_brute_force(spark):
         spatial.nearest(p.limit(3), 7)
 
 
+def test_nearest_in_a_crowd(spark):
+    rng = np.random.default_rng(2)
+    at = np.concatenate([1000 + rng.integers(0, 64, (700, 3)) / 64, rng.integers(0, 4000, (150, 3)), np.full((300, 3), 5.0)])  # a crowd, a wide field, rows that coincide
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "pid long, x double, y double, z double")
+    assert spatial.first_edge(p, 500.0, 1e-3) < 1 and spatial.first_edge(p.where("pid >= 850"), 500.0, 1e-3) == 500
+    got = {(r.pid, r.rn): r.nid for r in spatial.nearest(p, 33).collect()}
+    assert len(got) == 33 * len(at)
+    for i in range(0, len(at), 7):
+        d2 = ((at - at[i]) ** 2).sum(axis=1)
+        assert [got[i, k + 1] for k in range(33)] == np.lexsort((np.arange(len(at)), d2))[:33].tolist()
+
+
 def test_scatter_spreads_all_but_the_farthest(spark, sf):
     p = particles_e(spark, sf)
     pairs = spatial.nearest(p)
