@@ -199,3 +199,20 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, c in groups.items() if i == c} - hit
     assert kept.columns == corpus_pipeline.COLUMNS
     assert 0 < corpus_pipeline.run(spark, sf).where(F.col("copies") > 0).count() <= docs.count()
+
+
+def test_pipeline_drops_lightly_edited_rows(spark):
+    import corpus_pipeline
+
+    near = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    rows, wanted = [], 0
+    for g in range(40):
+        w = [f"w{g}x{i}" for i in range(300)]
+        edited = [x + "e" if i in (40, 120, 200, 280) else x for i, x in enumerate(w)]  # 20 of 296 pieces differ: 0.87 are shared
+        other = [x + "o" if i % 30 == 7 else x for i, x in enumerate(w)]  # 50 of 296: 0.71
+        rows += [(10 * g, " ".join(w)), (10 * g, " ".join(w)), (10 * g + 1, " ".join(edited)), (None, " ".join(edited)), (10 * g + 2, " ".join(other))]
+        wanted += 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sum(bin(simhash.fingerprint(rows[k][1]) ^ simhash.fingerprint(rows[k + 2][1])).count("1") > simhash.MOST_BITS for k in range(0, 200, 5)) > 0
+    got = sorted(r.doc_id for r in near(spark, docs, "").collect())
+    assert got == sorted(10 * g + k for g in range(40) for k in (0, 2)) and len(got) == wanted
