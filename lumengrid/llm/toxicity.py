@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled, map_texts, table
+from .common import held_out, labelled, map_texts, sha256, table
 
 #: Labelled documents to learn from, at most about so many.
 TRAIN_DOCS = 12_000
@@ -119,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r:
                 classes += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(classes, pa.int32())], ["token", "label"])
 
-    # texts that begin alike are mostly copies: one of each counts
-    one = rows.where("NOT half").withColumn("opening", F.xxhash64(F.substring("text", 1, 60), "label")).dropDuplicates(["opening"])
+    # of equal texts one counts
+    one = rows.where("NOT half").groupBy(sha256(F.col("text")), "label").agg(F.min("text").alias("text"))
     counts = one.select("text", "label").mapInArrow(counted, "token string, label int").groupBy("token").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("u"))
     total = counts.where("token = ''").first()
     t0, u0 = (total.t, total.u) if total else (0, 0)

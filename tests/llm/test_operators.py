@@ -216,3 +216,12 @@ def test_pipeline_drops_lightly_edited_rows(spark):
     assert sum(bin(simhash.fingerprint(rows[k][1]) ^ simhash.fingerprint(rows[k + 2][1])).count("1") > simhash.MOST_BITS for k in range(0, 200, 5)) > 0
     got = sorted(r.doc_id for r in near(spark, docs, "").collect())
     assert got == sorted(10 * g + k for g in range(40) for k in (0, 2)) and len(got) == wanted
+
+
+def test_toxicity_learns_from_texts_that_begin_alike(spark):
+    header = "this licence line of well over sixty characters opens every text of the source "
+    docs = spark.createDataFrame([(i, header + (f"vile abuse{i}" if i % 2 else f"kind praise{i}")) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    assert "vile$" in toxicity.fit(docs, labels)["entries"]
+    copies = docs.withColumn("text", F.lit(header + "vile abuse"))
+    assert "vile$" not in toxicity.fit(copies, labels)["entries"]  # equal texts count once
