@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengrid.session import materialise as keep
 from lumengrid.session import scratch, table
 
-__all__ = ["ascii_lower", "held_out", "id_or_last", "keep", "labelled", "let", "map_texts", "pieces", "remainder", "sampled", "scratch", "sha256", "small", "table"]
+__all__ = ["ascii_lower", "held_out", "id_or_last", "keep", "labelled", "let", "map_texts", "pieces", "remainder", "sampled", "sampled_within", "scratch", "sha256", "small", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest id: rows without a doc_id sort behind all others.
@@ -29,7 +29,7 @@ def ascii_lower(text: Column) -> Column:
 
 def pieces(text: Column, separators: str) -> Column:
     """The non-empty pieces of a text between matches of a pattern; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), separators, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators, -1), "")
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -82,11 +82,36 @@ def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows if share == 1 else rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, r: int, most: int) -> DataFrame:
-    """doc_id, text and label (0 or 1) of the labelled documents to learn from, about most of them.
+def sampled_within(rows: DataFrame, most: int, chars: int, by: str | None = None) -> DataFrame:
+    """At most about most rows with a doc_id, chosen by its hash, that have at most chars code points of text together.
+
+    With by, every value of that column has an equal part of most, as far as it has rows.
+    """
+    if by:
+        n = {x[by]: x["count"] for x in rows.groupBy(by).count().collect()}  # a few classes
+        share, left, part = {}, len(n), most
+        for value, count in sorted(n.items(), key=lambda x: x[1]):  # what the small ones leave is for the others
+            room = part / left
+            share[value] = min(1.0, room / count)
+            part, left = part - min(count, room), left - 1
+        limit = F.lit(0)
+        for value, s in share.items():
+            limit = F.when(F.col(by) == value, int(s * 1_000_000)).otherwise(limit)
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < limit)
+    else:
+        rows = sampled(rows, "doc_id", most)
+    size = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("size"))  # about most rows
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64(F.lit("size"), "doc_id"), "doc_id"))
+    ids = size.withColumn("upto", upto).where(F.col("upto") <= chars).select("doc_id")
+    return rows.join(F.broadcast(ids), "doc_id")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, r: int, most: int, chars: int | None = None) -> DataFrame:
+    """doc_id, text and label (0 or 1) of the labelled documents to learn from, about most of them, with at most chars code points.
 
     Rows whose remainder modulo n is r are left out. Of several labels of one id the largest counts.
     """
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), n, r))
     chosen = sampled(wanted.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), "doc_id", most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has about most rows at the most
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has about most rows at the most
+    return rows if chars is None else sampled_within(rows, 2 * most, chars)

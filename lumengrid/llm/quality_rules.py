@@ -1,6 +1,6 @@
 r"""Quality rules: text statistics per document, and line frequency across the documents of a host.
 
-Lines are normalised (trimmed, A-Z lower-cased, digits as 0) and hashed; a line held by too many distinct documents of
+Lines are normalised (stripped of blanks at both ends, A-Z lower-cased, digits as 0) and hashed; a line held by too many distinct documents of
 one host is boilerplate there. A document that loses too much to removed lines is rejected. DataFrame operations only.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, keep, let, pieces, table
 
 BLANK = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: A line is boilerplate of a host if at least LEAST_DOCS of its documents, and more than MOST_SHARE of them, hold it.
 LEAST_DOCS, MOST_SHARE = 5, 0.01
@@ -22,16 +23,23 @@ MIN_WORDS, MOST_REPEATED_PERCENT = 20, 30
 
 def repeated_words(w: Column, n: int = WINDOW) -> Column:
     """How many words lie in windows of n words that occur twice or more in the list."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+
+    def neighbours(s: Column) -> Column:
+        # of sorted (key, place) pairs those with a neighbour of the same key
+        return F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
 
     def covered(s: Column) -> Column:
-        # sorted (hash, place) pairs: a window repeats if a neighbour has its hash
-        same = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
-        places = F.array_sort(F.transform(same, lambda x: x["i"]))
+        places = F.array_sort(F.transform(s, lambda x: x["i"]))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(n), F.coalesce(F.get(p, k + 1) - x, F.lit(n)))), F.lit(0), lambda a, b: a + b))
 
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(w) < n, F.lit(0)).otherwise(let(pairs, covered))
+    def repeats(h: Column) -> Column:
+        hashed = let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i")))), neighbours)
+        # equal hashes are confirmed on the words
+        named = F.array_sort(F.transform(hashed, lambda x: F.struct(F.array_join(F.slice(w, x["i"], n), " ").alias("h"), x["i"].alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(let(named, neighbours), covered))
+
+    windows = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n))))
+    return F.when(F.size(w) < n, F.lit(0)).otherwise(let(windows, repeats))
 
 
 def base_columns(text: Column) -> Column:
@@ -50,7 +58,7 @@ def base_columns(text: Column) -> Column:
     def of_lines(x: Column) -> Column:
         return F.struct(
             (F.size(x) - F.size(F.array_distinct(F.transform(x, lambda y: y["line"])))).cast("bigint").alias("n_dup_lines"),
-            F.transform(x, lambda y: F.struct(F.xxhash64(F.regexp_replace(ascii_lower(F.trim(y["line"])), "[0-9]", "0")).alias("h"), y["n"].alias("n"))).alias("lines"),
+            F.transform(x, lambda y: F.struct(F.xxhash64(F.regexp_replace(F.btrim(ascii_lower(y["line"]), F.lit(BLANKS)), "[0-9]", "0")).alias("h"), y["n"].alias("n"))).alias("lines"),
         )
 
     return F.struct(let(pieces(text, BLANK), of).alias("w"), let(lines, of_lines).alias("l"))
@@ -91,7 +99,7 @@ WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') A
 w AS (SELECT doc_id, host, t, {_W} AS w FROM d),
 l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS t FROM d),
 lw AS (SELECT doc_id, host, t, len({_W}) AS n FROM l),
-lines AS (SELECT doc_id, host, t AS line, regexp_replace(translate(trim(t, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS k, n FROM lw WHERE n > 0),
+lines AS (SELECT doc_id, host, t AS line, regexp_replace(translate(trim(t, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS k, n FROM lw WHERE n > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1) USING (doc_id, g)) GROUP BY doc_id),
