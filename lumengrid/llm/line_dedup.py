@@ -4,7 +4,8 @@ Each partition folds its line hashes into a pair of filters: hashes seen once an
 without looking at lines again: a bit set in both once-filters, or in either twice-filter, belongs to the merged
 twice-filter, which so holds every hash that occurs in two places. Only lines that this filter suspects are shuffled;
 grouping them by their exact key confirms the repeats and picks the first document. The filter has a fixed largest
-size: when a corpus outgrows it, more lines are suspected and shuffled, and the result is the same.
+size. A corpus that outgrows it deals its line hashes out by range, so that each task has a filter of its own
+hashes; what comes twice goes back to the documents by a join, and the rest is the same.
 """
 
 from __future__ import annotations
@@ -93,20 +94,63 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield as_row()
 
 
-def twice_seen(docs: DataFrame, min_chars: int) -> tuple[int, np.ndarray]:
-    """Bits (as a power of two) and packed bytes of the filter that holds every line hash found in two documents."""
+def filter_bits(docs: DataFrame) -> int:
+    """Bits, as a power of two, of a filter for all lines of docs."""
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(BITS_PER_LINE * lines))))
+    return max(LEAST_BITS, math.ceil(math.log2(BITS_PER_LINE * lines)))
+
+
+def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
+    """Packed bytes of the filter of 2**bits bits that holds every line hash found in two documents."""
     parts = docs.select("text").mapInArrow(_partition_filters(bits, min_chars), "shard int, once binary, twice binary")
     merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merged, "shard int, twice binary")
     packed = np.zeros(1 << bits - 3, np.uint8)
     size = min(SHARD_BYTES, packed.size)
     for row in merged.toLocalIterator():
         packed[row.shard * size : (row.shard + 1) * size] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    return bits, packed
+    return packed
+
+
+def suspected_hashes(named: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    """_id, _part and hash of the lines that filters of single ranges of hashes suspect, for any number of lines.
+
+    Hashes of the distinct lines of each document (8 bytes, not texts) are dealt out by range. Each range, small
+    enough for a filter of 2**bits bits, takes them in turn and passes on those that it has seen before.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, part, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+                own = np.array([xxhash.xxh64_intdigest(k) for k in {k for k in keys_of(text.as_py(), min_chars)[1] if k is not None}], np.uint64).view(np.int64)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc.as_py())), pa.array(np.full(len(own), part.as_py())), pa.array(own)], ["_id", "_part", "hash"])
+
+    flat = keep(named.select("_id", "_part", "text").mapInArrow(hashed, "_id bigint, _part bigint, hash bigint"), "line-hashes")
+    ranges = max(1, math.ceil(flat.count() * BITS_PER_LINE / (1 << bits)))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a batch each hash once, so that a line of all documents makes few rows
+        for batch in batches:
+            hashes, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n > 1)], ["hash", "again"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches:
+            hashes, n = np.unique(batch.column(0).to_numpy().view(np.uint64), return_counts=True)
+            flagged = np.zeros(len(hashes), bool)
+            flagged[np.searchsorted(hashes, batch.column(0).to_numpy().view(np.uint64)[batch.column(1).to_numpy(zero_copy_only=False)])] = True
+            pos = positions(hashes, bits)
+            again = (n > 1) | flagged | holds(once, pos)
+            put(once, pos)
+            # what comes again is twice seen and leaves at once, so a range needs no second filter
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[again].view(np.int64))], ["hash"])
+
+    dealt = flat.select("hash").mapInArrow(thinned, "hash bigint, again boolean").repartition(ranges, F.shiftright("hash", 40))
+    return flat.join(dealt.mapInArrow(repeated, "hash bigint").distinct(), "hash").select("_id", "_part", "hash")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 10, most_bits: int = MOST_BITS) -> DataFrame:
     """Drops each line whose key (trimmed, A-Z lower-cased, of at least min_chars code points) occurs in several documents, except in the smallest doc_id that holds it.
 
     Returns the columns of docs with text replaced by the kept lines, then n_lines (before dropping) and n_dropped; columns
@@ -115,27 +159,36 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     other, and all rows without one as one document. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "_id", "_drops")))
-    bits, packed = twice_seen(docs, min_chars)
-    shared = spark.sparkContext.broadcast(packed)
+    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "_id", "_part", "_drops", "_suspects")))
+    # rows without an id are one document, but each looks for its own lines
+    named = docs.withColumn("_id", id_or_last(F.col("doc_id"))).withColumn("_part", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+    bits = filter_bits(docs)
+    if bits <= most_bits:
+        shared = spark.sparkContext.broadcast(twice_seen(docs, min_chars, bits))
+        source = named.select("_id", "_part", "text").withColumn("_suspects", F.lit(None).cast("array<bigint>"))
+        held = lambda hashes, _: holds(shared.value, positions(hashes, bits))
+    else:
+        own = suspected_hashes(named, min_chars, min(bits, most_bits)).groupBy("_id", "_part").agg(F.collect_set("hash").alias("_suspects"))
+        source = named.select("_id", "_part", "text").join(own, ["_id", "_part"])
+        held = lambda hashes, listed: np.isin(hashes, np.array(listed, np.int64).view(np.uint64))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, parts, keys = [], [], []
+            for doc, part, text, listed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 own = list({k for k in keys_of(text, min_chars)[1] if k is not None})
                 if own:
-                    hit = holds(shared.value, positions(np.array([xxhash.xxh64_intdigest(k) for k in own], np.uint64), bits))
+                    hit = held(np.array([xxhash.xxh64_intdigest(k) for k in own], np.uint64), listed)
                     found = [k for k, yes in zip(own, hit, strict=True) if yes]
                     ids += [doc] * len(found)
+                    parts += [part] * len(found)
                     keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(keys, pa.binary())], ["_id", "_part", "key"])
 
-    named = docs.withColumn("_id", id_or_last(F.col("doc_id")))
-    suspected = keep(named.select("_id", "text").mapInArrow(suspects, "_id bigint, key binary"), "suspects")
+    suspected = keep(source.mapInArrow(suspects, "_id bigint, _part bigint, key binary"), "suspects")
     first = suspected.groupBy("key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select("key", "_first")
     first = keep(first, "repeats")
-    drops = suspected.join(first, "key").where("_id <> _first").groupBy("_id").agg(F.collect_set("key").alias("_drops"))
+    drops = suspected.join(first, "key").where("_id <> _first").groupBy("_id", "_part").agg(F.collect_set("key").alias("_drops"))
     drops = keep(drops, "drops")
     names = docs.columns
     at = names.index("text")
@@ -154,7 +207,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines bigint, n_dropped bigint"
-    joined = named.join(drops, "_id", "left").select(*names, "_drops")
+    joined = named.join(drops, ["_id", "_part"], "left").select(*names, "_drops")
     return joined.mapInArrow(kept, schema)
 
 
