@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled, map_texts, sha256, table
 
-#: Labelled documents to learn from, at most about so many.
-TRAIN_DOCS = 12_000
-#: Lengths of word beginnings; the whole word is the last link of the chain.
-PREFIXES = (3, 4, 5)
+#: Labelled documents to learn from, at most about so many, and code points of them all.
+TRAIN_DOCS, TRAIN_CHARS = 12_000, 60_000_000
+#: Lengths of word beginnings, none left out; the whole word is the last link of the chain.
+PREFIXES = (3, 4, 5, 6, 7, 8)
 PRIOR = 4.0  # documents that the shorter beginning's estimate counts as
 LEAST_DOCS, LEAST_Z = 4, 2.5  # evidence for a toxic entry
 DRIFT = 1.0
@@ -106,9 +106,8 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     return a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r: int = 0, most: int = TRAIN_DOCS, prefixes: tuple[int, ...] = PREFIXES) -> dict:
-    """The model: entries (link to log-odds), prefixes, lam, k, slope, intercept. Documents with odd hashes calibrate what the others taught."""
-    rows = labelled(docs, labels, label, n, r, most).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+def entries_of(rows: DataFrame, prefixes: tuple[int, ...]) -> dict[str, float]:
+    """Log-odds of the links with evidence, from rows (text, label). Of equal texts one counts."""
 
     def counted(batches):
         for batch in batches:
@@ -119,8 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r:
                 classes += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(classes, pa.int32())], ["token", "label"])
 
-    # of equal texts one counts
-    one = rows.where("NOT half").groupBy(sha256(F.col("text")), "label").agg(F.min("text").alias("text"))
+    one = rows.groupBy(sha256(F.col("text")), "label").agg(F.min("text").alias("text"))
     counts = one.select("text", "label").mapInArrow(counted, "token string, label int").groupBy("token").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("u"))
     total = counts.where("token = ''").first()
     t0, u0 = (total.t, total.u) if total else (0, 0)
@@ -137,20 +135,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r:
                 t, u = seen[link]
                 q = (t + PRIOR * q) / (t + u + PRIOR)
         entries[token] = math.log(q / (1 - q)) - base
-    memo = WordScores(entries, DRIFT, prefixes)
+    return entries
+
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 5, r: int = 0, most: int = TRAIN_DOCS, prefixes: tuple[int, ...] = PREFIXES) -> dict:
+    """The model: entries (link to log-odds), prefixes, lam, k, slope, intercept.
+
+    A third of the documents, by a hash of the id, calibrates what the others taught; then the entries are learned from all.
+    """
+    rows = labelled(docs, labels, label, n, r, most, TRAIN_CHARS).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    memo = WordScores(entries_of(rows.where("NOT half"), prefixes), DRIFT, prefixes)
     kept: list[tuple[int, np.ndarray]] = []
     for x in rows.where("half").select("text", "label").mapInArrow(_squeezed(memo), "label int, n int, at array<int>, s array<double>").toLocalIterator():
         s = np.full(x.n, -DRIFT)
         s[np.array(x["at"], int)] = x.s
         kept.append((x.label, s))
+    kept.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))  # the same sums however Spark deals the rows
     clean = [s for y, s in kept if y == 0 and len(s)]
     lam = decay(np.concatenate(clean)) if clean else 1.0
     best = [(len(s), max((x[2] for x in maximal_segments(s)), default=0.0)) for s in clean]
     k = (len(best) + 1) / (1 + sum(n * math.exp(-lam * s) for n, s in best))
     x = np.array([math.log1p(evidence(s, lam, k)[0]) for _, s in kept])
     slope, intercept = platt(x, np.array([y for y, _ in kept], float)) if kept else (1.0, -2.0)
-    return {"entries": entries, "prefixes": prefixes, "lam": lam, "k": k, "slope": slope, "intercept": intercept}
+    return {"entries": entries_of(rows, prefixes), "prefixes": prefixes, "lam": lam, "k": k, "slope": slope, "intercept": intercept}
 
 
 def _squeezed(memo: WordScores):
