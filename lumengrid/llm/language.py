@@ -1,8 +1,9 @@
 r"""Language ID: multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed 1- to 3-grams of lower-cased code points, with sublinear counts, inverse document frequency and unit
-length. Weights come from follow-the-regularised-leader with L1 and L2 penalties, on a bounded sample of documents in
-one task; a part of the sample is set aside to fit the temperature that the probabilities are calibrated with.
+Features are hashed 1- to 3-grams of lower-cased code points, with sublinear counts, inverse document frequency (counted
+over all documents to learn from) and unit length. Weights come from follow-the-regularised-leader with L1 and L2
+penalties, on a bounded sample of documents in one task, as many of each language as there is room for; a part of the
+sample is set aside to fit the temperature that the probabilities are calibrated with.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, sampled, table
+from .common import held_out, map_texts, sampled_within, table
 
-#: Documents to learn from, at most about so many.
-TRAIN_DOCS = 6_000
+#: Documents to learn from, at most about so many, shared out evenly among the languages, and code points of them all.
+TRAIN_DOCS, TRAIN_CHARS = 6_000, 40_000_000
 DIM = 1 << 15
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.05, 2
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a code point is a letter (Unicode category L); the pattern also finds other numerals."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers in order, and 1 + log of their counts."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -48,15 +54,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str | None, str]], seed: int = 5) -> dict:
-    """Languages, idf, weights (features by languages) and temperature, from (text, language) rows."""
-    langs = sorted({y for _, y in rows})
-    found = [(*counts(t), langs.index(y)) for t, y in rows]
-    df = np.zeros(DIM)
-    for ids, _, _ in found:
-        df[ids] += 1
-    idf = np.log((1 + len(found)) / (1 + df)) + 1
-    found = [(ids, weighted(ids, tf, idf), y) for ids, tf, y in found]
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, seed: int = 5) -> dict:
+    """Languages, idf, weights (features by languages) and temperature, from rows of features, weights and language."""
+    langs = sorted({y for *_, y in rows})
+    found = [(ids, x, langs.index(y)) for ids, x, y in rows]
     z, n = np.zeros((DIM, len(langs))), np.zeros((DIM, len(langs)))
     weights = lambda i: np.where(np.abs(z[i]) <= L1, 0.0, (np.sign(z[i]) * L1 - z[i]) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
     cut = len(found) - len(found) // 5 if len(found) >= 10 else len(found)
@@ -80,13 +81,31 @@ def train(rows: list[tuple[str | None, str]], seed: int = 5) -> dict:
 
 def fit(docs: DataFrame, n: int = 5, r: int = 0, most: int = TRAIN_DOCS) -> dict | None:
     wanted = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), n, r))
-    rows = sampled(wanted.select("doc_id", "text", "lang"), "doc_id", most)
 
-    def run(batches):
-        got = sorted((x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda x: (x[3], x[0]))
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train([x[1:3] for x in got]))] if got else [], pa.binary())})
+    def frequencies(batches):
+        df = np.zeros(DIM, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                df[counts(text.as_py())[0]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["feature", "n"])
 
-    got = rows.withColumn("h", F.xxhash64("doc_id")).repartition(1).mapInArrow(run, "model binary").collect()
+    df = np.zeros(DIM)
+    found = wanted.select("text").mapInArrow(frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # DIM rows at most
+    df[found["feature"].to_numpy()] = found["n"].to_numpy()
+    idf = np.log((1 + wanted.count()) / (1 + df)) + 1
+    rows = sampled_within(wanted.select("doc_id", "text", "lang"), most, TRAIN_CHARS, "lang")
+
+    def run(batches):
+        got = []
+        for batch in batches:
+            for doc, text, lang in zip(*batch.columns, strict=True):
+                ids, tf = counts(text.as_py())
+                got.append((doc.as_py(), lang.as_py(), ids.astype(np.int32), weighted(ids, tf, idf).astype(np.float32)))
+        got.sort(key=lambda x: (x[0], x[1], len(x[2]), x[3].tobytes()))  # the same order however Spark deals the rows
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train([(i, v, y) for _, y, i, v in got], idf))] if got else [], pa.binary())})
+
+    got = rows.select("doc_id", "text", "lang").repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0].model) if got else None
 
 
@@ -103,7 +122,7 @@ def language(docs: DataFrame, n: int = 5, r: int = 0) -> DataFrame:
         m = shared.value
         named, scores = [], []
         for text in texts:
-            if m is None or text is None or not LETTER.search(text):
+            if m is None or text is None or not has_letter(text):
                 named.append(UNKNOWN)
                 scores.append(0.0)
                 continue

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled, map_texts, table
 
-#: Labelled documents to learn from, at most about so many.
-TRAIN_DOCS = 12_000
+#: Labelled documents to learn from, at most about so many, and code points of them all.
+TRAIN_DOCS, TRAIN_CHARS = 12_000, 60_000_000
 DIM = 1 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.05, 3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -77,13 +77,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = 4, r: int = 2, most: int = TRAIN_DOCS) -> np.ndarray:
-    rows = labelled(docs, labels, "quality", n, r, most)
+    rows = labelled(docs, labels, "quality", n, r, most, TRAIN_CHARS)
 
     def run(batches):
         memo, found = Tokens(), []
         for batch in batches:
-            found += [(d, *features(t, memo), y) for d, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        found.sort(key=lambda x: x[0])  # the same order however Spark deals the rows
+            for d, t, y in zip(*batch.columns, strict=True):
+                ids, values = features(t.as_py(), memo)
+                found.append((d.as_py(), ids.astype(np.int32), values.astype(np.float32), y.as_py()))
+        found.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))  # the same order however Spark deals the rows
         yield pa.RecordBatch.from_pydict({"weights": pa.array([train([x[1:] for x in found]).tobytes()], pa.binary())})
 
     got = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "weights binary").collect()
