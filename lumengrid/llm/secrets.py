@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_last, keep, let, sha256, table
+from .common import id_or_last, keep, sha256, small, table
 
 
 @dataclass(frozen=True)
@@ -39,28 +39,27 @@ RULES = (
 )
 BASE = 3
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+STEP = "array<struct<gap:int,size:int,ok:boolean>>"
+#: Copies of earlier texts, as pairs of numbers, that are sent to all tasks so that texts need no shuffle (32 MB); beyond, they are shuffled.
+SMALL_COPIES = 1_000_000
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Array of (start, rank, kind, end) in code points of the leftmost non-overlapping matches that the rule accepts."""
-
-    def placed(parts: Column) -> Column:
-        gaps, whole, group = parts["gaps"], parts["whole"], parts["group"]
-        step = lambda a, m: F.struct((a["at"] + F.length(F.get(gaps, a["i"])) + F.length(m)).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(F.get(gaps, a["i"]))).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (a["at"] + F.length(F.get(gaps, a["i"])) + F.length(m)).alias("end")))).cast(SPAN).alias("out"))
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
-        out = F.aggregate(whole, zero, step, lambda a: a["out"])
-        return F.filter(out, lambda x, i: F.length(F.get(group, i)) >= rule.least)
-
+def steps(text: Column, rule: Rule) -> Column:
+    """Of each leftmost non-overlapping match, in order: code points since the one before, its own, and whether the rule accepts it."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    parts = F.struct(F.split(text, rule.pattern, -1).alias("gaps"), whole.alias("whole"), group.alias("group"))
-    return F.when(text.rlike(rule.pattern), let(parts, placed)).otherwise(F.array().cast(SPAN))
+    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gaps"), whole.alias("whole"), group.alias("group"))
+    # there is one gap more than there are matches
+    some = F.filter(F.transform(parts, lambda x: F.struct(F.length(x["gaps"]).alias("gap"), F.length(x["whole"]).alias("size"), (F.length(x["group"]) >= rule.least).alias("ok"))), lambda x: x["size"].isNotNull())
+    return F.when(text.rlike(rule.pattern), some).otherwise(F.array().cast(STEP))
 
 
 def ledger_of(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """New ledger rows (blob, kind, version, spans) for the pairs of blobs and rules that ledger lacks.
 
-    blobs: blob (hex SHA-256), text. A rule with a new version is scanned again; older rows stay valid for theirs.
+    blobs: blob (hex SHA-256), text. A rule with a new version is scanned again; older rows stay valid for theirs. A match
+    is placed by adding up what comes before it: one row a match, summed in a window over a blob and rule, so a text of
+    many matches costs in proportion.
     """
     pairs = blobs.select("blob", "text")
     if ledger is not None:
@@ -69,17 +68,32 @@ def ledger_of(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFra
     else:
         pairs = pairs.withColumn("_seen", F.lit(None).cast("array<string>"))
     done = lambda r: F.coalesce(F.array_contains("_seen", f"{r.kind}:{r.version}"), F.lit(False))
-    scanned = F.array(*(F.when(~done(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r, i).alias("spans"))) for i, r in enumerate(rules)))
-    found = pairs.select("blob", scanned.alias("s"))
-    return found.select("blob", F.explode(F.filter("s", lambda x: x.isNotNull())).alias("x")).select("blob", "x.*")
+    scanned = F.array(*(F.when(~done(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(i).alias("rank"), steps(F.col("text"), r).alias("steps"))) for i, r in enumerate(rules)))
+    found = pairs.select("blob", F.explode(F.filter(scanned, lambda x: x.isNotNull())).alias("x")).select("blob", "x.*")
+    found = keep(found, "scanned")
+    by = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flat = found.select("blob", "kind", "rank", F.posexplode("steps").alias("i", "s")).select("blob", "kind", "rank", "i", "s.*").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(by).cast("int"))
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "kind", "end")
+    placed = flat.where("ok").groupBy("blob", "rank").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    none = F.array().cast(SPAN)
+    out = found.where(F.size("steps") > 0).select("blob", "kind", "version", "rank").join(placed, ["blob", "rank"], "left")
+    return out.select("blob", "kind", "version", F.coalesce("spans", none).alias("spans")).unionByName(found.where(F.size("steps") == 0).select("blob", "kind", "version", none.alias("spans")))
 
 
 def blobs_of(docs: DataFrame) -> DataFrame:
     """One row per distinct text: blob, text. The row with the smallest id holds the text that is scanned."""
-    named = docs.select(id_or_last(F.col("doc_id")).alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", sha256(F.col("text")))
-    paths = keep(named.select("_id", "blob"), "paths")
-    first = paths.groupBy("blob").agg(F.min("_id").alias("_id")).select("_id", "blob")
-    held = named.select("_id", "text", F.col("blob").alias("_blob")).join(first.hint("shuffle_hash"), "_id").where("_blob = blob")
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select(id_or_last(F.col("doc_id")).alias("_id"), text.alias("text"), sha256(text).alias("blob")).withColumn("_h", F.xxhash64("blob"))
+    paths = keep(named.select("_id", "blob", "_h"), "paths")
+    first = paths.groupBy("blob", "_h").agg(F.min("_id").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = keep(paths.join(first, ["blob", "_h"]).where("_id > _first").select("_id", "_h").distinct(), "copies")
+    again = keep(paths.groupBy("_id", "_h").count().where("count > 1").select("_id", "_h"), "again")
+    held = named.join(small(copies, copies.count(), SMALL_COPIES), ["_id", "_h"], "left_anti")
+    # rows that have both the id and the text of another: one stays
+    n_again = again.count()
+    if n_again:
+        again = small(again, n_again, SMALL_COPIES)
+        held = held.join(again, ["_id", "_h"], "left_anti").unionByName(held.join(again, ["_id", "_h"], "left_semi").dropDuplicates(["blob"]))
     return held.select("blob", "text")
 
 
@@ -91,7 +105,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     empty table gives empty results. Pairs that the given ledger holds are not scanned again.
     """
     paths = docs.select("doc_id", sha256(F.coalesce("text", F.lit(""))).alias("blob"))
-    added = keep(_unique(ledger_of(blobs_of(docs), rules, ledger)), "ledger")
+    added = keep(ledger_of(blobs_of(docs), rules, ledger), "ledger")
     current = added if ledger is None else added.unionByName(ledger.select(added.columns))
     wanted = F.lit(False)
     for r in rules:
@@ -103,11 +117,6 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     return out.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), added
 
 
-def _unique(rows: DataFrame) -> DataFrame:
-    """Rows with the same smallest id and text give the same findings twice; one is kept."""
-    return rows.groupBy("blob", "kind", "version").agg(F.first("spans").alias("spans"))
-
-
 def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
