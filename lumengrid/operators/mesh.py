@@ -43,6 +43,13 @@ def assign(rows: DataFrame, boxsize: float, nc: int, sign: int = -1, periodic: b
     return spread(rows, boxsize, nc, periodic).groupBy(*keys, "ix", "iy", "iz").agg(of(w).alias("n"), F.sum(F.when(gas, 0.0).otherwise(w)).alias("halo"), of(w * F.col("dens")).alias("c"), *(of(w * F.col(f"v{a}")).alias(f"v{a}") for a in AXES))
 
 
+def interior(rows: DataFrame, boxsize: float) -> DataFrame:
+    """Rows with 0 <= position < boxsize on all axes: those that a global grid counts, ghosts left out."""
+    for a in AXES:
+        rows = rows.where((F.col(a) >= 0) & (F.col(a) < boxsize))
+    return rows
+
+
 def assign_density(rows: DataFrame, boxsize: float, nc: int, sign: int = -1) -> DataFrame:
     return spread(rows.where(is_gas(sign)), boxsize, nc).groupBy("ix", "iy", "iz").agg(F.sum("w").alias("n"))
 
@@ -65,6 +72,16 @@ def momentum(mesh: DataFrame) -> DataFrame:
     return mesh.withColumn("ntot", F.col("n") + F.col("halo")).withColumns({f"v{a}": F.col(f"v{a}") * F.col("n") / 8.0 for a in AXES})
 
 
+def totals(mesh: DataFrame) -> DataFrame:
+    """Running totals of a merge: rows outside groups, and all rows (n / 8 and (n + halo) / 8 summed)."""
+    return mesh.agg(F.sum(F.col("n") / 8.0).alias("n_rows"), F.sum((F.col("n") + F.col("halo")) / 8.0).alias("all_rows"))
+
+
+def in_order(mesh: DataFrame, nc: int) -> DataFrame:
+    """Cells of a global grid with at, their place in a file (x fastest), in that order."""
+    return mesh.withColumn("at", (F.col("gz").cast("bigint") * nc + F.col("gy")) * nc + F.col("gx")).orderBy("at")
+
+
 def slice_log(mesh: DataFrame, plane: int, mean: float, value: str = "n") -> DataFrame:
     """gx, gz and log10(value / mean) of the non-empty cells with gy = plane."""
     return mesh.where((F.col("gy") == plane) & (F.col(value) > 0)).select("gx", "gz", F.log10(F.col(value) / F.lit(float(mean))).alias("log_ratio"))

@@ -48,7 +48,7 @@ def first_edge(points: DataFrame, edge: float, least: float, most: int = MOST_IN
 
 
 def nearest(points: DataFrame, k: int = 33) -> DataFrame:
-    """The k nearest rows of every row, itself included: pid, nid, rn, d2, dx, dy, dz; ties go to the smaller nid.
+    """The k nearest rows of every row, itself included: pid, nid, rn, d2, dx, dy, dz, rk (distance to the k-th); ties go to the smaller nid.
 
     A row's candidates are in its grid cell and the 26 around it. They are certain to hold its k nearest where the k-th is
     nearer than a cell's edge; rows for which it isn't go on with cells twice as large. The first edge comes from the mean
@@ -74,7 +74,8 @@ def nearest(points: DataFrame, k: int = 33) -> DataFrame:
             ready = todo.select("*", *cells(edge)).join(full_cells(near, k), CELL, "left_semi").select(todo.columns)
         pairs = around(ready, edge).join(near, CELL).select("pid", "nid", *((F.col(a) - F.col(f"n{a}")).alias(f"d{a}") for a in AXES))
         pairs = pairs.withColumn("d2", norm2(F.col("dx"), F.col("dy"), F.col("dz"))).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
-        found = materialise(pairs, "neighbours")
+        # the k-th distance comes with every pair, while they stand together
+        found = materialise(pairs.withColumn("rk", F.sqrt(F.max("d2").over(Window.partitionBy("pid")))), "neighbours")
         if edge > max(spans):
             done.append(found)
             break
@@ -87,22 +88,29 @@ def nearest(points: DataFrame, k: int = 33) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("pid", "nid", "rn", "d2", "dx", "dy", "dz")
+    return out.select("pid", "nid", "rn", "d2", "dx", "dy", "dz", "rk")
 
 
-def smoothing_length(pairs: DataFrame, k: int = 33) -> DataFrame:
+def _positive(rk: Column) -> Column:
+    return F.when(rk > 0, rk).otherwise(F.raise_error(F.lit("coincident points: smoothing length 0")).cast("double"))
+
+
+def smoothing_length(pairs: DataFrame) -> DataFrame:
     """pid and rk, the distance to the k-th neighbour; raises if it is 0."""
-    d = pairs.where(F.col("rn") == k).select("pid", F.sqrt("d2").alias("rk"))
-    return d.withColumn("rk", F.when(F.col("rk") > 0, F.col("rk")).otherwise(F.raise_error(F.lit("coincident points: smoothing length 0")).cast("double")))
+    return pairs.where("rn = 1").select("pid", _positive(F.col("rk")).alias("rk"))
 
 
-def scatter_density(points: DataFrame, pairs: DataFrame, k: int = 33, kernel: str = "triangle") -> DataFrame:
-    """pid, rk and dens: every row spreads a unit mass over its neighbours but the farthest; rows nobody reaches get 0."""
-    rk = smoothing_length(pairs, k)
-    h = F.col("rk")
+def scatter_density(pairs: DataFrame, k: int = 33, kernel: str = "triangle") -> DataFrame:
+    """pid, rk and dens: every row spreads a unit mass over its neighbours but the farthest; rows nobody reaches get 0.
+
+    A pair gives its weight to nid, and a row's first pair its rk to pid, so that one aggregation has both.
+    """
+    h = _positive(F.col("rk"))
     w = triangle(F.col("dx"), F.col("dy"), F.col("dz"), h) if kernel == "triangle" else spline(F.col("d2"), h)
-    sums = pairs.where(F.col("rn") < k).join(rk, "pid").groupBy("nid").agg(F.sum(w).alias("dens")).withColumnRenamed("nid", "pid")
-    return points.select("pid").join(rk, "pid").join(sums, "pid", "left").select("pid", "rk", F.coalesce("dens", F.lit(0.0)).alias("dens"))
+    given = F.array(F.struct(F.col("nid").alias("pid"), F.when(F.col("rn") < k, w).otherwise(0.0).alias("w"), F.lit(None).cast("double").alias("rk")))
+    own = F.array(F.struct("pid", F.lit(0.0).alias("w"), h.alias("rk")))
+    flat = pairs.select(F.explode(F.when(F.col("rn") == 1, F.concat(given, own)).otherwise(given)).alias("x")).select("x.*")
+    return flat.groupBy("pid").agg(F.max("rk").alias("rk"), F.sum("w").alias("dens"))
 
 
 def links(points: DataFrame, length: float) -> DataFrame:
@@ -113,6 +121,27 @@ def links(points: DataFrame, length: float) -> DataFrame:
     return near.where(norm2(*(F.col(a) - F.col(f"n{a}") for a in AXES)) <= length * length).select("a", "b")
 
 
+def witnesses(points: DataFrame, length: float) -> DataFrame:
+    """Pairs a < b at most length apart that connect the same rows as all such pairs.
+
+    Rows of a cell whose diagonal is below length are friends: each is linked to the smallest of them. Of each two cells
+    within reach one pair is kept, so a crowd leaves as many pairs as it has rows, not their square.
+    """
+    edge = length / math.sqrt(3.0) * (1 - 1e-9)
+    own = points.select("pid", *AXES, *cells(edge))
+    named = own.groupBy(*CELL).agg(F.min("pid").alias("a"), F.max("pid").alias("z"))
+    inside = own.join(named.where("a < z"), CELL).where("pid > a").select("a", F.col("pid").alias("b"))
+    # half of the cells around, so that two cells meet once; cells are matched before their rows
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    other = [f"o{a}" for a in AXES]
+    moved = named.select(*CELL, F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"s{a}") for x, a in zip(s, AXES, strict=True))) for s in steps))).alias("s"))
+    meet = moved.select(*CELL, *((F.col(f"c{a}") + F.col(f"s.s{a}")).alias(f"o{a}") for a in AXES)).join(named.select(*(F.col(f"c{a}").alias(f"o{a}") for a in AXES)), other)
+    right = own.select(F.col("pid").alias("q"), *(F.col(a).alias(f"q{a}") for a in AXES), *(F.col(f"c{a}").alias(f"o{a}") for a in AXES))
+    near = own.join(meet, CELL).join(right, other).where(norm2(*(F.col(a) - F.col(f"q{a}") for a in AXES)) <= length * length)
+    first = near.groupBy(*CELL, *other).agg(F.min(F.struct(F.least("pid", "q").alias("a"), F.greatest("pid", "q").alias("b"))).alias("w"))
+    return inside.unionByName(first.select("w.*"))
+
+
 def sphere_members(points: DataFrame, halos: DataFrame, edge: float) -> DataFrame:
     """Pairs (hid, pid) with the point strictly inside the halo's radius; edge is the size of the cells joined on."""
     cover = halos.select("hid", *(F.col(a).alias(f"h{a}") for a in AXES), "r")

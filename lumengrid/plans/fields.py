@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumengrid.operators import domain, groups, mesh, spatial
 from lumengrid.session import materialise
@@ -10,30 +11,47 @@ from lumengrid.session import materialise
 
 def with_density(points: DataFrame, k: int = 33, kernel: str = "triangle") -> DataFrame:
     """points with rk and dens."""
-    return points.join(spatial.scatter_density(points, spatial.nearest(points, k), k, kernel), "pid")
+    return points.join(spatial.scatter_density(spatial.nearest(points, k), k, kernel), "pid")
 
 
 def clumping_field(points: DataFrame, halos: DataFrame, boxsize: float, nc: int, edge: float = 4.0) -> DataFrame:
-    """Normalised grid of one periodic box, with the halos' particles apart."""
+    """Normalised grid of one box, with the halos' particles apart."""
     rows = spatial.mark_members(with_density(points), halos, edge)
     return mesh.normalise(mesh.assign(rows, boxsize, nc), boxsize, nc)
 
 
-def node_fields(points: DataFrame, halos: DataFrame, edge: float, nodes: int, buffer_factor: float, nc: int) -> DataFrame:
-    """The same for a volume of nodes**3 boxes: each node sees its own rows and the ghosts within its buffer.
+def laid_out(rows: DataFrame, edge: float, buffer_factor: float) -> DataFrame:
+    """Rows of all nodes side by side on one axis, further apart than any buffer, so that no neighbour crosses nodes."""
+    return rows.withColumn("x", F.col("x") + F.col("node") * F.lit(edge * (2.0 + 2.0 * buffer_factor)))
+
+
+def with_ghosts(points: DataFrame, edge: float, nodes: int, buffer_factor: float) -> DataFrame:
+    """Rows of each node (node, pid, positions in it) and those of its neighbours within its buffer, cropped, with is_ghost.
+
+    A ghost is a row of its own: pid becomes the old one times the number of nodes, plus the node.
+    """
+    local = domain.crop(domain.exchange(points, edge, buffer_factor, nodes), edge, buffer_factor)
+    return local.withColumn("pid", F.col("pid") * F.lit(nodes**3) + F.col("node"))
 
-    points and halos have global positions. Rows of the result have node, ix, iy, iz. All nodes are computed in one
-    plan: their boxes are laid out side by side, further apart than any buffer, so that no neighbour crosses nodes.
+
+def node_rows(points: DataFrame, halos: DataFrame | None, edge: float, nodes: int, buffer_factor: float) -> DataFrame:
+    """Rows of each node and its ghosts with rk, dens and igrp (-1 in a halo). points, halos: node and positions in it.
+
+    All nodes are computed in one plan. Halos count for a node if their centre is strictly inside its padded box.
     """
-    gap = edge * (2.0 + 2.0 * buffer_factor)
-    local = domain.crop(domain.exchange(domain.to_nodes(points, edge, nodes), edge, buffer_factor, nodes), edge, buffer_factor)
-    near = domain.exchange(domain.to_nodes(halos, edge, nodes), edge, buffer_factor, nodes).where(domain.padded(edge, buffer_factor))
-    # a ghost is a row of its own: its id within the node tells it apart
-    apart = materialise(local.selectExpr("pid AS orig", "node", "is_ghost", "x", "y", "z", "vx", "vy", "vz", "monotonically_increasing_id() AS pid"), "node-rows")
-    laid = apart.withColumn("x", apart.x + apart.node * gap)
-    marked = spatial.mark_members(with_density(laid), near.withColumn("x", near.x + near.node * gap), edge / 8)
-    back = marked.withColumn("x", marked.x - marked.node * gap)
-    return mesh.normalise(mesh.assign(back, edge, nc, keys=("node",)), edge, nc)
+    apart = materialise(with_ghosts(points, edge, nodes, buffer_factor), "node-rows")
+    gap = F.col("node") * F.lit(edge * (2.0 + 2.0 * buffer_factor))
+    rows = with_density(laid_out(apart, edge, buffer_factor))
+    if halos is None:
+        return rows.withColumn("igrp", F.lit(0)).withColumn("x", F.col("x") - gap)
+    near = domain.exchange(halos, edge, buffer_factor, nodes).where(domain.padded(edge, buffer_factor))
+    return spatial.mark_members(rows, laid_out(near, edge, buffer_factor), edge / 8).withColumn("x", F.col("x") - gap)
+
+
+def node_fields(points: DataFrame, halos: DataFrame, edge: float, nodes: int, buffer_factor: float, nc: int) -> DataFrame:
+    """Normalised grids (node, ix, iy, iz) of a volume of nodes**3 boxes; points and halos have global positions."""
+    rows = node_rows(domain.to_nodes(points, edge, nodes), domain.to_nodes(halos, edge, nodes), edge, nodes, buffer_factor)
+    return mesh.normalise(mesh.assign(rows, edge, nc, keys=("node",)), edge, nc)
 
 
 def fof_field(points: DataFrame, length: float, boxsize: float, nc: int, least: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,11 +207,17 @@ def mesh_global(spark, sf_dir) -> DataFrame:
 _NORM = f"nm AS (SELECT ix, iy, iz, n * 8e0 AS n, halo * 8e0 AS halo, CASE WHEN n > 0 THEN c * {CELL**3!r}::DOUBLE / (n * n) ELSE 0 END AS c, " + ", ".join(f"CASE WHEN n > 0 THEN v{a} / n ELSE 0 END AS v{a}" for a in "xyz") + " FROM ms)"
 
 
-@query(f"{_MESH}, {_NORM} SELECT ix, iy, iz, {_R('n', 'halo')}, round(log10(c), 5) + 0e0 AS log_c, " + ", ".join(f"round(v{a}, 5) + 0e0 AS v{a}" for a in "xyz") + " FROM nm WHERE n > 1e-5")
+@query(f"{_MESH}, {_NORM} SELECT ix, iy, iz, {_R('n', 'halo')}, CASE WHEN n > 1e-5 THEN round(log10(c), 5) + 0e0 END AS log_c, " + ", ".join(f"CASE WHEN n > 1e-5 THEN round(v{a}, 5) + 0e0 END AS v{a}" for a in "xyz") + " FROM nm")
 def mesh_normalise(spark, sf_dir) -> DataFrame:
     p = particles_e(spark, sf_dir)
-    m = fields.clumping_field(p, halos_e(p), BOX, NC).where("n > 1e-5")
-    return m.select("ix", "iy", "iz", r6("n").alias("n"), r6("halo").alias("halo"), _log(F.col("c")).alias("log_c"), *((F.round(f"v{a}", 5) + F.lit(0.0)).alias(f"v{a}") for a in "xyz"))
+    return _compared(fields.clumping_field(p, halos_e(p), BOX, NC), "ix", "iy", "iz")
+
+
+def _compared(m: DataFrame, *keys: str) -> DataFrame:
+    """All cells; quotients of nearly nothing, which differ in the last digits of n, count as unknown."""
+    some = F.col("n") > 1e-5
+    v = (F.when(some, F.round(f"v{a}", 5) + F.lit(0.0)).alias(f"v{a}") for a in "xyz")
+    return m.select(*keys, r6("n").alias("n"), r6("halo").alias("halo"), F.when(some, _log(F.col("c"))).alias("log_c"), *v)
 
 
 @query(f"{_MESH}, t AS (SELECT sum(n + halo) AS total FROM ms), e AS (SELECT count(*) AS expected FROM pe) SELECT round(total, 6) AS total, expected, abs(total / expected - 1e0) < 0.001e0 AS ok FROM t, e")
@@ -241,10 +249,79 @@ def grid_momentum(spark, sf_dir) -> DataFrame:
     return _planes(mesh.momentum(mesh.merged(_node_grids(spark, sf_dir), 8, NODES)).select("gx", "gy", "gz", "n", "ntot", "vx", "vy", "vz"), "gx", "gy", "gz")
 
 
-@query(f"{_MESH}, {_NORM}, {_BY_NODE}, {_GLOBAL} SELECT gx, gz, round(log10(n / 0.9765625e0), 5) + 0e0 AS log_ratio FROM gl WHERE gy = 8 AND n > 1e-5")
+@query(f"{_MESH}, {_NORM}, {_BY_NODE}, {_GLOBAL} SELECT gx, gz, CASE WHEN n > 1e-5 THEN round(log10(n / 0.9765625e0), 5) + 0e0 END AS log_ratio FROM gl WHERE gy = 8 AND n > 0")
 def grid_slice_log(spark, sf_dir) -> DataFrame:
-    m = mesh.merged(_node_grids(spark, sf_dir), 8, NODES).where("n > 1e-5")
-    return mesh.slice_log(m, 8, 0.9765625).select("gx", "gz", (F.round("log_ratio", 5) + F.lit(0.0)).alias("log_ratio"))
+    m = mesh.slice_log(mesh.merged(_node_grids(spark, sf_dir), 8, NODES), 8, 0.9765625)
+    return m.select("gx", "gz", F.when(F.col("log_ratio") > math.log10(1e-5 / 0.9765625), F.round("log_ratio", 5) + F.lit(0.0)).alias("log_ratio"))
+
+
+@query(f"{_MESH}, {_NORM}, {_BY_NODE}, {_GLOBAL} SELECT round(sum(n / 8e0), 6) AS n_rows, round(sum((n + halo) / 8e0), 6) AS all_rows FROM gl")
+def grid_totals(spark, sf_dir) -> DataFrame:
+    return mesh.totals(mesh.merged(_node_grids(spark, sf_dir), 8, NODES)).select(r6("n_rows").alias("n_rows"), r6("all_rows").alias("all_rows"))
+
+
+@query(f"{_MESH}, {_NORM}, {_BY_NODE}, {_GLOBAL} SELECT (gz::BIGINT * 16 + gy) * 16 + gx AS place, {_R('n')} FROM gl ORDER BY place")
+def grid_ordered(spark, sf_dir) -> DataFrame:
+    return mesh.in_order(mesh.merged(_node_grids(spark, sf_dir), 8, NODES), 2 * 8).select(F.col("at").alias("place"), r6("n").alias("n"))
+
+
+@query(f"WITH {_ROWS}, sh AS (SELECT * REPLACE (x - 24e0 AS x, y + 8e0 AS y) FROM rw), ins AS (SELECT * FROM sh WHERE x >= 0 AND x < 64 AND y >= 0 AND y < 64 AND z >= 0 AND z < 64), {_cells_sql('ins', True)}, {_SUMS} SELECT ix, iy, iz, {_R('n', 'halo', 'c')} FROM ms")
+def mesh_interior(spark, sf_dir) -> DataFrame:
+    moved = _rows(spark, sf_dir).withColumn("x", F.col("x") - 24.0).withColumn("y", F.col("y") + 8.0)
+    return _planes(mesh.assign(mesh.interior(moved, BOX), BOX, NC, periodic=True).select("ix", "iy", "iz", "n", "halo", "c"), "ix", "iy", "iz")
+
+
+# many nodes
+
+_NODE_BF, _NODE_NC = 0.2, 8
+_PADDED = " AND ".join(f"{a} > {-_NODE_BF * EDGE!r}::DOUBLE AND {a} < {EDGE + _NODE_BF * EDGE!r}::DOUBLE" for a in "xyz")
+
+
+def _node_cells_sql() -> str:
+    cell = EDGE / _NODE_NC
+    lo = lambda a: f"greatest(0, trunc(({a} - rk) / {cell!r}::DOUBLE)::INT)"
+    hi = lambda a: f"least({_NODE_NC}, 1 + trunc(({a} + rk) / {cell!r}::DOUBLE)::INT)"
+    steps, last = [], "rw"
+    for k, a in enumerate("xyz"):
+        steps.append(f"c{k} AS (SELECT *, unnest(range({lo(a)}, {hi(a)}))::INT AS i{a} FROM {last})")
+        last = f"c{k}"
+    s = lambda a: f"((i{a} * {cell!r}::DOUBLE - {a}) / rk)"
+    w = " * ".join(f"({_F(f'({s(a)} + {cell!r}::DOUBLE / rk)')} - {_F(s(a))})" for a in "xyz")
+    return ", ".join(steps) + f", cl AS (SELECT *, {w} AS w FROM {last})"
+
+
+def _exchanged_sql(source: str, columns: str, name: str) -> str:
+    """Table name: the rows of source (global positions) and their ghosts by node, cropped."""
+    s = ", ".join(f"{_SIDE(a, EDGE, _NODE_BF)} - 1 AS s{a}" for a in "xyz")
+    one = lambda a, e: f"SELECT * EXCLUDE (s{a}), unnest(CASE WHEN s{a} = 0 THEN [0] ELSE [0, s{a}] END) AS d{a} FROM {e}"
+    local = f"SELECT {columns}, floor(x / 32e0)::INT AS cx, floor(y / 32e0)::INT AS cy, floor(z / 32e0)::INT AS cz, x - 32e0 * floor(x / 32e0) AS x, y - 32e0 * floor(y / 32e0) AS y, z - 32e0 * floor(z / 32e0) AS z FROM {source}"
+    return f"""{name}0 AS ({local}), {name}1 AS (SELECT *, {s} FROM {name}0), {name}2 AS ({one('x', name + '1')}), {name}3 AS ({one('y', name + '2')}), {name}4 AS ({one('z', name + '3')}),
+{name} AS (SELECT * FROM (SELECT {columns}, (cx + dx + 2) % 2 + 2 * ((cy + dy + 2) % 2) + 4 * ((cz + dz + 2) % 2) AS node, dx <> 0 OR dy <> 0 OR dz <> 0 AS is_ghost, x - dx * 32e0 AS x, y - dy * 32e0 AS y, z - dz * 32e0 AS z FROM {name}4) WHERE {_PADDED})"""
+
+
+_NODE_ROWS = f"""WITH {PE}, {HE}, {_exchanged_sql('pe', 'pid, vx, vy, vz', 'np')}, {_exchanged_sql('he', 'hid, r, mass', 'nh')},
+pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node, pid ORDER BY d2, nid) AS rn FROM (
+  SELECT a.node, a.pid, b.pid AS nid, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM np a JOIN np b USING (node))) WHERE rn <= 33),
+rk AS (SELECT node, pid, sqrt(d2) AS rk FROM pr WHERE rn = 33),
+dn AS (SELECT node, nid AS pid, sum({_TRI}) AS dens FROM pr JOIN rk USING (node, pid) WHERE rn < 33 GROUP BY node, nid),
+so AS (SELECT DISTINCT np.node, np.pid FROM np JOIN nh ON np.node = nh.node AND (np.x - nh.x) * (np.x - nh.x) + (np.y - nh.y) * (np.y - nh.y) + (np.z - nh.z) * (np.z - nh.z) < nh.r * nh.r),
+rw AS (SELECT np.*, rk, coalesce(dens, 0) AS dens, CASE WHEN so.pid IS NULL THEN 0 ELSE -1 END AS igrp FROM np JOIN rk USING (node, pid) LEFT JOIN dn USING (node, pid) LEFT JOIN so USING (node, pid))"""
+_NODE_MESH = f"{_NODE_ROWS}, {_node_cells_sql()}, {_SUMS.replace('ms AS (SELECT ix', 'ms AS (SELECT node, ix').replace('GROUP BY ix', 'GROUP BY node, ix')}"
+_NODE_NORM = _NORM.replace("nm AS (SELECT ix", "nm AS (SELECT node, ix").replace(f"{CELL**3!r}", f"{(EDGE / _NODE_NC) ** 3!r}")
+
+
+@query(f"{_NODE_ROWS} SELECT node, pid, is_ghost, round(rk, 6) AS rk, round(dens, 6) + 0e0 AS dens, igrp FROM rw")
+def node_rows(spark, sf_dir) -> DataFrame:
+    p = particles_e(spark, sf_dir)
+    local = [domain.to_nodes(d, EDGE, NODES) for d in (p, halos_e(p))]
+    rows = fields.node_rows(*local, EDGE, NODES, _NODE_BF)
+    return rows.select("node", F.floor(F.col("pid") / F.lit(NODES**3)).alias("pid"), "is_ghost", r6("rk").alias("rk"), r6("dens").alias("dens"), "igrp")
+
+
+@query(f"{_NODE_MESH}, {_NODE_NORM} SELECT node, ix, iy, iz, {_R('n', 'halo')}, CASE WHEN n > 1e-5 THEN round(log10(c), 5) + 0e0 END AS log_c, " + ", ".join(f"CASE WHEN n > 1e-5 THEN round(v{a}, 5) + 0e0 END AS v{a}" for a in "xyz") + " FROM nm")
+def node_fields(spark, sf_dir) -> DataFrame:
+    p = particles_e(spark, sf_dir)
+    return _compared(fields.node_fields(p, halos_e(p), EDGE, NODES, _NODE_BF, _NODE_NC), "node", "ix", "iy", "iz")
 
 
 # groups

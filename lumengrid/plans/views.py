@@ -29,9 +29,9 @@ def particles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def halos_e(particles: DataFrame) -> DataFrame:
-    """Every 50th particle as the centre of a halo."""
+    """Every 50th particle as the centre of a halo; every third halo has half the mass that it should have."""
     r = 2.0 + (F.col("pid") % 3) * F.lit(0.5)
-    return particles.where("pid % 50 = 0").select(F.col("pid").alias("hid"), "x", "y", "z", r.alias("r")).withColumn("mass", F.lit(DELTA * 4.0 / 3.0) * F.pi() * F.col("r") * F.col("r") * F.col("r"))
+    return particles.where("pid % 50 = 0").select(F.col("pid").alias("hid"), "x", "y", "z", r.alias("r")).withColumn("mass", F.lit(DELTA * 4.0 / 3.0) * F.pi() * F.col("r") * F.col("r") * F.col("r") * F.when(F.col("hid") % 150 == 0, 0.5).otherwise(1.0))
 
 
 PE = """pe AS (SELECT vec_id AS pid,
@@ -40,5 +40,5 @@ PE = """pe AS (SELECT vec_id AS pid,
   floor(cast(embedding[5] AS DOUBLE) * 4096e0) / 4096e0 AS vy, floor(cast(embedding[6] AS DOUBLE) * 4096e0) / 4096e0 AS vz FROM embeddings)"""
 PV = """pv AS (SELECT event_id AS pid, ((event_id * 7919 + user_id * 104729) % 8192) / 128e0 + 0.00390625e0 AS x,
   ((event_id * 6151 + user_id * 15485863) % 8192) / 128e0 + 0.00390625e0 AS y, ((event_id * 3079 + user_id * 32452843) % 8192) / 128e0 + 0.00390625e0 AS z FROM events)"""
-HE = f"""he AS (SELECT pid AS hid, x, y, z, 2e0 + (pid % 3) * 0.5e0 AS r, {DELTA * 4.0 / 3.0!r}::DOUBLE * pi() * (2e0 + (pid % 3) * 0.5e0) * (2e0 + (pid % 3) * 0.5e0) * (2e0 + (pid % 3) * 0.5e0) AS mass
+HE = f"""he AS (SELECT pid AS hid, x, y, z, 2e0 + (pid % 3) * 0.5e0 AS r, {DELTA * 4.0 / 3.0!r}::DOUBLE * pi() * (2e0 + (pid % 3) * 0.5e0) * (2e0 + (pid % 3) * 0.5e0) * (2e0 + (pid % 3) * 0.5e0) * CASE WHEN pid % 150 = 0 THEN 0.5e0 ELSE 1e0 END AS mass
   FROM pe WHERE pid % 50 = 0)"""

@@ -1,23 +1,31 @@
-"""Binary snapshot, halo and grid formats: Spark data sources that read one partition per node file, and writers.
+"""Binary snapshot, halo and grid formats as Spark data sources that read ranges of rows, and text inputs.
 
-Files are found through Spark's binaryFile source, so any store that Spark reads will do. Each file is one node's data
-and is decoded as a whole by one task, in Arrow batches; node files are bounded by the run that wrote them.
+A file is cut into ranges of rows, one Spark partition each; a task seeks to its range and reads it batch by batch, so files
+may be of any size. Files are opened through pyarrow's file systems, on any that all executors reach.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BATCH = 1 << 16
-
-#: Words of 4 bytes in the headers of both snapshot formats, after the row count.
-XV_HEADER = ("a", "t", "tau", "nts", "dt_f_acc", "dt_pp_acc", "dt_c_acc", "cur_checkpoint", "cur_projection", "cur_halofind", "mass_p")
-ZIP_HEADER_WORDS, VELOCITY_WORD = 16, 13  # the 14th word, counted with the row count, holds the velocity scale
+#: Rows that a task reads by default.
+RANGE = 1 << 22
+#: Coarse cells whose counts are looked at together.
+CELLS = 1 << 20
+
+#: Words of 4 bytes in the header of a zipped snapshot, and the one (counted from 0) that holds the velocity scale.
+ZIP_HEADER_WORDS, VELOCITY_WORD = 16, 13
+XV_HEADER_BYTES = 48
 #: 32-bit floats of a halo record, and bytes of the particle ids that may follow it.
 HALO22, HALO17, PID_BYTES = 22, 17, 1600
 #: Places of (mass, radius) in a 22-float record by mass definition, and in a 17-float record.
@@ -36,169 +44,329 @@ def decoded_velocity(i16: Column, scale: float) -> Column:
     return i16 / F.lit(scale)
 
 
-def files(spark: SparkSession, base: str, redshift: str, kind: str) -> DataFrame:
-    """node and content of the files `<base><node>/<redshift><kind><node>.dat`."""
-    found = spark.read.format("binaryFile").load(f"{base}*/{redshift}{kind}*.dat")
-    return found.select(F.regexp_extract("path", rf"{kind}(\d+)\.dat$", 1).cast("int").alias("node"), "content")
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri)
+
+
+def node_files(base: str, name: str) -> dict[int, str]:
+    """Paths of `<base><node>/<name>` by node; name has {} for the node's number."""
+    store, root = opened(base)
+    parent, _, prefix = root.rpartition("/")
+    found = {}
+    for x in store.get_file_info(fs.FileSelector(parent)):
+        if x.type == fs.FileType.Directory and (m := re.fullmatch(re.escape(prefix) + r"(\d+)", x.base_name)):
+            path = f"{x.path}/{name.format(m[1])}"
+            if store.get_file_info(path).type == fs.FileType.File:
+                found[int(m[1])] = path
+    return found
+
+
+def grid_files(base: str, kind: str) -> dict[int, str]:
+    """Paths of `<base><kind><node>.dat` by node."""
+    store, root = opened(base + kind)
+    parent, _, prefix = root.rpartition("/")
+    named = ((re.fullmatch(re.escape(prefix) + r"(\d+)\.dat", x.base_name), x.path) for x in store.get_file_info(fs.FileSelector(parent)))
+    return {int(m[1]): path for m, path in named if m}
+
 
+@dataclass
+class Range(InputPartition):
+    """Rows first to last (not included) of a node's file."""
 
-def _batches(node: int, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    node: int
+    path: str
+    first: int
+    last: int
+
+    def __init__(self, node: int, path: str, first: int, last: int):
+        super().__init__(None)
+        self.node, self.path, self.first, self.last = node, path, first, last
+
+
+def _columns(node: int, first: int, columns: dict[str, np.ndarray], key: str | None) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    for a in range(0, n, BATCH):
-        part = {k: v[a : a + BATCH] for k, v in columns.items()}
-        size = min(BATCH, n - a)
-        yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(size, node, np.int32))} | {k: pa.array(v) for k, v in part.items()})
+    out = {"node": pa.array(np.full(n, node, np.int32))}
+    if key:
+        out[key] = pa.array((np.int64(node) << 40) + np.arange(first, first + n))
+    return pa.RecordBatch.from_pydict(out | {k: pa.array(np.ascontiguousarray(v)) for k, v in columns.items()})
+
+
+class _Reader(DataSourceReader):
+    """Options: base, redshift, order (< or >), shift (x,y,z), range (rows of a task)."""
+
+    def __init__(self, options: dict):
+        self.o = dict(options)
+        self.order = self.o.get("order", "<")
+        self.range = int(self.o.get("range", RANGE))
+        self.shift = np.array([float(s) for s in self.o.get("shift", "0,0,0").split(",")])
+
+    def store(self) -> fs.FileSystem:
+        return opened(self.o["base"])[0]
+
+    def number(self, store: fs.FileSystem, path: str) -> int:
+        """The row count in the first word of a file."""
+        with store.open_input_file(path) as f:
+            return int(np.frombuffer(f.read(4), f"{self.order}i4")[0])
+
+    def files(self) -> dict[int, str]:
+        return node_files(self.o["base"], self.o["redshift"] + self.kind + "{}.dat")
+
+    def rows(self, store: fs.FileSystem, path: str, node: int) -> int:
+        return self.number(store, path)
+
+    def partitions(self):
+        store, out = self.store(), []
+        for node, path in sorted(self.files().items()):
+            n = self.rows(store, path, node)
+            # an empty file has a range too, so that it is checked
+            out += [Range(node, path, a, min(n, a + self.range)) for a in range(0, max(1, n), self.range)]
+        return out
+
+    def particles(self, node: int, first: int, xyz: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return _columns(node, first, {a: xyz[:, i] for i, a in enumerate("xyz")} | {f"v{a}": v[:, i] for i, a in enumerate("xyz")}, "pid")
+
+
+class XvReader(_Reader):
+    kind = "xv"
+
+    def rows(self, store, path, node):
+        n, size = self.number(store, path), store.get_file_info(path).size
+        if size < XV_HEADER_BYTES + 24 * n:
+            raise ValueError(f"xv file of node {node}: {n} rows in {size} bytes")
+        return n
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        with self.store().open_input_file(partition.path) as f:
+            f.seek(XV_HEADER_BYTES + 24 * partition.first)
+            for a in range(partition.first, partition.last, BATCH):
+                n = min(BATCH, partition.last - a)
+                rows = np.frombuffer(f.read(24 * n), f"{self.order}f4").reshape(n, 6).astype(np.float64)
+                yield self.particles(partition.node, a, rows[:, :3] - self.shift, rows[:, 3:])
+
+
+class ZipReader(_Reader):
+    """Four files a node: sub-cell positions, velocities, cell counts, and the counts that don't fit."""
+
+    def files(self):
+        return node_files(self.o["base"], self.o["redshift"] + "zip0_{}.dat")
+
+    def counts(self, store: fs.FileSystem, path: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Counts of coarse cells, some at a time, with the number of the first."""
+        cells, escaped = int(self.o["nc_node_dim"]) ** 3, 0
+        path2, path3 = (re.sub(r"zip0_(\d+\.dat)$", rf"zip{k}_\1", path) for k in (2, 3))
+        with store.open_input_file(path2) as f:
+            for a in range(0, cells, CELLS):
+                c = np.frombuffer(f.read(min(CELLS, cells - a)), np.uint8).astype(np.int64)
+                large = np.flatnonzero(c == 255)
+                if len(large):
+                    with store.open_input_file(path3) as g:
+                        g.seek(4 * escaped)
+                        more = np.frombuffer(g.read(4 * len(large)), f"{self.order}i4")
+                    if len(more) < len(large):
+                        raise ValueError(f"{path3}: {escaped + len(more)} counts are too few")
+                    c[large] = more
+                    escaped += len(large)
+                yield a, c
+
+    def check(self, store: fs.FileSystem, path: str, node: int) -> None:
+        n, found = self.number(store, path), sum(int(c.sum()) for _, c in self.counts(store, path))
+        sizes = [store.get_file_info(re.sub(r"zip0_(\d+\.dat)$", rf"zip{k}_\1", path)).size for k in (0, 1)]
+        if found != n or sizes != [64 + 3 * n, 64 + 6 * n]:
+            raise ValueError(f"zip files of node {node}: {n} rows, {found} in cells, {sizes[0]} and {sizes[1]} bytes")
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        store, path = self.store(), partition.path
+        if partition.first == 0:
+            self.check(store, path, partition.node)
+        if partition.first == partition.last:
+            return
+        scale, nc = float(self.o["mesh_scale"]), int(self.o["nc_node_dim"])
+        with store.open_input_file(path) as f0, store.open_input_file(re.sub(r"zip0_(\d+\.dat)$", r"zip1_\1", path)) as f1:
+            unit = float(np.frombuffer(f0.read(64), f"{self.order}f4")[VELOCITY_WORD])
+            f0.seek(64 + 3 * partition.first)
+            f1.seek(64 + 6 * partition.first)
+            before = 0
+            for cell0, c in self.counts(store, path):
+                upto = before + np.cumsum(c)
+                a, z = max(partition.first, before), min(partition.last, int(upto[-1]))
+                for s in range(a, z, BATCH):
+                    n = min(BATCH, z - s)
+                    cell = cell0 + np.searchsorted(upto, np.arange(s, s + n), side="right")
+                    corner = np.stack([cell % nc, cell // nc % nc, cell // nc**2], axis=1)
+                    inside = (np.frombuffer(f0.read(3 * n), np.uint8).reshape(n, 3) + 0.5) / 256
+                    v = np.frombuffer(f1.read(6 * n), f"{self.order}i2").reshape(n, 3) / unit
+                    yield self.particles(partition.node, s, scale * (inside + corner) - self.shift, v)
+                before = int(upto[-1])
+                if before >= partition.last:
+                    break
+
+
+class HaloReader(_Reader):
+    """More options: boxsize, mass_def (vir or 200c), layout (22 or 17), pids (true if ids follow a record)."""
+
+    kind = "halo"
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.layout = int(self.o.get("layout", HALO22))
+        self.head = 12 if self.layout == HALO22 else 4
+        self.size = 4 * self.layout + (PID_BYTES if self.o.get("pids", "false") == "true" else 0)
+        self.at = MASS_AND_RADIUS[self.o.get("mass_def", "vir")] if self.layout == HALO22 else MASS_AND_RADIUS_17
+
+    def rows(self, store, path, node):
+        return max(0, store.get_file_info(path).size - self.head) // self.size
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        step = max(1, (BATCH * 48) // self.size)
+        with self.store().open_input_file(partition.path) as f:
+            f.seek(self.head + self.size * partition.first)
+            for a in range(partition.first, partition.last, step):
+                n = min(step, partition.last - a)
+                raw = np.frombuffer(f.read(n * self.size), np.uint8).reshape(n, self.size)[:, : 4 * self.layout]
+                rec = np.ascontiguousarray(raw).view(f"{self.order}f4").astype(np.float64).reshape(n, self.layout)
+                at = np.fmod(rec[:, :3], float(self.o["boxsize"])) - self.shift
+                mass, radius = self.at
+                yield _columns(partition.node, a, {c: at[:, i] for i, c in enumerate("xyz")} | {"r": rec[:, radius], "mass": rec[:, mass]}, "hid")
+
+
+class GridReader(_Reader):
+    """Cells of `<base><kind><node>.dat`, or of the one file base where kind is empty. More options: components, words (of the header)."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.words, self.components = int(self.o.get("words", 1)), int(self.o.get("components", 1))
+
+    def files(self):
+        return grid_files(self.o["base"], self.o["kind"]) if self.o.get("kind") else {0: opened(self.o["base"])[1]}
+
+    def rows(self, store, path, node):
+        cells, size = self.number(store, path) ** 3, store.get_file_info(path).size
+        if size != 4 * self.words + 4 * self.components * cells:
+            raise ValueError(f"{path}: {cells} cells in {size} bytes")
+        return cells
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        store = self.store()
+        nc = self.number(store, partition.path)
+        with store.open_input_file(partition.path) as f:
+            f.seek(4 * self.words + 4 * self.components * partition.first)
+            for a in range(partition.first, partition.last, BATCH):
+                n = min(BATCH, partition.last - a)
+                v = np.frombuffer(f.read(4 * n * self.components), f"{self.order}f4").reshape(n, self.components).astype(np.float64)
+                at = np.arange(a, a + n)
+                place = {"ix": at % nc, "iy": at // nc % nc, "iz": at // nc**2}
+                yield _columns(partition.node, a, {k: x.astype(np.int32) for k, x in place.items()} | {f"v{i}": v[:, i] for i in range(self.components)}, None)
+
 
+class HeaderReader(_Reader):
+    """Row counts from the first word of each snapshot file; nothing else is read. Option kind: xv or zip0_."""
 
-def _numbered(node: int, n: int) -> np.ndarray:
-    return (np.int64(node) << 40) + np.arange(n)
+    def files(self):
+        return node_files(self.o["base"], self.o["redshift"] + self.o.get("kind", "xv") + "{}.dat")
 
+    def partitions(self):
+        return [Range(node, path, 0, 1) for node, path in sorted(self.files().items())]
 
-def _particles(node: int, xyz: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-    yield from _batches(node, {"pid": _numbered(node, len(xyz))} | {a: np.ascontiguousarray(xyz[:, i]) for i, a in enumerate("xyz")} | {f"v{a}": np.ascontiguousarray(v[:, i]) for i, a in enumerate("xyz")})
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        yield _columns(partition.node, 0, {"np": np.array([self.number(self.store(), partition.path)], np.int64)}, None)
 
 
-def read_xv(spark: SparkSession, base: str, redshift: str, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<") -> DataFrame:
-    """Rows of xv snapshots: a header of 48 bytes, then six floats a row. Raises if a file is shorter than its header says."""
+class _Source(DataSource):
+    def reader(self, schema):
+        return self.made(self.options)
 
-    def run(batches):
-        for batch in batches:
-            for node, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = int(np.frombuffer(content, f"{order}i4", 1)[0])
-                if len(content) < 48 + 24 * n:
-                    raise ValueError(f"xv file of node {node}: {n} rows in {len(content)} bytes")
-                rows = np.frombuffer(content, f"{order}f4", 6 * n, 48).reshape(n, 6).astype(np.float64)
-                yield from _particles(node, rows[:, :3] - np.array(shift, float), rows[:, 3:])
+    def schema(self):
+        return self.columns
 
-    return files(spark, base, redshift, "xv").mapInArrow(run, ROWS)
 
+class XvSource(_Source):
+    made, columns = XvReader, ROWS
 
-def read_headers(spark: SparkSession, base: str, redshift: str, kind: str = "xv", order: str = "<") -> DataFrame:
-    """node and np of each snapshot file."""
+    @classmethod
+    def name(cls):
+        return "snapshot_xv"
 
-    def run(batches):
-        for batch in batches:
-            n = [int(np.frombuffer(c, f"{order}i4", 1)[0]) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["node", "np"])
 
-    found = files(spark, base, redshift, kind)
-    return found.select("node", F.substring("content", 1, 4).alias("content")).mapInArrow(run, "node int, np bigint")
+class ZipSource(_Source):
+    made, columns = ZipReader, ROWS
 
+    @classmethod
+    def name(cls):
+        return "snapshot_zip"
 
-def read_zip(spark: SparkSession, base: str, redshift: str, nc_node_dim: int, mesh_scale: float, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<") -> DataFrame:
-    """Rows of zipped snapshots (four files a node): sub-cell positions, velocities, cell counts, and the counts that don't fit.
 
-    Raises if the counts don't add up to the header's rows or a file has another size than they ask for.
-    """
-    zips = [files(spark, base, redshift, f"zip{k}_").withColumnRenamed("content", f"c{k}") for k in range(4)]
-    joined = zips[0]
-    for more in zips[1:]:
-        joined = joined.join(more, "node", "left")
-
-    def run(batches):
-        for batch in batches:
-            for node, c0, c1, c2, c3 in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                n = int(np.frombuffer(c0, f"{order}i4", 1)[0])
-                scale = float(np.frombuffer(c0, f"{order}f4", ZIP_HEADER_WORDS)[VELOCITY_WORD])
-                per_cell = np.frombuffer(c2, np.uint8, nc_node_dim**3).astype(np.int64)
-                large = np.flatnonzero(per_cell == 255)
-                per_cell[large] = np.frombuffer(c3 or b"", f"{order}i4", len(large))
-                if per_cell.sum() != n or len(c0) != 64 + 3 * n or len(c1) != 64 + 6 * n:
-                    raise ValueError(f"zip files of node {node}: {n} rows, {per_cell.sum()} in cells, {len(c0)} and {len(c1)} bytes")
-                cell = np.repeat(np.arange(nc_node_dim**3), per_cell)
-                corner = np.stack([cell % nc_node_dim, cell // nc_node_dim % nc_node_dim, cell // nc_node_dim**2], axis=1)
-                inside = (np.frombuffer(c0, np.uint8, 3 * n, 64).reshape(n, 3) + 0.5) / 256
-                v = np.frombuffer(c1, f"{order}i2", 3 * n, 64).reshape(n, 3) / scale
-                yield from _particles(node, mesh_scale * (inside + corner) - np.array(shift, float), v)
-
-    return joined.select("node", "c0", "c1", "c2", "c3").mapInArrow(run, ROWS)
+class HaloSource(_Source):
+    made, columns = HaloReader, "node int, hid bigint, x double, y double, z double, r double, mass double"
 
+    @classmethod
+    def name(cls):
+        return "halo_catalogue"
 
-def read_halos(spark: SparkSession, base: str, redshift: str, boxsize: float, mass_def: str = "vir", layout: int = HALO22, pids: bool = False, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<") -> DataFrame:
-    """node, hid, x, y, z, r, mass of halo catalogues; positions folded into the box. A cut last record is left out."""
-    head = 12 if layout == HALO22 else 4
-    mass_at, radius_at = MASS_AND_RADIUS[mass_def] if layout == HALO22 else MASS_AND_RADIUS_17
-    size = 4 * layout + (PID_BYTES if pids else 0)
 
-    def run(batches):
-        for batch in batches:
-            for node, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = max(0, len(content) - head) // size
-                raw = np.frombuffer(content, np.uint8, n * size, head).reshape(n, size)[:, : 4 * layout]
-                rec = np.ascontiguousarray(raw).view(f"{order}f4").astype(np.float64).reshape(n, layout)
-                at = np.fmod(rec[:, :3], boxsize) - np.array(shift, float)
-                yield from _batches(node, {"hid": _numbered(node, n)} | {a: at[:, i].copy() for i, a in enumerate("xyz")} | {"r": rec[:, radius_at].copy(), "mass": rec[:, mass_at].copy()})
+class GridSource(_Source):
+    made = GridReader
 
-    return files(spark, base, redshift, "halo").mapInArrow(run, "node int, hid bigint, x double, y double, z double, r double, mass double")
+    @classmethod
+    def name(cls):
+        return "grid_file"
 
+    def schema(self):
+        return "node int, ix int, iy int, iz int, " + ", ".join(f"v{i} double" for i in range(int(self.options.get("components", 1))))
 
-def read_grid(spark: SparkSession, base: str, kind: str, components: int = 1, order: str = "<") -> DataFrame:
-    """node, ix, iy, iz and v0, v1, ... of grid files `<base><kind><node>.dat`: the cells per axis, then values, x fastest."""
-    found = spark.read.format("binaryFile").load(f"{base}{kind}*.dat").select(F.regexp_extract("path", r"(\d+)\.dat$", 1).cast("int").alias("node"), "content")
 
-    def run(batches):
-        for batch in batches:
-            for node, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nc = int(np.frombuffer(content, f"{order}i4", 1)[0])
-                v = np.frombuffer(content, f"{order}f4", components * nc**3, 4).reshape(-1, components).astype(np.float64)
-                at = np.arange(nc**3, dtype=np.int32)
-                yield from _batches(node, {"ix": at % nc, "iy": at // nc % nc, "iz": at // nc**2} | {f"v{i}": v[:, i].copy() for i in range(components)})
+class HeaderSource(_Source):
+    made, columns = HeaderReader, "node int, np bigint"
 
-    return found.mapInArrow(run, "node int, ix int, iy int, iz int, " + ", ".join(f"v{i} double" for i in range(components)))
+    @classmethod
+    def name(cls):
+        return "snapshot_header"
 
 
-def read_redshifts(spark: SparkSession, path: str) -> DataFrame:
-    """redshift (as written) and z of the first token of each line."""
-    first = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("redshift")).where("redshift <> ''")
-    return first.withColumn("z", F.expr("try_cast(redshift AS double)"))
+def _load(spark: SparkSession, source: type[DataSource], **options) -> DataFrame:
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).options(**{k: ",".join(map(str, v)) if isinstance(v, tuple) else str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).load()
 
 
-def read_shift(spark: SparkSession, path: str) -> tuple[float, float, float]:
-    """Shift from a line `z sx sy sz`; zeros if there is no such file."""
-    from pyspark.errors import AnalysisException
+def read_xv(spark: SparkSession, base: str, redshift: str, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE) -> DataFrame:
+    """Rows of xv snapshots: a header of 48 bytes, then six floats a row. Raises if a file is shorter than its header says."""
+    return _load(spark, XvSource, base=base, redshift=redshift, shift=shift, order=order, range=rows)
 
-    try:
-        lines = spark.read.text(path).head(1)
-    except AnalysisException:
-        return (0.0, 0.0, 0.0)
-    return tuple(float(x) for x in lines[0].value.split()[1:4]) if lines else (0.0, 0.0, 0.0)
 
+def read_headers(spark: SparkSession, base: str, redshift: str, kind: str = "xv", order: str = "<") -> DataFrame:
+    """node and np of each snapshot file; kind is xv or zip0_."""
+    return _load(spark, HeaderSource, base=base, redshift=redshift, kind=kind, order=order)
 
-def grid_bytes(mesh: DataFrame, nc: int, values: list[str], order: str = "<") -> DataFrame:
-    """node and content of each node's grid file. One group is one node's cells, at most nc**3 rows."""
 
-    def run(table: pa.Table) -> pa.Table:
-        out = np.zeros((nc**3, len(values)), f"{order}f4")
-        at = (table["iz"].to_numpy().astype(np.int64) * nc + table["iy"].to_numpy()) * nc + table["ix"].to_numpy()
-        for i, v in enumerate(values):
-            out[at, i] = table[v].to_numpy()
-        content = np.array([nc], f"{order}i4").tobytes() + out.tobytes()
-        return pa.table({"node": pa.array([table["node"][0].as_py()], pa.int32()), "content": pa.array([content], pa.binary())})
+def read_zip(spark: SparkSession, base: str, redshift: str, nc_node_dim: int, mesh_scale: float, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE) -> DataFrame:
+    """Rows of zipped snapshots. Raises if the counts don't add up to the header's rows or a file has another size than they ask for."""
+    return _load(spark, ZipSource, base=base, redshift=redshift, nc_node_dim=nc_node_dim, mesh_scale=mesh_scale, shift=shift, order=order, range=rows)
 
-    return mesh.select("node", "ix", "iy", "iz", *values).groupBy("node").applyInArrow(run, "node int, content binary")
 
+def read_halos(spark: SparkSession, base: str, redshift: str, boxsize: float, mass_def: str = "vir", layout: int = HALO22, pids: bool = False, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<") -> DataFrame:
+    """node, hid, x, y, z, r, mass of halo catalogues; positions folded into the box. A cut last record is left out."""
+    return _load(spark, HaloSource, base=base, redshift=redshift, boxsize=boxsize, mass_def=mass_def, layout=layout, pids=pids, shift=shift, order=order)
 
-def catalogue_bytes(groups: DataFrame, order: str = "<") -> DataFrame:
-    """node and content of each node's group catalogue: count, record size, records, count."""
 
-    def run(table: pa.Table) -> pa.Table:
-        kind = np.dtype([("m", f"{order}f4", 6), ("n", f"{order}i4")])
-        rec = np.zeros(table.num_rows, kind)
-        for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz")):
-            rec["m"][:, i] = table[c].to_numpy()
-        rec["n"] = table["nfof"].to_numpy()
-        n = np.array([len(rec)], f"{order}i4").tobytes()
-        content = n + np.array([kind.itemsize], f"{order}i4").tobytes() + rec.tobytes() + n
-        return pa.table({"node": pa.array([table["node"][0].as_py()], pa.int32()), "content": pa.array([content], pa.binary())})
+def read_grid(spark: SparkSession, base: str, kind: str, components: int = 1, order: str = "<", words: int = 1) -> DataFrame:
+    """node, ix, iy, iz and v0, v1, ... of grid files `<base><kind><node>.dat`: a header whose first word is the cells per axis, then values, x fastest.
 
-    return groups.select("node", "x", "y", "z", "vx", "vy", "vz", "nfof").groupBy("node").applyInArrow(run, "node int, content binary")
+    With an empty kind, base is one file (node 0). Raises if a file has another size than its header asks for.
+    """
+    return _load(spark, GridSource, base=base, kind=kind, components=components, order=order, words=words)
 
 
-def write_fields(mesh: DataFrame, path: str) -> None:
-    """Grids as parquet, a folder for each redshift, grid size and node; existing ones are replaced."""
-    mesh.write.mode("overwrite").partitionBy(*(c for c in ("redshift", "nc", "node") if c in mesh.columns)).parquet(path)
+def read_redshifts(spark: SparkSession, path: str) -> DataFrame:
+    """redshift (as written) and z of the first token of each line."""
+    first = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("redshift")).where("redshift <> ''")
+    return first.withColumn("z", F.expr("try_cast(redshift AS double)"))
+
 
+def read_shift(spark: SparkSession, path: str) -> tuple[float, float, float]:
+    """Shift from a line `z sx sy sz`; zeros if there is no such file."""
+    from pyspark.errors import AnalysisException
 
-def write_ascii(points: DataFrame, path: str) -> None:
-    """Six numbers a line."""
-    points.select(F.format_string("%e %e %e %e %e %e", "x", "y", "z", "vx", "vy", "vz").alias("value")).write.mode("overwrite").text(path)
+    try:
+        lines = spark.read.text(path).head(1)
+    except AnalysisException:
+        return (0.0, 0.0, 0.0)
+    return tuple(float(x) for x in lines[0].value.split()[1:4]) if lines else (0.0, 0.0, 0.0)
