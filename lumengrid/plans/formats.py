@@ -12,7 +12,7 @@ from lumengrid.operators import domain, groups, histogram, mesh
 from lumengrid.plans import registry as q
 from lumengrid.plans.views import BOX, HE, PE, halos_e, particles_e
 from lumengrid.session import scratch
-from lumengrid.sources import binary, writers
+from lumengrid.sources import binary, nodes, writers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,21 @@ def format_halo_check(spark, sf_dir) -> DataFrame:
     h = binary.read_halos(spark, base, Z, q.EDGE)
     ok = F.abs(kernels.overdensity(F.col("mass"), F.col("r")) - q.DELTA) < 10.0
     return h.groupBy("node").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("valid"))
+
+
+# node files read together: the crop of the exchanged rows is at the buffer's edge, which all ghosts are within
+
+
+@query(f"WITH {PE}, {q._exchanged_sql('pe', 'pid, vx, vy, vz', 'ex')} SELECT node, x, y, z, vx, is_ghost FROM ex")
+def format_xv_all(spark, sf_dir) -> DataFrame:
+    base = f"{_folder(spark)}/node"
+    writers.write_xv(_local(spark, sf_dir), base, Z).collect()
+    rows = nodes.all_xv(spark, base, Z, q.EDGE, q.NODES, q._NODE_BF)
+    return domain.crop(rows, q.EDGE, q._NODE_BF).select("node", "x", "y", "z", "vx", "is_ghost")
+
+
+@query(f"WITH {PE}, {HE}, {q._exchanged_sql('he', 'hid, r, mass', 'ex')} SELECT node, x, y, z, is_ghost, abs(mass::FLOAT::DOUBLE / (4e0 / 3e0 * pi() * r * r * r) - {q.DELTA!r}::DOUBLE) <= 0.1e0 AS ok FROM ex")
+def format_halo_all(spark, sf_dir) -> DataFrame:
+    base = f"{_folder(spark)}/node"
+    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, 17).collect()
+    return nodes.all_halos(spark, base, Z, q.EDGE, q.NODES, q._NODE_BF, q.DELTA).select("node", "x", "y", "z", "is_ghost", "ok")

@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -13,9 +14,10 @@ from lumengrid.config import RunConfig, parse
 from lumengrid.functions import kernels
 from lumengrid.operators import domain, groups, mesh, spatial
 from lumengrid.operators.components import components
-from lumengrid.plans import fields, registry
-from lumengrid.plans.views import particles_e
-from lumengrid.sources import binary
+from lumengrid.plans import fields, formats, registry
+from lumengrid.plans.views import DELTA, halos_e, particles_e
+from lumengrid.sources import binary, writers
+from lumengrid.sources.binary import Range
 from lumengrid.streaming.snapshots import field_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,13 +27,13 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", [*registry.QUERIES, *formats.QUERIES])
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = con.sql(registry.ORACLES[name]).df()
-    got = registry.QUERIES[name](spark, sf).toPandas()
+    want = con.sql(entry.oracle_sql()[name]).df()
+    got = entry.queries()[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda d: sorted(tuple(map(str, r)) for r in d[sorted(d.columns)].itertuples(index=False))
     assert key(got) == key(want)
@@ -97,11 +99,43 @@ def test_ghost_copies(spark):
 
 
 def test_nodes_agree_with_one_box(spark, sf):
+    """Cell by cell, with halos across the nodes' faces; the buffer holds all rows, so each node sees what the one box sees."""
     p = particles_e(spark, sf).where("x > 22 AND x < 42 AND y > 22 AND y < 42 AND z > 22 AND z < 42")
-    none = spark.createDataFrame([], "hid long, x double, y double, z double, r double, mass double")
-    one = fields.clumping_field(p, none, 64.0, 8).where("n > 1e-6").groupBy().agg(F.sum("n")).first()[0]
-    many = fields.node_fields(p, none, 32.0, 2, 0.5, 4).groupBy().agg(F.sum("n")).first()[0]
-    assert math.isclose(one, many, rel_tol=1e-6)
+    halos = halos_e(p)
+    one = {(r.ix, r.iy, r.iz): r for r in fields.clumping_field(p, halos, 64.0, 8).collect()}
+    grid = fields.node_fields(p, halos, 32.0, 2, 0.5, 4)
+    many = {(r.gx, r.gy, r.gz): r for r in mesh.merged(grid, 4, 2).collect()}
+    assert sum(r.halo for r in one.values()) > 100
+    for at, r in one.items():
+        for c in ("n", "halo"):
+            assert math.isclose(r[c], many[at][c] if at in many else 0.0, rel_tol=1e-6, abs_tol=1e-6)
+        if r.n > 1e-2:
+            assert all(math.isclose(r[c], many[at][c], rel_tol=1e-4, abs_tol=1e-6) for c in ("c", "vx", "vy", "vz"))
+    assert all(r.n < 1e-6 for at, r in many.items() if at not in one)
+
+
+def test_witnesses_join_what_all_links_join(spark):
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.normal(c, 0.3, (80, 3)) for c in (0, 2, 5)] + [rng.uniform(-5, 10, (120, 3)), np.full((20, 3), 7.0)])
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "pid long, x double, y double, z double")
+    every, few = spatial.links(p, 0.6), spatial.witnesses(p, 0.6)
+    assert rows(components(every)) == rows(components(few)) and few.count() < every.count() / 3
+    got = dict(groups.friends(p, 0.6).collect())
+    assert len(set(got.values())) > 10 and max(Counter(got.values()).values()) > 60
+
+
+def test_groups_are_numbered_over_ranges(spark):
+    sizes = spark.createDataFrame([(7 * i % 1009,) for i in range(1009)], "root long").repartition(7)
+    assert rows(groups.numbered(sizes, "root", "igrp")) == [(i, i + 1) for i in range(1009)]
+
+
+def test_invalid_halos_stop_the_job(spark, sf):
+    halos = halos_e(particles_e(spark, sf))
+    assert groups.invalid_halos(halos, DELTA).where("NOT ok").count() == halos.where("hid % 150 = 0").count() > 0
+    with pytest.raises(Exception, match="overdensity"):
+        groups.require_valid(halos, DELTA).agg(F.sum("r")).collect()
+    good = halos.where("hid % 150 <> 0")
+    assert groups.require_valid(good, DELTA).count() == good.count()
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -126,8 +160,11 @@ def test_fof_field_moves_groups_to_the_halo_plane(spark, sf):
 def test_options():
     c = parse(["-xv", "64", "-nc", "32,64", "-l", "0.3", "-l", "0.4"])
     assert (c.boxsize, c.nc, c.link) == (64.0, (32, 64), 0.6)
+    assert parse(["-nc_node_dim", "16", "-mesh_scale", "2"]).box == 32.0
+    with pytest.raises(ValueError):
+        RunConfig(boxsize=64.0, buffer_factor=0.6)
     with pytest.raises(ValueError):
-        RunConfig(buffer_factor=0.6)
+        RunConfig()
 
 
 def put(path, content):
@@ -170,15 +207,38 @@ def test_halos(spark, tmp_path):
     assert binary.read_halos(spark, f"file://{tmp_path}/node", "0.000", 64.0, "200c", pids=True).first().mass == 6.0
 
 
-def test_grid_round_trip_and_catalogue(spark, tmp_path):
-    cells = [(3, i % 2, i // 2 % 2, i // 4, float(i), float(-i)) for i in range(8)]
-    m = spark.createDataFrame(cells, "node int, ix int, iy int, iz int, v0 double, v1 double")
-    for r in binary.grid_bytes(m, 2, ["v0", "v1"]).collect():
-        put(tmp_path / f"so/vel{r.node}.dat", bytes(r.content))
-    assert rows(binary.read_grid(spark, f"file://{tmp_path}/so/", "vel", 2)) == sorted(cells)
-    g = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 20)], "node int, x double, y double, z double, vx double, vy double, vz double, nfof int")
-    c = bytes(binary.catalogue_bytes(g).first().content)
-    assert np.frombuffer(c[:8], "<i4").tolist() == [1, 28] and np.frombuffer(c[8:32], "<f4").tolist() == [1, 2, 3, 4, 5, 6] and np.frombuffer(c[32:], "<i4").tolist() == [20, 1]
+def test_grid_files_and_catalogue(spark, tmp_path):
+    cells = [(3, i % 2, i // 2 % 2, i // 4, float(i), float(-i)) for i in range(7)]
+    m = spark.createDataFrame(cells, "node int, ix int, iy int, iz int, n double, halo double")
+    m = m.withColumns({c: F.lit(0.5) for c in ("c", "vx", "vy", "vz")})
+    base = f"file://{tmp_path}/so/nc2/0.000"
+    assert sorted(r.bytes for r in writers.write_grids(m, base, 2).collect()) == [36, 36, 36, 100]
+    assert rows(binary.read_grid(spark, base, "n")) == sorted([c[:5] for c in cells] + [(3, 1, 1, 1, 0.0)])  # a cell that is missing is 0
+    assert writers.missing(base, {"n3": 36, "h3": 35, "n4": 36}) == ["h3", "n4"]
+    with open(tmp_path / "so/nc2/0.000n3.dat", "ab") as f:
+        f.write(b"more")
+    with pytest.raises(Exception, match="bytes"):
+        binary.read_grid(spark, base, "n").count()
+    g = spark.createDataFrame([(0, 2, 9.0, 2.0, 3.0, 4.0, 5.0, 6.0, 21), (0, 1, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 20)], "node int, igrp int, x double, y double, z double, vx double, vy double, vz double, nfof int")
+    writers.write_catalogue(g, f"file://{tmp_path}/fof").collect()
+    c = open(f"{tmp_path}/fof0.dat", "rb").read()
+    assert np.frombuffer(c[:8], "<i4").tolist() == [2, 28] and np.frombuffer(c[8:32], "<f4").tolist() == [1, 2, 3, 4, 5, 6] and np.frombuffer(c[32:36], "<i4").tolist() == [20] and np.frombuffer(c[-8:], "<i4").tolist() == [21, 2]
+
+
+def test_large_sparse_files_open(spark, tmp_path):
+    """A file of more than 2 GB, nearly all of it a hole: its rows are read by ranges."""
+    n = 100_000_000
+    os.makedirs(tmp_path / "node0")
+    with open(tmp_path / "node0/0.000xv0.dat", "wb") as f:
+        f.write(np.array([n], "<i4").tobytes())
+        f.seek(48 + 24 * (n - 1))
+        f.write(np.arange(6, dtype="<f4").tobytes())
+    got = binary.read_xv(spark, f"file://{tmp_path}/node", "0.000", rows=1 << 24)
+    assert got.rdd.getNumPartitions() == 6
+    assert rows(binary.read_headers(spark, f"file://{tmp_path}/node", "0.000")) == [(0, n)]
+    one = Range(0, f"{tmp_path}/node0/0.000xv0.dat", n - 2, n)
+    reader = binary.XvReader({"base": f"file://{tmp_path}/node", "redshift": "0.000"})
+    assert [b.column("vz").to_pylist() for b in reader.read(one)] == [[0.0, 5.0]]
 
 
 def test_text_inputs(spark, tmp_path):
