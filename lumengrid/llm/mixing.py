@@ -26,7 +26,7 @@ BINS, SHAPES = 12, 5
 #: A cue is strong if, were all domains of one size, so much of its documents would be of its own.
 STRONG = 0.97
 #: Beginnings of words that tell a domain: so many at most, learned from about so many labelled documents.
-CUES, CUE_LETTERS, CUE_DOCS, CUE_LEAST = 256, 4, 6_000, 4
+CUES, CUE_LETTERS, CUE_DOCS, CUE_LEAST, CUE_Z = 256, 8, 6_000, 4, 2.5
 STEPS, TOLERANCE, PULL = 60, 1e-4, 1e-3
 #: Steps after which the groups' rates are written.
 STEPS_HELD = 10
@@ -65,7 +65,7 @@ def cues(docs: DataFrame, labelled: DataFrame, names: list[str]) -> list[list[st
         own = a / (inside + 1.0)
         strong = own / (own + b / (outside + 1.0)) >= STRONG
         for which in (strong, ~strong):
-            top = per.where(F.col(f"d{i}") >= CUE_LEAST).where(which).withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "stem").limit(CUES).collect() if inside and outside else []
+            top = per.where(F.col(f"d{i}") >= CUE_LEAST).where(which).withColumn("z", z).where(F.col("z") > CUE_Z).orderBy(F.desc("z"), "stem").limit(CUES).collect() if inside and outside else []
             out.append([x.stem for x in top])
     return out
 
