@@ -459,3 +459,81 @@ def test_naive_bayes_matches_plain_counts(spark):
             logs.append(math.log((len(own) + 1) / (len(y) + 3)) + sum(math.log((sum(b[f] == bins[r.doc_id][f] for b in own) + 0.5) / (len(own) + 0.5 * mixing.BINS)) for f in range(11)))
         want = np.exp(np.array(logs) - max(logs))
         assert np.allclose(r.p, want / want.sum(), atol=2e-6)
+
+
+def plain_pipeline_groups(rows):
+    """Rows that stay when of each group of near copies (0.8 of five-word pieces) the smallest id does."""
+    pieces = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split())
+    sets, root = [pieces(t) for _, t in rows], list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (not sets[i] and not sets[j]) or (both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    out = {}
+    for i in range(len(rows)):
+        out.setdefault(find(i), []).append(rows[i])
+    return sorted(str(min(g, key=lambda r: (r[0] is None, r[0] or 0))[0]) for g in out.values())
+
+
+def test_near_dedup_stage_matches_brute_force(spark):
+    """Ids that are null or have several texts; equal rows; blank texts; extra columns with the names used inside."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 120)) for _ in range(12)]
+    edited = [" ".join(x if k != 50 else x + "e" for k, x in enumerate(t.split())) for t in base]
+    rows = [(i, t) for i, t in enumerate(base)] + [(i + 1, t) for i, t in enumerate(edited[:6])] + [(3, base[9] + " own end"), (None, edited[7]), (None, "quite another text of its own with some words"), (None, None), (30, ""), (31, "  "), (5, base[5]), (5, base[5])]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, node long, _row long, first int"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, 2, 3) for i, t in rows], cols)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(str(r.doc_id) for r in got.collect()) == plain_pipeline_groups(rows)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_stages_on_edge_rows(spark, sf, docs, labels, items, tmp_path):
+    """Values that the stages promise for null, empty, repeated and long texts, null ids and empty tables."""
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    labels.write.parquet(f"{folder}/labels.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    own = docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    stages = dict(corpus_pipeline.STAGES)
+    lines = stages["line dedup"](spark, own, folder).collect()
+    assert len(lines) == len(EDGE) and all(r.text is not None and r.n_chars == len(r.text) for r in lines)
+    assert sorted(r.text for r in lines if r.doc_id == 2) == ["short", "short"]
+    clean = {r.doc_id for r in stages["benchmark decontamination"](spark, own, folder).collect()}
+    assert clean == {3, 4, 5, 7, 8, None}  # 1 and 2 hold an item, 6 another; of the rows without an id one does
+    mixed = stages["mixing sources to target weights"](spark, own, folder).collect()
+    assert all(r.copies > 0 and r.rate >= 0 for r in mixed) and len(mixed) <= len(EDGE)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, own.limit(0), folder).count() == 0, name
+
+
+def test_operators_on_edge_rows(docs, labels, items):
+    """Values that the docstrings promise."""
+    by = lambda rows: {(r.doc_id, k): r for k, r in enumerate(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)))}
+    hit = {r.doc_id: r for r in decontaminate.decontaminate(docs, items).collect() if r.doc_id is not None}
+    assert [(hit[i].n_words, hit[i].n_hit, hit[i].contaminated) for i in (1, 3, 4, 5)] == [(12, 3, True), (0, 0, False), (0, 0, False), (0, 0, False)]
+    assert (hit[6].n_words, hit[6].n_hit, hit[6].item_ids) == (20000, 20000, ["10"])
+    rules = by(quality_rules.quality_rules(docs).collect())
+    assert all(r.base_failed and not r.kept and r.n_words == 0 for (i, _), r in rules.items() if i in (3, 4, 5))
+    prints = by(simhash.near_duplicates(docs).collect())
+    assert all(r.fp == 0 for (i, _), r in prints.items() if i in (3, 4, 5)) and {r.component_id for (i, _), r in prints.items() if i in (1, 2)} == {1}
+    tox = toxicity.toxicity(docs, labels).collect()
+    assert all(0 <= r.score <= 1 and r.spans == "" for r in tox if r.doc_id in (3, 4, 5))
+    assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} != set() and all(r.predicted == 0 for r in toxicity.toxicity(docs, labels.limit(0)).collect())
+    assert all(r.score == 0.5 for r in quality.quality(docs, labels.limit(0)).collect())
+    assert len({r.score for r in quality.quality(docs, labels).collect() if r.doc_id in (3, 4)}) == 1
+    lang = {r.doc_id: (r.lang_pred, r.score) for r in language.language(docs).collect()}
+    assert all(lang[i] == ("und", 0.0) for i in (3, 4, 5)) and all(r.lang_pred == "und" for r in language.language(docs.withColumn("lang", F.lit(None).cast("string"))).collect())
+    found, _ = secrets.scan(docs)
+    assert {r.doc_id: len(r.spans) for r in found.collect() if r.doc_id is not None} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1, 8: 0}
+    lm = mixing_lm.lm_scores(docs).collect()
+    assert all(r.n_tokens == 1 and r.score < 0 for r in lm if r.doc_id in (3, 4, 5)) and next(r for r in lm if r.doc_id == 6).n_tokens == 20001
+    mixed = mixing.mix(docs, mixing.domains(labels.limit(0))).collect()
+    assert all(max(r.p) - min(r.p) < 1e-5 for r in mixed) and all(r.n_words == 0 for r in mixed if r.doc_id in (3, 4, 5))
+    assert {r.copies for r in mixed if r.doc_id == 2} <= {0, 1, 2} and len({(r.rate, r.copies) for r in mixed if r.doc_id == 2}) == 1
