@@ -42,6 +42,10 @@ def repeated_words(w: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(w) < n, F.lit(0)).otherwise(let(windows, repeats))
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.regexp_replace(F.btrim(ascii_lower(line), F.lit(BLANKS)), "[0-9]", "0"))
+
+
 def base_columns(text: Column) -> Column:
     """Struct of the counts that need no other document, and of lines (hash and words of each line with a word)."""
     # once joined by single spaces the words' code points are all but the spaces
@@ -58,12 +62,35 @@ def base_columns(text: Column) -> Column:
     def of_lines(x: Column) -> Column:
         return F.struct(
             (F.size(x) - F.size(F.array_distinct(F.transform(x, lambda y: y["line"])))).cast("bigint").alias("n_dup_lines"),
-            F.transform(x, lambda y: F.struct(F.xxhash64(F.regexp_replace(F.btrim(ascii_lower(y["line"]), F.lit(BLANKS)), "[0-9]", "0")).alias("h"), y["n"].alias("n"))).alias("lines"),
+            F.transform(x, lambda y: F.struct(line_hash(y["line"]).alias("h"), y["n"].alias("n"))).alias("lines"),
         )
 
     return F.struct(let(pieces(text, BLANK), of).alias("w"), let(lines, of_lines).alias("l"))
 
 
+def frequent(lines: DataFrame, hosts: DataFrame, least_docs: int, most_share: float) -> DataFrame:
+    """host and h of the lines that too many documents of a host hold. lines: host, h, doc_id; hosts: host, doc_id."""
+    # distinct documents by (host, line, document) first, so a line that all documents hold is counted from many tasks
+    per_line = lines.select("host", "h", "doc_id").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    per_host = hosts.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    over = per_line.where(F.col("n_docs") >= least_docs).join(per_host, "host").where(F.col("n_docs") > most_share * F.col("host_docs"))
+    return keep(over.select("host", "h"), "frequent")
+
+
+def without_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
+    """docs with each text's lines that are frequent in its host removed; the others stay as they are. A null text stays null."""
+    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    named = docs.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("\x01")), "_h": F.xxhash64("text")})
+    held = F.transform(F.filter(parts, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0), line_hash)
+    lines = keep(named.select(F.col("_host").alias("host"), "doc_id", "_h", F.explode(F.array_distinct(held)).alias("h")), "lines")
+    over = frequent(lines, named.select(F.col("_host").alias("host"), "doc_id"), least_docs, most_share)
+    # a text's own frequent lines, by the text's hash: equal texts of a host lose the same lines
+    gone = lines.join(over, ["host", "h"]).groupBy(F.col("host").alias("_host"), "_h").agg(F.collect_set("h").alias("_gone"))
+    out = named.join(gone, ["_host", "_h"], "left")
+    stay = F.array_join(F.filter(parts, lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) == 0) | ~F.array_contains("_gone", line_hash(x))), "\n")
+    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stay)).select(docs.columns)
+
+
 def quality_rules(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
     """Text statistics of each document, words lost to lines that are frequent in its host, and the verdict.
 
@@ -77,10 +104,7 @@ def quality_rules(docs: DataFrame, host: str = "source", least_docs: int = LEAST
     rows = rows.select("doc_id", "host", "b.w.*", "b.l.*", F.monotonically_increasing_id().alias("row"))
     rows = keep(rows, "statistics")
     lines = rows.select("row", "doc_id", F.coalesce("host", F.lit("\x01")).alias("host"), F.explode("lines").alias("x")).select("row", "doc_id", "host", "x.h", "x.n")
-    # distinct documents by (host, line, document) first, so a line that all documents hold is counted from many tasks
-    per_line = lines.select("host", "h", "doc_id").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
-    per_host = rows.select(F.coalesce("host", F.lit("\x01")).alias("host"), "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = keep(per_line.where(F.col("n_docs") >= least_docs).join(per_host, "host").where(F.col("n_docs") > most_share * F.col("host_docs")).select("host", "h"), "frequent")
+    over = frequent(lines, rows.select(F.coalesce("host", F.lit("\x01")).alias("host"), "doc_id"), least_docs, most_share)
     lost = lines.join(over, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("n").alias("removed_words"))
     n, removed = F.col("n_words"), F.coalesce("removed_words", F.lit(0)).cast("bigint")
     out = rows.drop("lines", "host").join(lost, "row", "left").withColumn("removed_words", removed)

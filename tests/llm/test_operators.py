@@ -537,3 +537,12 @@ def test_operators_on_edge_rows(docs, labels, items):
     mixed = mixing.mix(docs, mixing.domains(labels.limit(0))).collect()
     assert all(max(r.p) - min(r.p) < 1e-5 for r in mixed) and all(r.n_words == 0 for r in mixed if r.doc_id in (3, 4, 5))
     assert {r.copies for r in mixed if r.doc_id == 2} <= {0, 1, 2} and len({(r.rate, r.copies) for r in mixed if r.doc_id == 2}) == 1
+
+
+def test_frequent_lines_are_removed(spark, sf):
+    """What is removed from the texts are the words that the rules count as removed."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counted = {r.doc_id: (r.n_words, r.removed_words) for r in quality_rules.quality_rules(docs, least_docs=2).collect()}
+    after = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in quality_rules.without_lines(docs, least_docs=2).collect()}
+    assert len(after) == len(counted) and sum(x for _, x in counted.values()) > 0
+    assert all(after[i] == n - gone for i, (n, gone) in counted.items())
