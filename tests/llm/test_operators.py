@@ -428,7 +428,7 @@ def test_language_letters():
 
 
 def test_lines_are_stripped_of_all_blanks(spark):
-    rows = [(i, f"{a}same line of the host here{b}\nown {i} text") for i, (a, b) in enumerate([("", "\r"), ("\t", ""), (" ", " "), ("", ""), ("\x0b", "\x0c")])]
+    rows = [(i, f"{a}same line of the host here{b}\nown {'abcde'[i]} text") for i, (a, b) in enumerate([("", "\r"), ("\t", ""), (" ", " "), ("", ""), ("\x0b", "\x0c")])]
     docs = spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id long, text string, source string")
     assert [r.removed_words for r in quality_rules.quality_rules(docs).collect()] == [6] * 5
 
