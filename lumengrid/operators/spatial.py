@@ -74,21 +74,22 @@ def nearest(points: DataFrame, k: int = 33) -> DataFrame:
             ready = todo.select("*", *cells(edge)).join(full_cells(near, k), CELL, "left_semi").select(todo.columns)
         pairs = around(ready, edge).join(near, CELL).select("pid", "nid", *((F.col(a) - F.col(f"n{a}")).alias(f"d{a}") for a in AXES))
         pairs = pairs.withColumn("d2", norm2(F.col("dx"), F.col("dy"), F.col("dz"))).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
-        # the k-th distance comes with every pair, while they stand together
-        found = materialise(pairs.withColumn("rk", F.sqrt(F.max("d2").over(Window.partitionBy("pid")))), "neighbours")
+        # the k-th distance comes with every pair, while they stand together, and tells which rows are done
+        whole = Window.partitionBy("pid")
+        found = materialise(pairs.withColumn("far", F.max("d2").over(whole)).withColumn("held", F.count("*").over(whole)), "neighbours")
         if edge > max(spans):
             done.append(found)
             break
-        sure = found.where((F.col("rn") == k) & (F.col("d2") < edge * edge)).select("pid")
-        done.append(found.join(sure, "pid", "left_semi"))
-        todo = materialise(todo.join(sure, "pid", "left_anti"), "unresolved")
+        sure = found.where((F.col("held") == k) & (F.col("far") < edge * edge))
+        done.append(sure)
+        todo = materialise(todo.join(sure.where("rn = 1").select("pid"), "pid", "left_anti"), "unresolved")
         if todo.isEmpty():
             break
         edge *= 2
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("pid", "nid", "rn", "d2", "dx", "dy", "dz", "rk")
+    return out.select("pid", "nid", "rn", "d2", "dx", "dy", "dz", F.sqrt("far").alias("rk"))
 
 
 def _positive(rk: Column) -> Column:
