@@ -85,6 +85,8 @@ def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
 def sampled_within(rows: DataFrame, most: int, chars: int, by: str | None = None) -> DataFrame:
     """At most about most rows with a doc_id, chosen by its hash, that have at most chars code points of text together.
 
+    Texts that alone have over an eighth of chars come after all others, the shortest first, so that none of them keeps
+    others out: as long as texts are left, at least seven eighths of chars are used.
     With by, every value of that column has an equal part of most, as far as it has rows.
     """
     if by:
@@ -101,7 +103,8 @@ def sampled_within(rows: DataFrame, most: int, chars: int, by: str | None = None
     else:
         rows = sampled(rows, "doc_id", most)
     size = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("size"))  # about most rows
-    upto = F.sum("size").over(Window.orderBy(F.xxhash64(F.lit("size"), "doc_id"), "doc_id"))
+    wide = F.when(F.col("size") > chars // 8, F.col("size")).otherwise(0)
+    upto = F.sum("size").over(Window.orderBy(wide, F.xxhash64(F.lit("size"), "doc_id"), "doc_id"))
     ids = size.withColumn("upto", upto).where(F.col("upto") <= chars).select("doc_id")
     return rows.join(F.broadcast(ids), "doc_id")
 

@@ -41,10 +41,10 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """The positional index of docs (_id, text) for the terms of a vocabulary: term, _id, pos (from 0), n_words."""
-    split = docs.select("_id", words(F.col("text")).alias("w"))
-    flat = split.select("_id", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "term"))
-    return flat.join(small(vocabulary, vocabulary.count(), limit), "term", "left_semi").select("term", "_id", "pos", "n_words")
+    """The positional index of docs (_id, _h, text) for the terms of a vocabulary: term, _id, _h, pos (from 0), n_words."""
+    split = docs.select("_id", "_h", words(F.col("text")).alias("w"))
+    flat = split.select("_id", "_h", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "term"))
+    return flat.join(small(vocabulary, vocabulary.count(), limit), "term", "left_semi").select("term", "_id", "_h", "pos", "n_words")
 
 
 def anchors(index: DataFrame, cuts: DataFrame, n: int = ANCHORS) -> DataFrame:
@@ -56,15 +56,16 @@ def anchors(index: DataFrame, cuts: DataFrame, n: int = ANCHORS) -> DataFrame:
 
 
 def matches(index: DataFrame, anchored: DataFrame, slack: int = SLACK, limit: int = SMALL_ROWS) -> DataFrame:
-    """Where offset-adjusted lists of a window's anchors come within slack: _id, wid, len, start, distance.
+    """Where offset-adjusted lists of a window's anchors come within slack: _id, _h, wid, len, n_words, start, distance.
 
-    Places of one anchor and the next place of the other are compared in the order of places, so a document's postings are
-    read once. A window of one word needs that word only. At distance 0 the window's words may stand at start.
+    Lists meet within a text, that is, by _id and _h. Places of one anchor and the next place of the other are compared in
+    the order of places, so a document's postings are read once. A window of one word needs that word only. At distance 0
+    the window's words may stand at start.
     """
     shifted = index.join(small(anchored, anchored.count(), limit), "term").withColumn("start", F.col("pos") - F.col("shift"))
-    order = Window.partitionBy("_id", "wid").orderBy("start", "shift")
+    order = Window.partitionBy("_id", "_h", "wid").orderBy("start", "shift")
     apart = F.when(F.col("n_anchors") == 1, 0).when(F.lag("shift").over(order) != F.col("shift"), F.col("start") - F.lag("start").over(order))
-    return shifted.withColumn("distance", apart).where(F.col("distance") <= slack).select("_id", "wid", "len", "n_words", "start", "distance")
+    return shifted.withColumn("distance", apart).where(F.col("distance") <= slack).select("_id", "_h", "wid", "len", "n_words", "start", "distance")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slack: int = SLACK, limit: int = SMALL_ROWS) -> DataFrame:
@@ -73,8 +74,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
     Returns the columns of docs, then n_words, n_hit, item_ids (sorted as strings), n_near (items with a proximity match,
     exact ones included) and contaminated; columns of docs with those names are replaced. Null and empty texts have no
     words and are clean. Items without words match nothing, and with no items at all every document is clean. Rows with
-    the same doc_id are each judged on their own text, but n_near counts the matches of all of them; a null doc_id is
-    allowed, and such rows are told apart by their texts. Tables of more than limit rows are shuffled, not broadcast.
+    the same doc_id are each judged on their own text, and so are rows with a null doc_id. A window has two anchors, so a
+    passage with one of them replaced is no proximity match. Tables of more than limit rows are shuffled, not broadcast.
     """
     own = ("n_words", "n_hit", "item_ids", "n_near", "contaminated")
     docs = key_of(docs.select(*(c for c in docs.columns if c not in (*own, "_id", "_h", "_found", "_hit"))))
@@ -85,11 +86,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
     names = cuts.select("wid", "item_id")
     n_names = names.count()
     # which items come near: by document and window first, then by item
-    close = near.select("_id", "wid").distinct().join(small(names, n_names, limit), "wid").select("_id", "item_id").distinct()
-    close = keep(close.groupBy("_id").agg(F.count("*").alias("n_near")), "near")
+    close = near.select("_id", "_h", "wid").distinct().join(small(names, n_names, limit), "wid").select("_id", "_h", "item_id").distinct()
+    close = keep(close.groupBy("_id", "_h").agg(F.count("*").alias("n_near")), "near")
     # exact places, confirmed on the words of the documents that have any
     exact = near.where("distance = 0 AND start >= 0 AND start + len <= n_words").join(small(cuts.select("wid", "check").distinct(), n_names, limit), "wid")
-    found = keep(exact.groupBy("_id").agg(F.collect_list(F.struct("start", "len", "wid", "check")).alias("_found")), "places")
+    found = keep(exact.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "len", "wid", "check")).alias("_found")), "places")
     n_places = near.where("distance = 0").count()
 
     def judged(w: Column) -> Column:
@@ -98,11 +99,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slack: int
         hit = F.array_distinct(F.flatten(F.transform(true, lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
         return F.struct(F.size(hit).cast("bigint").alias("n_hit"), F.array_distinct(F.transform(true, lambda c: c["wid"])).alias("wids"))
 
-    held = docs.select("_id", "_h", "text").join(small(found, n_places, limit), "_id")
+    held = docs.select("_id", "_h", "text").join(small(found, n_places, limit), ["_id", "_h"])
     hits = keep(held.select("_id", "_h", let(words(F.col("text")), judged).alias("j")).select("_id", "_h", "j.*").where("n_hit > 0").dropDuplicates(["_id", "_h"]), "hits")
     listed = hits.select("_id", "_h", F.explode("wids").alias("wid")).join(small(names, n_names, limit), "wid").groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     verdicts = keep(hits.drop("wids").join(listed, ["_id", "_h"]), "verdicts")
-    out = docs.join(small(verdicts, verdicts.count(), limit), ["_id", "_h"], "left").join(small(close, close.count(), limit), "_id", "left")
+    out = docs.join(small(verdicts, verdicts.count(), limit), ["_id", "_h"], "left").join(small(close, close.count(), limit), ["_id", "_h"], "left")
     none = F.array().cast("array<string>")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     plain = [c for c in docs.columns if c not in ("_id", "_h")]

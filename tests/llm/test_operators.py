@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumengrid.llm import decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, registry, secrets, simhash, toxicity
+from lumengrid.llm import common, decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, registry, secrets, simhash, toxicity
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 COPY = "one line that two documents share\nand another one of them\nshort"
@@ -546,3 +546,30 @@ def test_frequent_lines_are_removed(spark, sf):
     after = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in quality_rules.without_lines(docs, least_docs=2).collect()}
     assert len(after) == len(counted) and sum(x for _, x in counted.values()) > 0
     assert all(after[i] == n - gone for i, (n, gone) in counted.items())
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_decontamination_judges_rows_of_one_id_by_their_own_texts(spark, turn):
+    """A short row with an anchor at the same place must not hide the whole item of the other row with its id."""
+    item = " ".join(f"i{k}" for k in range(10))
+    rows = [(1, item), (1, "a b c d e i1 f"), (1, "i0 b c d e f g"), (None, item), (None, "i0 i1")]
+    docs = spark.createDataFrame(rows[::turn], "doc_id long, text string").coalesce(1)
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.text): (r.n_words, r.n_hit, r.item_ids) for r in got} == {
+        (1, item): (10, 10, ["5"]), (1, rows[1][1]): (7, 0, []), (1, rows[2][1]): (7, 0, []), (None, item): (10, 10, ["5"]), (None, "i0 i1"): (2, 0, []),
+    }
+
+
+def test_one_huge_text_leaves_the_rest_to_learn_from(spark):
+    for huge in range(6):  # whatever its place in the order
+        rows = spark.createDataFrame([(i, "x" * (5000 if i == huge else 100), "a") for i in range(6)], "doc_id long, text string, lang string")
+        for by in (None, "lang"):
+            got = {r.doc_id for r in common.sampled_within(rows, 6, 1000, by).collect()}
+            assert got == set(range(6)) - {huge}
+
+
+def test_language_learns_beside_a_huge_text(spark):
+    rows = [(i, "der hund und die katze" if i % 2 else "le chien et le chat", "de" if i % 2 else "fr") for i in range(80)] + [(80, "la " * 5000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rest = common.sampled_within(docs, 1000, 8000, "lang").count()
+    assert rest == 80
