@@ -107,7 +107,7 @@ def format_halo17(spark, sf_dir) -> DataFrame:
 _ALL = f"al AS (SELECT node, ix, iy, iz FROM range({q.NODES**3}) a(node), range(8) b(ix), range(8) c(iy), range(8) d(iz))"
 
 
-@query(f"{q._MESH}, {q._NORM}, {q._BY_NODE}, {_ALL}, kd AS (SELECT DISTINCT node FROM nn) SELECT al.node::INT AS node, al.ix::INT AS ix, al.iy::INT AS iy, al.iz::INT AS iz, round(coalesce(n, 0), 4) + 0e0 AS n, round(coalesce(halo, 0), 4) + 0e0 AS halo, CASE WHEN n > 1e-3 THEN round(vy, 3) + 0e0 END AS vy FROM al JOIN kd USING (node) LEFT JOIN nn ON (nn.node, nn.ix, nn.iy, nn.iz) = (al.node, al.ix, al.iy, al.iz)")
+@query(f"{q._MESH}, {q._NORM}, {q._BY_NODE}, {_ALL}, kd AS (SELECT DISTINCT node FROM nn) SELECT al.node::INT AS node, al.ix::INT AS ix, al.iy::INT AS iy, al.iz::INT AS iz, round(coalesce(n, 0)::FLOAT::DOUBLE, 4) + 0e0 AS n, round(coalesce(halo, 0)::FLOAT::DOUBLE, 4) + 0e0 AS halo, CASE WHEN n::FLOAT::DOUBLE > 1e-3 THEN round(vy::FLOAT::DOUBLE, 3) + 0e0 END AS vy FROM al JOIN kd USING (node) LEFT JOIN nn ON (nn.node, nn.ix, nn.iy, nn.iz) = (al.node, al.ix, al.iy, al.iz)")
 def format_grid(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/so/nc8/{Z}"
     grids = q._node_grids(spark, sf_dir).withColumn("c", F.lit(0.0))
@@ -119,7 +119,7 @@ def format_grid(spark, sf_dir) -> DataFrame:
     return n.join(halo, cell).join(vel, cell).select(*cell, r4("n"), r4("halo"), F.when(F.col("n") > 1e-3, F.round("v1", 3) + F.lit(0.0)).alias("vy"))
 
 
-@query(f"{q._MESH}, {q._NORM}, {q._BY_NODE}, {q._GLOBAL} SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(coalesce(n, 0), 4) + 0e0 AS n, round(coalesce(n, 0) + coalesce(halo, 0), 4) + 0e0 AS ntot FROM range(16) a(ix), range(16) b(iy), range(16) c(iz) LEFT JOIN gl ON (gl.gx, gl.gy, gl.gz) = (ix, iy, iz)")
+@query(f"{q._MESH}, {q._NORM}, {q._BY_NODE}, {q._GLOBAL} SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(coalesce(n, 0)::FLOAT::DOUBLE, 4) + 0e0 AS n, round((coalesce(n, 0) + coalesce(halo, 0))::FLOAT::DOUBLE, 4) + 0e0 AS ntot FROM range(16) a(ix), range(16) b(iy), range(16) c(iz) LEFT JOIN gl ON (gl.gx, gl.gy, gl.gz) = (ix, iy, iz)")
 def format_global_grid(spark, sf_dir) -> DataFrame:
     folder = _folder(spark)
     whole = mesh.momentum(mesh.merged(q._node_grids(spark, sf_dir), 8, q.NODES))
@@ -130,7 +130,7 @@ def format_global_grid(spark, sf_dir) -> DataFrame:
     return n.join(ntot.withColumnRenamed("v0", "t"), ["ix", "iy", "iz"]).select("ix", "iy", "iz", r4("v0", "n"), r4("t", "ntot"))
 
 
-@query(f"{q._MESH} SELECT 16 AS nc, 6 AS dof, 64e0 AS box, round(sum(n), 3) AS n, round(sum(halo), 3) AS halo, round(sum(vx), 3) + 0e0 AS vx FROM ms")
+@query(f"{q._MESH} SELECT 16 AS nc, 6 AS dof, 64e0 AS box, round(sum(n::FLOAT::DOUBLE), 3) AS n, round(sum(halo::FLOAT::DOUBLE), 3) AS halo, round(sum(vx::FLOAT::DOUBLE), 3) + 0e0 AS vx FROM ms")
 def format_combined(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/all"
     whole = mesh.assign(q._rows(spark, sf_dir), BOX, q.NC).withColumn("node", F.lit(0))

@@ -90,12 +90,13 @@ def zip_decode(spark, sf_dir) -> DataFrame:
 
 # neighbours and density
 
-_PAIRS = """pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, nid) AS rn FROM (
-  SELECT a.pid, b.pid AS nid, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pe a, pe b)) WHERE rn <= 33),
-rk AS (SELECT pid, sqrt(d2) AS rk FROM pr WHERE rn = 33)"""
+_PAIRS = """on_one AS MATERIALIZED (SELECT *, 0 AS box FROM pe),
+pr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, nid) AS rn FROM (
+  SELECT a.pid, b.pid AS nid, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM on_one a JOIN on_one b USING (box))) WHERE rn <= 33),
+rk AS MATERIALIZED (SELECT pid, sqrt(d2) AS rk FROM pr WHERE rn = 33)"""
 _TRI = "(1e0 - abs(dx) / rk) * (1e0 - abs(dy) / rk) * (1e0 - abs(dz) / rk) / (rk * rk * rk)"
 _SPL = "CASE WHEN sqrt(d2) / rk < 0.5e0 THEN 1e0 - 6e0 * (sqrt(d2) / rk) * (sqrt(d2) / rk) + 6e0 * (sqrt(d2) / rk) * (sqrt(d2) / rk) * (sqrt(d2) / rk) ELSE 2e0 * (1e0 - sqrt(d2) / rk) * (1e0 - sqrt(d2) / rk) * (1e0 - sqrt(d2) / rk) END * (8e0 / pi()) / (rk * rk * rk)"
-_DENS = lambda w: f"dn AS (SELECT pe.pid, rk, coalesce(dens, 0) AS dens FROM pe JOIN rk USING (pid) LEFT JOIN (SELECT nid, sum({w}) AS dens FROM pr JOIN rk USING (pid) WHERE rn < 33 GROUP BY nid) s ON s.nid = pe.pid)"
+_DENS = lambda w: f"ds AS MATERIALIZED (SELECT nid AS pid, sum({w}) AS dens FROM pr JOIN rk USING (pid) WHERE rn < 33 GROUP BY nid), dn AS MATERIALIZED (SELECT pid, rk, coalesce(dens, 0) AS dens FROM rk LEFT JOIN ds USING (pid))"
 
 
 @query(f"WITH {PE}, {_PAIRS} SELECT pid, nid, rn::INT AS rn, d2 FROM pr")
