@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, secrets, simhash, toxicity
+from . import decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
+    "op12_suffix_dedup": suffix_dedup.ORACLE,
 }
