@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from . import decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, ranked_search, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
     "op12_suffix_dedup": suffix_dedup.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }

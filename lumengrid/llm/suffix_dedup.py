@@ -358,10 +358,11 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-#: Windows by their hash over the hexadecimal form, whose substrings are those of the bytes.
+#: Windows by their hash over the hexadecimal form, whose substrings are those of the bytes; in blocks, as substr counts from the beginning.
 ORACLE = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS g FROM (SELECT r, x, unnest(range(0, greatest(0, length(x) // 2 - 199))) AS i FROM d)),
+blocks AS (SELECT r, j, substr(x, 400 * j + 1, 798) AS y FROM (SELECT r, x, unnest(range(0, greatest(0, length(x) // 400))) AS j FROM d)),
+w AS (SELECT r, 200 * j + k AS i, md5_number(substr(y, 2 * k + 1, 400)) AS g FROM (SELECT r, j, y, unnest(range(0, length(y) // 2 - 199)) AS k FROM blocks)),
 again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
 hit AS (SELECT r, i FROM w JOIN again USING (g)),
 steps AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true)::INT AS new FROM hit),

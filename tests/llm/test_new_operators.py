@@ -1,12 +1,14 @@
 """Suffix-array dedup, ranked search and tokenizer alignment against brute-force versions, on edge rows and crowded keys."""
 
 import hashlib
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from lumengrid.llm import suffix_dedup
+from lumengrid.llm import ranked_search, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -86,3 +88,70 @@ def test_suffix_dedup_on_edge_tables(spark):
     got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string, n_bytes int, h string, spans int"))
     assert got.columns == ["doc_id", "text", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
     assert sorted((r.n_bytes, r.n_removed) for r in got.collect()) == [(0, 0), (250, 250), (300, 300)]
+
+
+def found_by_brute_force(docs, items, k):
+    """Every item's k best documents, from all scores."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    words = [Counter(cut(t)) for _, t in docs]
+    n, total, df = sum(1 for w in words if w), sum(sum(w.values()) for w in words), Counter(t for w in words for t in w)
+    out = []
+    for item, text in items:
+        scores = []
+        for (i, _), w in zip(docs, words, strict=True):
+            m = 50 + (50 * sum(w.values()) * n) // max(1, total)
+            score = sum(math.floor(1000 * math.log((2.0 * n + 2) / (2 * df[t] + 1))) * ((1000000000 * w[t]) // (1000 * w[t] + 20 * m)) for t in set(cut(text)) if w[t])
+            if score > 0:
+                scores.append((-score, i is None, i or 0))
+        out += [(item, r + 1, None if null else i, -s) for r, (s, null, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("shard", "block", "stride", "limit", "most"), [(1 << 24, 128, 2048, 200_000, 1 << 16), (3000, 4, 16, 200_000, 20), (20_000, 3, 5, 0, 50)])
+def test_ranked_search_matches_brute_force(spark, shard, block, stride, limit, most):
+    """Also with small shards and blocks, several batches of items, and nothing broadcast."""
+    rng = np.random.default_rng(5)
+    words = some_words(rng, 60)
+    weights = 1 / np.arange(1, len(words) + 1)
+    text = lambda n: " ".join(words[i] for i in rng.choice(len(words), n, p=weights / weights.sum()))
+    docs = [(i, text(int(rng.integers(1, 60)))) for i in range(300)]
+    docs += [(400 + i, docs[5][1]) for i in range(20)] + [docs[5], (3, docs[9][1]), (None, docs[5][1]), (None, None), (900, ""), (901, "..!"), (902, text(4000)), (903, "Ñandú É ñandú é")]
+    items = [(i, text(8)) for i in range(12)] + [(3, docs[5][1].upper()), (3, docs[5][1].upper()), (20, None), (21, ""), (22, "zzzzzzzzzz"), (None, text(3)), (23, "é É")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1 if limit == 0 else 10485760)
+    try:
+        index = ranked_search.build_index(spark.createDataFrame(docs, SCHEMA).repartition(3), shard, block)
+        got = ranked_search.search(index, spark.createDataFrame(items, "item_id long, text string"), 10, limit, most, stride).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(((r.item_id, r.rank, r.doc_id, r.score) for r in got), key=str) == found_by_brute_force(docs, items, 10)
+
+
+def test_ranked_search_leaves_blocks_packed():
+    """A rare term makes the common one's list not essential, and its blocks without a candidate stay packed."""
+    n = 40_000
+    lengths, everywhere, rare = np.full(n, 20), np.arange(n), np.arange(0, 600, 10)
+    lists = ranked_search.Lists(lengths, n, 20 * n)
+    for term, docs in enumerate((everywhere, rare)):
+        rows, ends = [], []
+        for a in range(0, len(docs), 128):
+            d = docs[a : a + 128]
+            b, _ = ranked_search.packed(np.stack([np.diff(d, prepend=0), np.ones(len(d), np.int64)], 1).ravel())
+            rows.append(b.tobytes())
+            ends.append([d[-1], 1, 20, sum(map(len, rows))])
+        lists.add(term, b"".join(rows), np.array(ends, "<i4").tobytes())
+    docs, scores = ranked_search.best_of(lists, [(0, 1), (1, 9000)], np.arange(n), 50)
+    assert docs.tolist() == rare[:50].tolist() and len(set(scores.tolist())) == 1
+    assert lists.unpacked < 30 < len(lists.of[0][1])
+
+
+def test_packing_round_trip():
+    v = np.array([0, 1, 127, 128, 16383, 16384, 2_000_000, 300_000_000])
+    assert ranked_search.unpacked(ranked_search.packed(v)[0]).tolist() == v.tolist()
+
+
+def test_ranked_search_on_edge_tables(spark):
+    docs, items = spark.createDataFrame([(1, "a b")], SCHEMA), spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert ranked_search.search(ranked_search.build_index(docs.limit(0)), items).count() == 0
+    assert ranked_search.search(ranked_search.build_index(docs), items.limit(0)).count() == 0
+    extra = docs.selectExpr("doc_id", "text", "1 AS shard", "'x' AS term", "2 AS score")
+    assert [tuple(r) for r in ranked_search.search(ranked_search.build_index(extra), items.selectExpr("*", "1 AS rank", "2 AS item")).collect()] == [(1, 1, 1, 287 * (1000000000 // (1000 + 2000)))]
