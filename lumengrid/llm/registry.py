@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, ranked_search, secrets, simhash, suffix_dedup, toxicity
+from . import alignment, decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, ranked_search, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
+    "op11_alignment": alignment.op11_alignment,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }

@@ -1,5 +1,6 @@
 """Suffix-array dedup, ranked search and tokenizer alignment against brute-force versions, on edge rows and crowded keys."""
 
+import bisect
 import hashlib
 import math
 import re
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lumengrid.llm import ranked_search, suffix_dedup
+from lumengrid.llm import alignment, ranked_search, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -155,3 +156,67 @@ def test_ranked_search_on_edge_tables(spark):
     assert ranked_search.search(ranked_search.build_index(docs), items.limit(0)).count() == 0
     extra = docs.selectExpr("doc_id", "text", "1 AS shard", "'x' AS term", "2 AS score")
     assert [tuple(r) for r in ranked_search.search(ranked_search.build_index(extra), items.selectExpr("*", "1 AS rank", "2 AS item")).collect()] == [(1, 1, 1, 287 * (1000000000 // (1000 + 2000)))]
+
+
+def aligned_by_brute_force(docs):
+    """Groups from the offsets where tokens of both kinds end, all links one by one, and their counts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_of = Tokenizer.from_file(f"{alignment.FOLDER}/byte_bpe_50k.json")
+    a_of.encode_special_tokens = True
+    b_of = sentencepiece.SentencePieceProcessor(model_file=f"{alignment.FOLDER}/piece_bpe_32k.model")
+    letters, rows, counts = alignment.byte_of_letter(), [], Counter()
+    for i, text in docs:
+        groups, whole = [], (" " + (text or "")).encode()
+        e = a_of.encode(" " + (text or ""), add_special_tokens=False)
+        a = [bytes(letters[c] for c in t) for t in e.tokens]
+        ids = b_of.encode(text or "")
+        b = [bytes([int(b_of.id_to_piece(x)[3:5], 16)]) if b_of.is_byte(x) else b_of.id_to_piece(x).replace("\u2581", " ").encode() for x in ids]
+        if text and b"".join(a) == whole == b"".join(b):
+            a_end, b_end = (np.cumsum([len(x) for x in t]).tolist() for t in (a, b))
+            cuts = sorted(set(a_end) & set(b_end))
+            groups = [([], []) for _ in cuts]
+            for side, (own, ends) in enumerate(((e.ids, a_end), (ids, b_end))):
+                for x, end in zip(own, ends, strict=True):
+                    groups[bisect.bisect_left(cuts, end)][side].append(x)
+        rows.append((i, groups))
+        counts.update({(x, y) for p, q in groups for x in p for y in q})
+    top = defaultdict(int)
+    for (x, _), n in counts.items():
+        top[x] = max(top[x], n)
+    out = []
+    for i, groups in rows:
+        links = [(x, y) for p, q in groups for x in p for y in q]
+        written = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups)
+        sums = sum(counts[k] == top[k[0]] for k in links), sum(counts[k] for k in links)
+        out.append((i, sum(len(p) for p, _ in groups), sum(len(q) for _, q in groups), len(groups), len(links), *sums, hashlib.sha256(written.encode()).hexdigest() if groups else ""))
+    return sorted(out, key=str)
+
+
+ODD = ["a", None, "", " ", "漢字かな交じり文です。" * 20, "<|endoftext|> <s> </s> \u2581x", "<|endoftext|> <s>", "\x00\x01", "a" * 5000, "ab漢" * 3000, " \n\n  x  \t", "1234567890" * 400, "é̀ﬁ№𝔘😀👨‍👩‍👧"]
+
+
+@pytest.mark.parametrize(("head", "laid_out", "kept"), [(1 << 20, 1 << 21, 1 << 22), (0, 1 << 21, 10), (50, 200, 1000)])
+def test_alignment_matches_brute_force(spark, sf, monkeypatch, head, laid_out, kept):
+    """Also without a table of frequent pairs, and with texts laid out group by group and counts passed on early."""
+    monkeypatch.setattr(alignment, "LAID_OUT", laid_out)
+    monkeypatch.setattr(alignment, "SUMMED", kept)
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    docs += [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "a b"), docs[0], (docs[1][0], docs[2][1])]
+    got = alignment.align(spark.createDataFrame(docs, SCHEMA).repartition(3), head=head).collect()
+    assert sorted((tuple(r) for r in got), key=str) == aligned_by_brute_force(docs)
+
+
+def test_both_byte_level_encoders_agree():
+    """Merging by rank gives what the tokenizer's file gives, whatever the letters."""
+    e = alignment.encoders(alignment.FOLDER)
+    texts = [f"a{chr(c)}b {chr(c)}1 {chr(c)}!{chr(c)}" for c in range(1, 0x3000, 3)] + [t for t in ODD if t]
+    assert [e.slow.encode(" " + t, add_special_tokens=False).ids for t in texts] == e.encode(texts)[0]
+
+
+def test_alignment_on_edge_tables(spark):
+    empty = alignment.align(spark.createDataFrame([], SCHEMA))
+    assert empty.count() == 0 and empty.columns[1:] == ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    extra = spark.createDataFrame([(1, "a b", 2, "x", 3)], "doc_id long, text string, row int, pair string, n_a int")
+    assert [r.n_a for r in alignment.align(extra).collect()] == [2]
