@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, keep, pieces, small, table
-from .runs import Substrings, text_runs
+from .runs import piece_hashes, text_runs
 
 NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text of a shard, and postings of a block.
-SHARD, BLOCK = 1 << 24, 128
+SHARD, BLOCK = 1 << 23, 128
 #: Documents that are scored before the best so far are looked at again.
 STRIDE = 2048
 #: Terms of items that one task holds for its shard, and terms (of at most about 100 bytes) that are broadcast.
@@ -80,7 +80,7 @@ def _shard_rows(held: np.ndarray, starts: np.ndarray, block: int):
     lengths = np.bincount(text, minlength=len(starts) - 1)
     if not len(a):
         return lengths, None
-    code = Substrings(held).of(a, z)
+    code = piece_hashes(held, a, z)
     order = np.argsort(code, kind="stable")  # by term, and by text within
     new_term = np.ones(len(order), bool)
     new_term[1:] = code[order][1:] != code[order][:-1]

@@ -69,3 +69,13 @@ class Substrings:
         """Hashes of all substrings of one length, by start."""
         n = len(self.sums) - length
         return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
+
+
+def piece_hashes(held: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Hashes of pieces (starts and ends in order), of about RUN bytes of them at a time."""
+    out, i = np.zeros(len(a), np.uint64), 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(a, a[i] + RUN)))
+        out[i:j] = Substrings(held[a[i] : z[j - 1]]).of(a[i:j] - a[i], z[i:j] - a[i])
+        i = j
+    return out
