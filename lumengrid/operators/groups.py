@@ -12,9 +12,9 @@ from lumengrid.operators.spatial import witnesses
 from lumengrid.session import materialise
 
 
-def friends(points: DataFrame, length: float) -> DataFrame:
-    """pid and root, the smallest pid of its group; a row without a friend is its own group."""
-    roots = components(materialise(witnesses(points, length), "friends"))
+def friends(points: DataFrame, length: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """pid and root, the smallest pid of its group; a row without a friend is its own group. Friends have the same keys."""
+    roots = components(materialise(witnesses(points, length, keys), "friends"))
     return points.select("pid").join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("pid", F.coalesce("root", "pid").alias("root"))
 
 

@@ -1,19 +1,19 @@
-"""Spatial joins as equi joins on grid cells: nearest neighbours, links within a distance, members of spheres."""
+"""Spatial joins as equi joins on grid cells: densities of neighbours, links within a distance, members of spheres."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.functions.kernels import norm2, spline, triangle
-from lumengrid.session import materialise
+from lumengrid.operators.celltree import nearest
+
+__all__ = ["around", "cells", "links", "mark_members", "nearest", "scatter_density", "smoothing_length", "sphere_members", "witnesses"]
 
 AXES = ("x", "y", "z")
 CELL = ["cx", "cy", "cz"]
-#: Rows of the fullest cell that a search for neighbours starts with.
-MOST_IN_CELL = 256
 
 
 def cells(edge: float, prefix: str = "c") -> list[Column]:
@@ -28,70 +28,6 @@ def around(df: DataFrame, edge: float, reach: int = 1) -> DataFrame:
     return out.drop(*(f"_h{a}" for a in AXES))
 
 
-def full_cells(near: DataFrame, k: int) -> DataFrame:
-    """Cells that together with the 26 around them hold k rows or more; near has rows with their cells."""
-    out = near.groupBy(*CELL).agg(F.count("*").alias("n"))
-    for c in CELL:
-        out = out.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    return out.groupBy(*CELL).agg(F.sum("n").alias("n")).where(F.col("n") >= k).select(*CELL)
-
-
-def first_edge(points: DataFrame, edge: float, least: float, most: int = MOST_IN_CELL) -> float:
-    """edge, made smaller until no cell holds more than most rows; cells whose rows all coincide can't be split and don't count."""
-    extent = F.greatest(*(F.max(a) - F.min(a) for a in AXES))
-    while True:
-        crowded = points.groupBy(*cells(edge)).agg(F.count("*").alias("n"), extent.alias("extent")).where((F.col("n") > most) & (F.col("extent") > 0))
-        widest = crowded.agg(F.max_by("extent", "n")).first()[0]
-        if widest is None or min(edge, widest) / 2 < least:
-            return edge
-        edge = min(edge, widest) / 2
-
-
-def nearest(points: DataFrame, k: int = 33) -> DataFrame:
-    """The k nearest rows of every row, itself included: pid, nid, rn, d2, dx, dy, dz, rk (distance to the k-th); ties go to the smaller nid.
-
-    A row's candidates are in its grid cell and the 26 around it. They are certain to hold its k nearest where the k-th is
-    nearer than a cell's edge; rows for which it isn't go on with cells twice as large. The first edge comes from the mean
-    density and is halved where a cell would be crowded, so that a cluster's rows meet its own few cells only; rows in
-    sparser places are not joined before their cells hold k rows. Raises ValueError for fewer than k rows.
-    """
-    points = points.select("pid", *AXES)
-    s = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{f.__name__}_{a}") for a in AXES for f in (F.min, F.max))).first()
-    if s.n < k:
-        raise ValueError(f"{k} neighbours of {s.n} rows")
-    spans = [s[f"max_{a}"] - s[f"min_{a}"] for a in AXES]
-    volume = math.prod(max(x, 1e-9) for x in spans)
-    least = max(max(spans) / 1e6, 1e-9)
-    mean_edge = max((k * 3 / (4 * math.pi) * volume / s.n) ** (1 / 3), least)
-    edge = first_edge(points, mean_edge, least)
-    other = points.select(F.col("pid").alias("nid"), *(F.col(a).alias(f"n{a}") for a in AXES), "x", "y", "z")
-    best, todo = Window.partitionBy("pid").orderBy("d2", "nid"), points
-    done: list[DataFrame] = []
-    while True:
-        near = other.select("nid", "nx", "ny", "nz", *cells(edge))
-        ready = todo
-        if edge < mean_edge:
-            ready = todo.select("*", *cells(edge)).join(full_cells(near, k), CELL, "left_semi").select(todo.columns)
-        pairs = around(ready, edge).join(near, CELL).select("pid", "nid", *((F.col(a) - F.col(f"n{a}")).alias(f"d{a}") for a in AXES))
-        pairs = pairs.withColumn("d2", norm2(F.col("dx"), F.col("dy"), F.col("dz"))).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
-        # the k-th distance comes with every pair, while they stand together, and tells which rows are done
-        whole = Window.partitionBy("pid")
-        found = materialise(pairs.withColumn("far", F.max("d2").over(whole)).withColumn("held", F.count("*").over(whole)), "neighbours")
-        if edge > max(spans):
-            done.append(found)
-            break
-        sure = found.where((F.col("held") == k) & (F.col("far") < edge * edge))
-        done.append(sure)
-        todo = materialise(todo.join(sure.where("rn = 1").select("pid"), "pid", "left_anti"), "unresolved")
-        if todo.isEmpty():
-            break
-        edge *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("pid", "nid", "rn", "d2", "dx", "dy", "dz", F.sqrt("far").alias("rk"))
-
-
 def _positive(rk: Column) -> Column:
     return F.when(rk > 0, rk).otherwise(F.raise_error(F.lit("coincident points: smoothing length 0")).cast("double"))
 
@@ -122,37 +58,46 @@ def links(points: DataFrame, length: float) -> DataFrame:
     return near.where(norm2(*(F.col(a) - F.col(f"n{a}") for a in AXES)) <= length * length).select("a", "b")
 
 
-def witnesses(points: DataFrame, length: float) -> DataFrame:
-    """Pairs a < b at most length apart that connect the same rows as all such pairs.
+def witnesses(points: DataFrame, length: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs a < b at most length apart, of rows with the same keys, that connect the same rows as all such pairs.
 
     Rows of a cell whose diagonal is below length are friends: each is linked to the smallest of them. Of each two cells
     within reach one pair is kept, so a crowd leaves as many pairs as it has rows, not their square.
     """
     edge = length / math.sqrt(3.0) * (1 - 1e-9)
-    own = points.select("pid", *AXES, *cells(edge))
-    named = own.groupBy(*CELL).agg(F.min("pid").alias("a"), F.max("pid").alias("z"))
-    inside = own.join(named.where("a < z"), CELL).where("pid > a").select("a", F.col("pid").alias("b"))
+    here = [*keys, *CELL]
+    own = points.select(*keys, "pid", *AXES, *cells(edge))
+    named = own.groupBy(*here).agg(F.min("pid").alias("a"), F.max("pid").alias("z"))
+    inside = own.join(named.where("a < z"), here).where("pid > a").select("a", F.col("pid").alias("b"))
     # half of the cells around, so that two cells meet once; cells are matched before their rows
     steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
-    other = [f"o{a}" for a in AXES]
-    moved = named.select(*CELL, F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"s{a}") for x, a in zip(s, AXES, strict=True))) for s in steps))).alias("s"))
-    meet = moved.select(*CELL, *((F.col(f"c{a}") + F.col(f"s.s{a}")).alias(f"o{a}") for a in AXES)).join(named.select(*(F.col(f"c{a}").alias(f"o{a}") for a in AXES)), other)
-    right = own.select(F.col("pid").alias("q"), *(F.col(a).alias(f"q{a}") for a in AXES), *(F.col(f"c{a}").alias(f"o{a}") for a in AXES))
-    near = own.join(meet, CELL).join(right, other).where(norm2(*(F.col(a) - F.col(f"q{a}") for a in AXES)) <= length * length)
-    first = near.groupBy(*CELL, *other).agg(F.min(F.struct(F.least("pid", "q").alias("a"), F.greatest("pid", "q").alias("b"))).alias("w"))
+    other = [*keys, *(f"o{a}" for a in AXES)]
+    moved = named.select(*here, F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"s{a}") for x, a in zip(s, AXES, strict=True))) for s in steps))).alias("s"))
+    meet = moved.select(*here, *((F.col(f"c{a}") + F.col(f"s.s{a}")).alias(f"o{a}") for a in AXES)).join(named.select(*keys, *(F.col(f"c{a}").alias(f"o{a}") for a in AXES)), other)
+    right = own.select(*keys, F.col("pid").alias("q"), *(F.col(a).alias(f"q{a}") for a in AXES), *(F.col(f"c{a}").alias(f"o{a}") for a in AXES))
+    near = own.join(meet, here).join(right, other).where(norm2(*(F.col(a) - F.col(f"q{a}") for a in AXES)) <= length * length)
+    first = near.groupBy(*here, *(f"o{a}" for a in AXES)).agg(F.min(F.struct(F.least("pid", "q").alias("a"), F.greatest("pid", "q").alias("b"))).alias("w"))
     return inside.unionByName(first.select("w.*"))
 
 
-def sphere_members(points: DataFrame, halos: DataFrame, edge: float) -> DataFrame:
-    """Pairs (hid, pid) with the point strictly inside the halo's radius; edge is the size of the cells joined on."""
-    cover = halos.select("hid", *(F.col(a).alias(f"h{a}") for a in AXES), "r")
+def sphere_members(points: DataFrame, halos: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (hid, pid) with the point strictly inside the halo's radius, of rows with the same keys.
+
+    Halos stand on a hierarchy of grids, each on the one whose cells are its radius to twice that, so that any covers at
+    most 27 of them. Points are looked up once on each level that has a halo.
+    """
+    placed = halos.where("r > 0").select(*keys, "hid", *(F.col(a).alias(f"h{a}") for a in AXES), "r", F.ceil(F.log2("r")).cast("int").alias("level"))
+    levels = sorted(x.level for x in placed.select("level").distinct().collect())  # powers of two between the radii
+    cover, edge = placed, F.pow(F.lit(2.0), F.col("level"))
     for a in AXES:
         cover = cover.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"h{a}") - F.col("r")) / edge), F.floor((F.col(f"h{a}") + F.col("r")) / edge))))
-    inside = points.select("pid", *AXES, *cells(edge)).join(cover, CELL)
+    probed = points.select(*keys, "pid", *AXES, F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    probed = probed.withColumns({f"c{a}": F.floor(F.col(a) / edge) for a in AXES})
+    inside = probed.join(cover, [*keys, "level", *CELL])
     return inside.where(norm2(*(F.col(a) - F.col(f"h{a}") for a in AXES)) < F.col("r") * F.col("r")).select("hid", "pid")
 
 
-def mark_members(points: DataFrame, halos: DataFrame, edge: float) -> DataFrame:
+def mark_members(points: DataFrame, halos: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """points with igrp = -1 for rows in any halo, else 0."""
-    inside = sphere_members(points, halos, edge).select("pid").distinct().withColumn("igrp", F.lit(-1))
+    inside = sphere_members(points, halos, keys).select("pid").distinct().withColumn("igrp", F.lit(-1))
     return points.join(inside, "pid", "left").withColumn("igrp", F.coalesce("igrp", F.lit(0)))

@@ -9,22 +9,17 @@ from lumengrid.operators import domain, groups, mesh, spatial
 from lumengrid.session import materialise
 
 
-def with_density(points: DataFrame, k: int = 33, kernel: str = "triangle") -> DataFrame:
-    """points with rk and dens."""
-    return points.join(spatial.scatter_density(spatial.nearest(points, k), k, kernel), "pid")
+def with_density(points: DataFrame, k: int = 33, kernel: str = "triangle", by: str | None = None) -> DataFrame:
+    """points with rk and dens; with by, only rows with the same value of that column are neighbours."""
+    return points.join(spatial.scatter_density(spatial.nearest(points, k, by), k, kernel), "pid")
 
 
-def clumping_field(points: DataFrame, halos: DataFrame, boxsize: float, nc: int, edge: float = 4.0) -> DataFrame:
+def clumping_field(points: DataFrame, halos: DataFrame, boxsize: float, nc: int) -> DataFrame:
     """Normalised grid of one box, with the halos' particles apart."""
-    rows = spatial.mark_members(with_density(points), halos, edge)
+    rows = spatial.mark_members(with_density(points), halos)
     return mesh.normalise(mesh.assign(rows, boxsize, nc), boxsize, nc)
 
 
-def laid_out(rows: DataFrame, edge: float, buffer_factor: float) -> DataFrame:
-    """Rows of all nodes side by side on one axis, further apart than any buffer, so that no neighbour crosses nodes."""
-    return rows.withColumn("x", F.col("x") + F.col("node") * F.lit(edge * (2.0 + 2.0 * buffer_factor)))
-
-
 def with_ghosts(points: DataFrame, edge: float, nodes: int, buffer_factor: float) -> DataFrame:
     """Rows of each node (node, pid, positions in it) and those of its neighbours within its buffer, cropped, with is_ghost.
 
@@ -39,13 +34,11 @@ def node_rows(points: DataFrame, halos: DataFrame | None, edge: float, nodes: in
 
     All nodes are computed in one plan. Halos count for a node if their centre is strictly inside its padded box.
     """
-    apart = materialise(with_ghosts(points, edge, nodes, buffer_factor), "node-rows")
-    gap = F.col("node") * F.lit(edge * (2.0 + 2.0 * buffer_factor))
-    rows = with_density(laid_out(apart, edge, buffer_factor))
+    rows = with_density(materialise(with_ghosts(points, edge, nodes, buffer_factor), "node-rows"), by="node")
     if halos is None:
-        return rows.withColumn("igrp", F.lit(0)).withColumn("x", F.col("x") - gap)
+        return rows.withColumn("igrp", F.lit(0))
     near = domain.exchange(halos, edge, buffer_factor, nodes).where(domain.padded(edge, buffer_factor))
-    return spatial.mark_members(rows, laid_out(near, edge, buffer_factor), edge / 8).withColumn("x", F.col("x") - gap)
+    return spatial.mark_members(rows, near, ("node",))
 
 
 def node_fields(points: DataFrame, halos: DataFrame, edge: float, nodes: int, buffer_factor: float, nc: int) -> DataFrame:

@@ -138,20 +138,20 @@ _SO = "so AS (SELECT hid, pid FROM pe p, he h WHERE (p.x - h.x) * (p.x - h.x) +
 @query(f"WITH {PE}, {HE}, {_SO} SELECT pid, CASE WHEN pid IN (SELECT pid FROM so) THEN -1 ELSE 0 END AS igrp FROM pe")
 def so_members(spark, sf_dir) -> DataFrame:
     p = particles_e(spark, sf_dir)
-    return spatial.mark_members(p, halos_e(p), 4.0).select("pid", "igrp")
+    return spatial.mark_members(p, halos_e(p)).select("pid", "igrp")
 
 
 @query(f"WITH {PE}, {HE}, {_SO} SELECT hid, count(*) AS n FROM so GROUP BY hid")
 def so_counts(spark, sf_dir) -> DataFrame:
     p = particles_e(spark, sf_dir)
-    return spatial.sphere_members(p, halos_e(p), 4.0).groupBy("hid").agg(F.count("*").alias("n"))
+    return spatial.sphere_members(p, halos_e(p)).groupBy("hid").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PE}, {HE}, {_SO}, e AS (SELECT sum(mass / 8e0) AS expected FROM he), m AS (SELECT count(*) AS marked FROM so) SELECT round(expected, 6) AS expected, marked, expected <= 100 OR abs(marked / expected - 1e0) < 0.2e0 AS ok FROM e, m")
 def halo_mass_check(spark, sf_dir) -> DataFrame:
     p = particles_e(spark, sf_dir)
     h = halos_e(p)
-    return groups.halo_mass_check(spatial.sphere_members(p, h, 4.0), h).select(r6("expected").alias("expected"), "marked", "ok")
+    return groups.halo_mass_check(spatial.sphere_members(p, h), h).select(r6("expected").alias("expected"), "marked", "ok")
 
 
 # grids
@@ -180,7 +180,7 @@ _MESH = f"WITH {_ROWS}, {_cells_sql('rw')}, {_SUMS}"
 
 def _rows(spark, sf_dir) -> DataFrame:
     p = particles_e(spark, sf_dir)
-    return spatial.mark_members(fields.with_density(p), halos_e(p), 4.0)
+    return spatial.mark_members(fields.with_density(p), halos_e(p))
 
 
 def _planes(m: DataFrame, *keys: str) -> DataFrame:

@@ -88,11 +88,10 @@ def compute(spark: SparkSession, c: RunConfig, redshift: str, report: Report) ->
     if c.fof:
 
         def find():
-            near = materialise(fields.laid_out(fields.with_ghosts(points, c.box, nodes, c.buffer_factor), c.box, c.buffer_factor), "ghosts")
-            tags = materialise(groups.large_groups(groups.friends(near, c.link)), "tags")
-            back = near.withColumn("x", F.col("x") - F.col("node") * F.lit(c.box * (2.0 + 2.0 * c.buffer_factor)))
+            near = materialise(fields.with_ghosts(points, c.box, nodes, c.buffer_factor), "ghosts")
+            tags = materialise(groups.large_groups(groups.friends(near, c.link, ("node",))), "tags")
             means = [F.avg(x).alias(x) for x in ("x", "y", "z", "vx", "vy", "vz")]
-            found = back.join(tags.where("igrp > 0"), "pid").groupBy("node", "igrp").agg(*means, F.count("*").alias("nfof")).where(domain.owned(c.box))
+            found = near.join(tags.where("igrp > 0"), "pid").groupBy("node", "igrp").agg(*means, F.count("*").alias("nfof")).where(domain.owned(c.box))
             files = writers.write_catalogue(found, f"{c.out_dir}/fof/{redshift}fof", c.order).collect()  # a row for each node
             return (tags, [x.path for x in files]), tags.count()
 
@@ -129,8 +128,7 @@ def _marked(rows: DataFrame, halos: DataFrame, c: RunConfig) -> int:
     from lumengrid.operators.spatial import sphere_members
 
     near = domain.exchange(halos, c.box, c.buffer_factor, c.nodes_per_axis).where(domain.padded(c.box, c.buffer_factor))
-    own = fields.laid_out(rows.where("NOT is_ghost"), c.box, c.buffer_factor)
-    return sphere_members(own, fields.laid_out(near, c.box, c.buffer_factor), c.box / 8).count()
+    return sphere_members(rows.where("NOT is_ghost"), near, ("node",)).count()
 
 
 def run(spark: SparkSession, c: RunConfig) -> tuple[list[str], Report]:

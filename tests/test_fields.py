@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lumengrid.config import RunConfig, parse
 from lumengrid.functions import kernels
-from lumengrid.operators import domain, groups, mesh, spatial
+from lumengrid.operators import celltree, domain, groups, mesh, spatial
 from lumengrid.operators.components import components
 from lumengrid.plans import fields, formats, registry
 from lumengrid.plans.views import DELTA, halos_e, particles_e
@@ -73,15 +73,57 @@ def test_nearest_matches_brute_force(spark):
 
 
 def test_nearest_in_a_crowd(spark):
+    """A crowd of a thousandth of the volume, a wide field, rows that coincide: whatever a leaf holds, the same neighbours."""
     rng = np.random.default_rng(2)
-    at = np.concatenate([1000 + rng.integers(0, 64, (700, 3)) / 64, rng.integers(0, 4000, (150, 3)), np.full((300, 3), 5.0)])  # a crowd, a wide field, rows that coincide
-    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "pid long, x double, y double, z double")
-    assert spatial.first_edge(p, 500.0, 1e-3) < 1 and spatial.first_edge(p.where("pid >= 850"), 500.0, 1e-3) == 500
-    got = {(r.pid, r.rn): r.nid for r in spatial.nearest(p, 33).collect()}
-    assert len(got) == 33 * len(at)
-    for i in range(0, len(at), 7):
+    at = np.concatenate([1000 + rng.integers(0, 64, (700, 3)) / 64, rng.integers(0, 4000, (150, 3)), np.full((60, 3), 5.0)])
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "pid long, x double, y double, z double").repartition(5)
+    want = {}
+    for i in range(len(at)):
         d2 = ((at - at[i]) ** 2).sum(axis=1)
-        assert [got[i, k + 1] for k in range(33)] == np.lexsort((np.arange(len(at)), d2))[:33].tolist()
+        want |= {(i, k + 1): j for k, j in enumerate(np.lexsort((np.arange(len(at)), d2))[:33].tolist())}
+    for most in (celltree.MOST_IN_LEAF, 40, 8):
+        assert {(r.pid, r.rn): r.nid for r in spatial.nearest(p, 33, most=most).collect()} == want
+
+
+def test_no_leaf_pairs_more_than_its_share(spark):
+    """Five rows in six stand in a ten-millionth of the volume; leaves there are as full as elsewhere."""
+    rng = np.random.default_rng(4)
+    at = np.concatenate([2000 + rng.uniform(0, 18, (10_000, 3)), rng.uniform(0, 4000, (2000, 3))])
+    p = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(at)], "tree long, pid long, x double, y double, z double")
+    frame = celltree.Frame(at.min(0).tolist(), at.max(0).tolist())
+    leaves = celltree.placed_in_leaves(p.select("*", *(frame.deep(a).alias(f"i{a}") for a in "xyz")), len(at), 100)
+    sizes = leaves.groupBy("leaf").count().select("count").toPandas()["count"]
+    assert sizes.max() <= 100 and sizes.sum() == len(at) and len(sizes) < len(at) / 10
+    assert leaves.select(celltree.level_of(F.col("leaf")).alias("v")).distinct().count() >= 3
+    for r in leaves.sample(0.05, 1).collect():  # rows lie in their leaves
+        level, cell = r.leaf >> (3 * celltree.DEPTH), [(r.leaf >> ((2 - i) * celltree.DEPTH)) & ((1 << celltree.DEPTH) - 1) for i in range(3)]
+        edge = frame.side / (1 << level)
+        assert all(c0 + c * edge <= x <= c0 + (c + 1) * edge for c0, c, x in zip(frame.corner, cell, (r.x, r.y, r.z), strict=True))
+
+
+def test_nearest_within_trees(spark):
+    """Rows of one node are neighbours of each other only, at the same places as in a node alone."""
+    rng = np.random.default_rng(6)
+    at = rng.uniform(0, 32, (300, 3))
+    p = spark.createDataFrame([(i, i % 3, *map(float, x)) for i, x in enumerate(at)], "pid long, node int, x double, y double, z double")
+    together = {(r.pid, r.rn): (r.nid, r.d2) for r in spatial.nearest(p, 10, "node", 20).collect()}
+    alone = {(r.pid, r.rn): (r.nid, r.d2) for n in range(3) for r in spatial.nearest(p.where(f"node = {n}"), 10).collect()}
+    assert together == alone and len(alone) == 3000
+    with pytest.raises(ValueError):
+        spatial.nearest(p.where("node < 2 OR pid < 20"), 10, "node")
+
+
+def test_spheres_of_all_sizes(spark):
+    """Radii from 1 to 1000: every pair, and no halo in more than 27 cells."""
+    rng = np.random.default_rng(7)
+    at, centre, r = rng.uniform(0, 2000, (3000, 3)), rng.uniform(0, 2000, (40, 3)), 10 ** rng.uniform(0, 3, 40)
+    r[:3] = 0.0, 1.0, 1000.0
+    p = spark.createDataFrame([(i, i % 2, *map(float, x)) for i, x in enumerate(at)], "pid long, node int, x double, y double, z double")
+    h = spark.createDataFrame([(i, i % 2, *map(float, x), float(s)) for i, (x, s) in enumerate(zip(centre, r, strict=True))], "hid long, node int, x double, y double, z double, r double")
+    inside = {(i, int(j)) for i in range(40) for j in np.flatnonzero(((at - centre[i]) ** 2).sum(1) < r[i] ** 2)}
+    assert {tuple(x) for x in spatial.sphere_members(p, h).collect()} == inside and len(inside) > 1000
+    assert {tuple(x) for x in spatial.sphere_members(p, h, ("node",)).collect()} == {(i, j) for i, j in inside if i % 2 == j % 2}
+    assert spatial.sphere_members(p, h.limit(0)).count() == 0
 
 
 def test_scatter_spreads_all_but_the_farthest(spark, sf):
