@@ -60,6 +60,30 @@ def test_cell_weights_sum_to_one_inside(spark):
     assert {k: round(v, 6) for k, v in by_x.items()} == {2: 0.02, 3: 0.48, 4: 0.48, 5: 0.02}
 
 
+@pytest.mark.parametrize("periodic", [False, True])
+def test_tiles_sum_what_cells_sum(spark, periodic):
+    """Kernels from a hundredth of a cell to twice the box, by nodes, with tiles that don't divide the grid and full ones."""
+    rng = np.random.default_rng(9)
+    at, h = rng.uniform(-6, 38, (400, 3)), 10 ** rng.uniform(-2, 1.8, 400)
+    at[:200] = rng.uniform(3, 5, (200, 3))
+    rows = spark.createDataFrame([(i, i % 3, *map(float, x), float(r), float(v), i % 5 - 1) for i, (x, r, v) in enumerate(zip(at, h, rng.normal(0, 1, 400), strict=True))], "pid long, node int, x double, y double, z double, rk double, dens double, igrp int")
+    rows = rows.withColumns({"vx": F.col("dens") * 2, "vy": -F.col("dens"), "vz": F.col("x")})
+    gas, w = mesh.is_gas(-1), F.col("w")
+    of = lambda x: F.sum(F.when(gas, x).otherwise(0.0))
+    cells = mesh.spread(rows, 32.0, 10, periodic).groupBy("node", "ix", "iy", "iz").agg(of(w).alias("n"), F.sum(F.when(gas, 0.0).otherwise(w)).alias("halo"), of(w * F.col("dens")).alias("c"), *(of(w * F.col(f"v{a}")).alias(f"v{a}") for a in "xyz"))
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in cells.collect()}
+    for tile, most in ((16, 1 << 16), (4, 1 << 16), (3, 20)):
+        got = {tuple(r)[:4]: tuple(r)[4:] for r in mesh.assign(rows, 32.0, 10, periodic=periodic, keys=("node",), tile=tile, most=most).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_rows_for_tiles_grow_with_rows_not_cells(spark):
+    rows = spark.createDataFrame([(i, float(i), 16.0, 16.0, 8.0) for i in range(32)], "pid long, x double, y double, z double, rk double")
+    few, many = (mesh.dealt_to_tiles(rows, 32.0, nc, False, nc // 4).count() for nc in (32, 128))
+    assert few == many and mesh.spread(rows, 32.0, 128).count() > 40 * mesh.spread(rows, 32.0, 32).count()
+
+
 def test_nearest_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     at = np.concatenate([rng.integers(0, 40, (60, 3)), rng.integers(0, 2000, (40, 3)), np.full((5, 3), 7)]) / 8  # clusters, outliers, ties
