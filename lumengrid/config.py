@@ -29,12 +29,15 @@ class RunConfig:
     pids: bool = False  # particle ids follow the records of halos
     order: str = "<"  # byte order of files
     halo_tolerance: float = 0.2
+    mass_def: str = "vir"  # or 200c: masses and radii of halos at 200 times the mean density
 
     def __post_init__(self):
         if not 0 < self.buffer_factor <= 0.5:
             raise ValueError("buffer_factor must be over 0 and at most 0.5: beyond that the two faces' zones overlap")
         if self.nodes_per_axis < 1 or min(self.nc) < 1:
             raise ValueError("nodes_per_axis and nc must be positive")
+        if self.mass_def not in ("vir", "200c"):
+            raise ValueError("mass_def is vir or 200c")
         if self.boxsize <= 0 and self.nc_node_dim < 1:
             raise ValueError("give boxsize for xv snapshots or nc_node_dim for zipped ones")
 
@@ -64,7 +67,7 @@ def parse(args: list[str]) -> RunConfig:
                 first.add(self.dest)
                 setattr(namespace, self.dest, values)
 
-    for flag, kind, name in (("-xv", float, "boxsize"), ("-buffer_factor", float, "buffer_factor"), ("-l", float, "linking_length"), ("-nc_node_dim", int, "nc_node_dim"), ("-mesh_scale", float, "mesh_scale"), ("-omegam", float, "omega_m"), ("-pm_redshift", str, "redshifts"), ("-node_dir", str, "node_dir"), ("-shift", str, "shift_dir"), ("-nodes", int, "nodes_per_axis"), ("-out", str, "out_dir"), ("-allocate", int, "allocate"), ("-order", str, "order")):
+    for flag, kind, name in (("-xv", float, "boxsize"), ("-buffer_factor", float, "buffer_factor"), ("-l", float, "linking_length"), ("-nc_node_dim", int, "nc_node_dim"), ("-mesh_scale", float, "mesh_scale"), ("-omegam", float, "omega_m"), ("-pm_redshift", str, "redshifts"), ("-node_dir", str, "node_dir"), ("-shift", str, "shift_dir"), ("-nodes", int, "nodes_per_axis"), ("-out", str, "out_dir"), ("-allocate", int, "allocate"), ("-order", str, "order"), ("-mass", str, "mass_def")):
         p.add_argument(flag, dest=name, type=kind, default=getattr(RunConfig, name), action=First)
     for flag, name, value in (("-fof", "fof", True), ("-no_halos", "halos", False), ("-replace", "replace", True), ("-pids", "pids", True)):
         p.add_argument(flag, dest=name, action="store_const", const=value, default=getattr(RunConfig, name))

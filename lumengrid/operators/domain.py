@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -62,6 +62,13 @@ def crop(points: DataFrame, boxsize: float, buffer_factor: float) -> DataFrame:
     return points.where(padded(boxsize, buffer_factor))
 
 
+def crop_counted(points: DataFrame, boxsize: float, buffer_factor: float, counts: Observation) -> DataFrame:
+    """The crop of local rows and ghosts (is_ghost); counts gets kept, removed and removed_local from the job that first reads it."""
+    inside, local = padded(boxsize, buffer_factor), ~F.col("is_ghost")
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return points.observe(counts, n(inside, "kept"), n(~inside, "removed"), n(~inside & local, "removed_local")).where(inside)
+
+
 def owned(boxsize: float) -> Column:
     """Strictly inside the box: of a group's copies one node has its centre there."""
     out = F.lit(True)

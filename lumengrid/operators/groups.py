@@ -41,6 +41,13 @@ def catalogue(points: DataFrame, tagged: DataFrame, boxsize: float) -> DataFrame
     return rows.where(owned(boxsize))
 
 
+def node_catalogue(points: DataFrame, tagged: DataFrame, boxsize: float) -> DataFrame:
+    """The catalogue of each node (node, igrp): groups of its rows and ghosts whose centre lies in its box."""
+    means = [F.avg(c).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")]
+    rows = points.join(tagged.where("igrp > 0"), "pid").groupBy("node", "igrp").agg(*means, F.count("*").alias("nfof"))
+    return rows.where(owned(boxsize))
+
+
 def invalid_halos(halos: DataFrame, expected: float, tolerance: float = 10.0) -> DataFrame:
     """Halos with their overdensity and whether it is as expected."""
     d = overdensity(F.col("mass"), F.col("r"))

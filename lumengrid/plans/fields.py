@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumengrid.operators import domain, groups, mesh, spatial
@@ -20,21 +20,23 @@ def clumping_field(points: DataFrame, halos: DataFrame, boxsize: float, nc: int)
     return mesh.normalise(mesh.assign(rows, boxsize, nc), boxsize, nc)
 
 
-def with_ghosts(points: DataFrame, edge: float, nodes: int, buffer_factor: float) -> DataFrame:
+def with_ghosts(points: DataFrame, edge: float, nodes: int, buffer_factor: float, counts: Observation | None = None) -> DataFrame:
     """Rows of each node (node, pid, positions in it) and those of its neighbours within its buffer, cropped, with is_ghost.
 
-    A ghost is a row of its own: pid becomes the old one times the number of nodes, plus the node.
+    A ghost is a row of its own: pid becomes the old one times the number of nodes, plus the node. counts gets what the crop
+    kept and removed.
     """
-    local = domain.crop(domain.exchange(points, edge, buffer_factor, nodes), edge, buffer_factor)
+    every = domain.exchange(points, edge, buffer_factor, nodes)
+    local = domain.crop_counted(every, edge, buffer_factor, counts) if counts else domain.crop(every, edge, buffer_factor)
     return local.withColumn("pid", F.col("pid") * F.lit(nodes**3) + F.col("node"))
 
 
-def node_rows(points: DataFrame, halos: DataFrame | None, edge: float, nodes: int, buffer_factor: float) -> DataFrame:
+def node_rows(points: DataFrame, halos: DataFrame | None, edge: float, nodes: int, buffer_factor: float, counts: Observation | None = None) -> DataFrame:
     """Rows of each node and its ghosts with rk, dens and igrp (-1 in a halo). points, halos: node and positions in it.
 
     All nodes are computed in one plan. Halos count for a node if their centre is strictly inside its padded box.
     """
-    rows = with_density(materialise(with_ghosts(points, edge, nodes, buffer_factor), "node-rows"), by="node")
+    rows = with_density(materialise(with_ghosts(points, edge, nodes, buffer_factor, counts), "node-rows"), by="node")
     if halos is None:
         return rows.withColumn("igrp", F.lit(0))
     near = domain.exchange(halos, edge, buffer_factor, nodes).where(domain.padded(edge, buffer_factor))

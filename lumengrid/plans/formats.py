@@ -47,21 +47,21 @@ _XV = f"{_ND} SELECT node, {_NUMBERED}, x, y, z, vx, vy, vz FROM nn"
 @query(_XV)
 def format_xv(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_xv(_local(spark, sf_dir), base, Z).collect()  # a row for each file
+    writers.write_xv(_local(spark, sf_dir), base, Z)
     return binary.read_xv(spark, base, Z, rows=RANGE)
 
 
 @query(_XV.replace("x, y, z, vx", "x - 0.5e0 AS x, y + 1e0 AS y, z - 2e0 AS z, vx"))
 def format_xv_big_endian(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_xv(_local(spark, sf_dir), base, Z, ">").collect()
+    writers.write_xv(_local(spark, sf_dir), base, Z, ">")
     return binary.read_xv(spark, base, Z, (0.5, -1.0, 2.0), ">", RANGE)
 
 
 @query(f"{_ND} SELECT node, count(*) AS np FROM nn GROUP BY node")
 def format_headers(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_xv(_local(spark, sf_dir), base, Z).collect()
+    writers.write_xv(_local(spark, sf_dir), base, Z)
     return binary.read_headers(spark, base, Z)
 
 
@@ -72,7 +72,7 @@ def _zip_sql(a: str) -> str:
 @query(f"{_ND} SELECT node, {', '.join(_zip_sql(a) for a in 'xyz')}, count(*) AS n FROM nn GROUP BY ALL")
 def format_zip(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_zip(_local(spark, sf_dir), base, Z, COARSE, MESH_SCALE, SCALE).collect()
+    writers.write_zip(_local(spark, sf_dir), base, Z, COARSE, MESH_SCALE, SCALE)
     out = binary.read_zip(spark, base, Z, COARSE, MESH_SCALE, rows=RANGE)
     return out.groupBy("node", "x", "y", "z", "vx", "vy", "vz").agg(F.count("*").alias("n"))
 
@@ -80,7 +80,7 @@ def format_zip(spark, sf_dir) -> DataFrame:
 @query(f"{_ND} SELECT node, {', '.join(_zip_sql(a) for a in 'xyz')}, count(*) AS n FROM nn GROUP BY ALL")
 def format_zip_big_endian(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_zip(_local(spark, sf_dir), base, Z, COARSE, MESH_SCALE, SCALE, ">").collect()
+    writers.write_zip(_local(spark, sf_dir), base, Z, COARSE, MESH_SCALE, SCALE, ">")
     out = binary.read_zip(spark, base, Z, COARSE, MESH_SCALE, order=">", rows=RANGE)
     return out.groupBy("node", "x", "y", "z", "vx", "vy", "vz").agg(F.count("*").alias("n"))
 
@@ -92,14 +92,14 @@ _HALO_ROWS = f"{_HALOS} SELECT node, node::BIGINT * 1099511627776 + row_number()
 @query(_HALO_ROWS)
 def format_halo22(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, pids=True).collect()
+    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, pids=True)
     return binary.read_halos(spark, base, Z, q.EDGE, pids=True)
 
 
 @query(_HALO_ROWS)
 def format_halo17(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, 17, order=">").collect()
+    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, 17, order=">")
     return binary.read_halos(spark, base, Z, q.EDGE, layout=17, order=">")
 
 
@@ -111,7 +111,7 @@ _ALL = f"al AS (SELECT node, ix, iy, iz FROM range({q.NODES**3}) a(node), range(
 def format_grid(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/so/nc8/{Z}"
     grids = q._node_grids(spark, sf_dir).withColumn("c", F.lit(0.0))
-    writers.write_grids(grids, base, 8).collect()  # four rows for each node
+    writers.write_grids(grids, base, 8)
     cell = ["node", "ix", "iy", "iz"]
     n, halo = (binary.read_grid(spark, base, kind).withColumnRenamed("v0", name) for kind, name in (("n", "n"), ("h", "halo")))
     vel = binary.read_grid(spark, base, "vel", 3)
@@ -134,24 +134,10 @@ def format_global_grid(spark, sf_dir) -> DataFrame:
 def format_combined(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/all"
     whole = mesh.assign(q._rows(spark, sf_dir), BOX, q.NC).withColumn("node", F.lit(0))
-    path = writers.write_combined(whole, base, q.NC, BOX).first().path
-    # a header of three words, then planes: read as words by place
-    words = spark.read.format("binaryFile").load(f"file://{path}").select(F.expr("substring(content, 1, 12)").alias("head"), "content")
-    cells = q.NC**3
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column(1).to_pylist():
-                v = np.frombuffer(content, "<f4", 6 * cells, 12).astype(float)
-                nc, dof = np.frombuffer(content, "<i4", 2).tolist()
-                box = float(np.frombuffer(content, "<f4", 1, 8)[0])
-                yield pa.RecordBatch.from_pydict({"nc": pa.array([nc], pa.int32()), "dof": pa.array([dof], pa.int32()), "box": [box], "n": [v[:cells].sum()], "halo": [v[cells : 2 * cells].sum()], "vx": [v[3 * cells :: 3].sum()]})
-
-    out = words.mapInArrow(run, "nc int, dof int, box double, n double, halo double, vx double")
-    return out.select("nc", "dof", "box", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("n", "halo", "vx")))
+    writers.write_combined(whole, base, q.NC, BOX)
+    sums = [(F.round(F.sum(c), 3) + F.lit(0.0)).alias(c) for c in ("n", "halo", "vx")]
+    nc = F.cbrt(F.count("*")).cast("int").alias("nc")
+    return binary.read_combined(spark, base, rows=1000).groupBy("dof", "box").agg(nc, *sums).select("nc", "dof", "box", "n", "halo", "vx")
 
 
 @query(f"{q._FOF}, {q._TAGS} SELECT 0 AS node, " + ", ".join(f"round(avg({c})::FLOAT::DOUBLE, 3) + 0e0 AS {c}" for c in ("x", "y", "z", "vx", "vy", "vz")) + ", count(*)::INT AS nfof FROM pe JOIN tg USING (pid) WHERE igrp > 0 GROUP BY igrp")
@@ -159,7 +145,7 @@ def format_catalogue(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/fof"
     p = particles_e(spark, sf_dir)
     found = groups.catalogue(p, groups.large_groups(groups.friends(p, q.LINK)), BOX)
-    writers.write_catalogue(found.withColumn("node", F.lit(0)), base).collect()
+    writers.write_catalogue(found.withColumn("node", F.lit(0)), base)
     return writers.read_catalogue(spark, base).select("node", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")), "nfof")
 
 
@@ -173,7 +159,7 @@ def format_histogram(spark, sf_dir) -> DataFrame:
 @query(f"{_HALOS}, gh AS (SELECT hid, node, x, y, z, mass / (4e0 / 3e0 * pi() * r * r * r) AS delta FROM nh) SELECT node, count(*) AS n, count(*) FILTER (WHERE abs(delta - {q.DELTA!r}::DOUBLE) < 10e0) AS valid FROM gh GROUP BY node")
 def format_halo_check(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z).collect()
+    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z)
     h = binary.read_halos(spark, base, Z, q.EDGE)
     ok = F.abs(kernels.overdensity(F.col("mass"), F.col("r")) - q.DELTA) < 10.0
     return h.groupBy("node").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("valid"))
@@ -185,7 +171,7 @@ def format_halo_check(spark, sf_dir) -> DataFrame:
 @query(f"WITH {PE}, {q._exchanged_sql('pe', 'pid, vx, vy, vz', 'ex')} SELECT node, x, y, z, vx, is_ghost FROM ex")
 def format_xv_all(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_xv(_local(spark, sf_dir), base, Z).collect()
+    writers.write_xv(_local(spark, sf_dir), base, Z)
     rows = nodes.all_xv(spark, base, Z, q.EDGE, q.NODES, q._NODE_BF)
     return domain.crop(rows, q.EDGE, q._NODE_BF).select("node", "x", "y", "z", "vx", "is_ghost")
 
@@ -193,5 +179,5 @@ def format_xv_all(spark, sf_dir) -> DataFrame:
 @query(f"WITH {PE}, {HE}, {q._exchanged_sql('he', 'hid, r, mass', 'ex')} SELECT node, x, y, z, is_ghost, abs(mass::FLOAT::DOUBLE / (4e0 / 3e0 * pi() * r * r * r) - {q.DELTA!r}::DOUBLE) <= 0.1e0 AS ok FROM ex")
 def format_halo_all(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
-    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, 17).collect()
+    writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, 17)
     return nodes.all_halos(spark, base, Z, q.EDGE, q.NODES, q._NODE_BF, q.DELTA).select("node", "x", "y", "z", "is_ghost", "ok")

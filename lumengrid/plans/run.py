@@ -5,17 +5,16 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrid.config import RunConfig
 from lumengrid.functions.kernels import virial_overdensity
 from lumengrid.operators import domain, groups, mesh
+from lumengrid.operators.spatial import sphere_members
 from lumengrid.plans import fields
 from lumengrid.session import materialise
-from lumengrid.sources import binary, writers
-
-KINDS = {"n": 1, "h": 1, "c": 1, "vel": 3}
+from lumengrid.sources import binary, ranges, writers
 
 
 class MassError(ValueError):
@@ -54,20 +53,39 @@ def _checked(ok: bool, what: str) -> None:
         raise MassError(what)
 
 
-def _grids(rows: DataFrame, c: RunConfig, redshift: str, kind: str, sign: int, n_rows: int, report: Report) -> list[str]:
+def _counted(df: DataFrame, name: str, **sums) -> tuple[DataFrame, dict]:
+    """df as a table, and sums over its rows from the job that writes it."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(v.alias(k) for k, v in sums.items())), name)
+    return out, seen.get
+
+
+def _settings(c: RunConfig, redshift: str, shift: tuple[float, float, float]) -> dict:
+    """All that a redshift's results depend on: options, the shift, and each input's bytes and time."""
+    names = [f"{redshift}zip{k}_{{}}.dat" for k in range(4)] if c.zipped else [f"{redshift}xv{{}}.dat"]
+    store, inputs = binary.opened(c.node_dir)[0], {}
+    for name in [*names, *([f"{redshift}halo{{}}.dat"] if c.halos else [])]:
+        for path in binary.node_files(c.node_dir, name).values():
+            info = store.get_file_info(path)
+            inputs[path] = [info.size, info.mtime_ns]
+    own = {k: v for k, v in c.__dict__.items() if k not in ("out_dir", "replace", "nc", "redshifts", "shift_dir")}
+    return own | {"redshift": redshift, "shift": shift, "inputs": inputs}
+
+
+def _grids(rows: DataFrame, c: RunConfig, redshift: str, kind: str, sign: int, n_rows: int, report: Report, settings: dict) -> list[str]:
     written = []
     for nc in c.nc:
         base = f"{c.out_dir}/{kind}/nc{nc}/{redshift}"
-        # a grid whose files are there, whole, is not made again
-        sizes = {f"{k}{node}": 4 + 4 * dof * nc**3 for k, dof in KINDS.items() for node in range(c.nodes_per_axis**3)}
-        if not c.replace and not writers.missing(base, sizes):
+        # what was committed from the same inputs and options, and is there, is not made again
+        own, manifest = settings | {"kind": kind, "nc": nc}, f"{base}.manifest"
+        if not c.replace and ranges.stale(manifest, own) == []:
             continue
 
-        def work(nc=nc, base=base):
-            m = materialise(mesh.assign(rows, c.box, nc, sign=sign, keys=("node",)), "mesh")
-            total = m.agg(F.coalesce(F.sum(F.col("n") + F.col("halo")), F.lit(0.0))).first()[0]
+        def work(nc=nc, base=base, own=own, manifest=manifest):
+            m, seen = _counted(mesh.assign(rows, c.box, nc, sign=sign, keys=("node",)), "mesh", total=F.coalesce(F.sum(F.col("n") + F.col("halo")), F.lit(0.0)))
+            total = seen["total"]
             _checked(n_rows == 0 or abs(total / n_rows - 1) < 0.001, f"redshift {redshift}, nc {nc}: mass {total} in the grid, {n_rows} rows")
-            files = writers.write_grids(mesh.normalise(m, c.box, nc), base, nc, c.order).collect()  # four rows for each node
+            files = writers.write_grids(mesh.normalise(m, c.box, nc), base, nc, c.order, own, manifest)
             return [x.path for x in files], len(files)
 
         written += report.timed(redshift, f"{kind} nc{nc}", work)
@@ -75,25 +93,23 @@ def _grids(rows: DataFrame, c: RunConfig, redshift: str, kind: str, sign: int, n
 
 
 def compute(spark: SparkSession, c: RunConfig, redshift: str, report: Report) -> list[str]:
-    """Grids (and with fof a catalogue) of one redshift; paths of the files written."""
+    """Grids (and with fof a catalogue) of one redshift; paths of the files written. Counts come from the jobs that write the tables."""
     points, shift = snapshot(spark, c, redshift)
+    settings = _settings(c, redshift, shift)
 
     def load():
-        rows = materialise(points, "points")
-        return rows, rows.count()
+        rows, seen = _counted(points, "points")
+        return (rows, seen["rows"]), seen["rows"]
 
-    points = report.timed(redshift, "io", load)
-    n_rows = points.count()
+    points, n_rows = report.timed(redshift, "io", load)
     nodes, written = c.nodes_per_axis, []
     if c.fof:
 
         def find():
             near = materialise(fields.with_ghosts(points, c.box, nodes, c.buffer_factor), "ghosts")
-            tags = materialise(groups.large_groups(groups.friends(near, c.link, ("node",))), "tags")
-            means = [F.avg(x).alias(x) for x in ("x", "y", "z", "vx", "vy", "vz")]
-            found = near.join(tags.where("igrp > 0"), "pid").groupBy("node", "igrp").agg(*means, F.count("*").alias("nfof")).where(domain.owned(c.box))
-            files = writers.write_catalogue(found, f"{c.out_dir}/fof/{redshift}fof", c.order).collect()  # a row for each node
-            return (tags, [x.path for x in files]), tags.count()
+            tags, seen = _counted(groups.large_groups(groups.friends(near, c.link, ("node",))), "tags")
+            files = writers.write_catalogue(groups.node_catalogue(near, tags, c.box), f"{c.out_dir}/fof/{redshift}fof", c.order)
+            return (tags, [x.path for x in files]), seen["rows"]
 
         tags, files = report.timed(redshift, "fof", find)
         written += files
@@ -103,30 +119,30 @@ def compute(spark: SparkSession, c: RunConfig, redshift: str, report: Report) ->
         def validated():
             z = float(redshift)
             delta = spark.range(1).select(virial_overdensity(F.lit(z), F.lit(c.omega_m))).first()[0]
-            h = materialise(groups.require_valid(binary.read_halos(spark, c.node_dir, redshift, c.box, shift=shift, order=c.order, pids=c.pids), delta), "halos")
-            return h, h.count()
+            read = binary.read_halos(spark, c.node_dir, redshift, c.box, c.mass_def, shift=shift, order=c.order, pids=c.pids)
+            h, seen = _counted(groups.require_valid(read, 200.0 if c.mass_def == "200c" else delta), "halos", mass=F.coalesce(F.sum(F.col("mass") / 8.0), F.lit(0.0)))
+            return (h, seen["mass"]), seen["rows"]
 
-        halos = report.timed(redshift, "so_halo", validated)
+        halos, expected = report.timed(redshift, "so_halo", validated)
 
     def density():
-        rows = materialise(fields.node_rows(points, halos, c.box, nodes, c.buffer_factor), "rows")
-        return rows, rows.count()
+        cropped = Observation()
+        rows, seen = _counted(fields.node_rows(points, halos, c.box, nodes, c.buffer_factor, cropped), "rows")
+        return (rows, cropped.get), seen["rows"]
 
-    rows = report.timed(redshift, "neighbors", density)
+    rows, cropped = report.timed(redshift, "neighbors", density)
+    report.rows.append((redshift, "cropped", 0.0, cropped["removed"]))
     if halos is not None:
-        expected = halos.agg(F.coalesce(F.sum(F.col("mass") / 8.0), F.lit(0.0))).first()[0]
         marked = _marked(rows, halos, c)
         _checked(expected <= 100 or abs(marked / expected - 1) < c.halo_tolerance, f"redshift {redshift}: {marked} rows in halos of mass {expected}")
-        written += _grids(rows, c, redshift, "so", -1, n_rows, report)
+        written += _grids(rows, c, redshift, "so", -1, n_rows, report, settings)
     if c.fof:
-        written += _grids(rows.drop("igrp").join(tags, "pid"), c, redshift, "fof", 1, n_rows, report)
+        written += _grids(rows.drop("igrp").join(tags, "pid"), c, redshift, "fof", 1, n_rows, report, settings)
     return written
 
 
 def _marked(rows: DataFrame, halos: DataFrame, c: RunConfig) -> int:
     """Rows of the nodes' own boxes in halos, with their multiplicity."""
-    from lumengrid.operators.spatial import sphere_members
-
     near = domain.exchange(halos, c.box, c.buffer_factor, c.nodes_per_axis).where(domain.padded(c.box, c.buffer_factor))
     return sphere_members(rows.where("NOT is_ghost"), near, ("node",)).count()
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lumengrid.sources.ranges import FileLayout, RangeWriter
+
 BATCH = 1 << 16
 #: Rows that a task reads by default.
 RANGE = 1 << 22
@@ -31,6 +33,8 @@ HALO22, HALO17, PID_BYTES = 22, 17, 1600
 #: Places of (mass, radius) in a 22-float record by mass definition, and in a 17-float record.
 MASS_AND_RADIUS = {"vir": (3, 5), "200c": (4, 6)}
 MASS_AND_RADIUS_17 = (15, 13)
+#: Files of a grid and their columns.
+PLANES = {"n": ("n",), "h": ("halo",), "c": ("c",), "vel": ("vx", "vy", "vz")}
 
 ROWS = "node int, pid bigint, x double, y double, z double, vx double, vy double, vz double"
 
@@ -258,6 +262,36 @@ class GridReader(_Reader):
                 yield _columns(partition.node, a, {k: x.astype(np.int32) for k, x in place.items()} | {f"v{i}": v[:, i] for i in range(self.components)}, None)
 
 
+class CombinedReader(GridReader):
+    """Cells of `<base><node>.dat` with planes n, halo and c, then momenta by cell, after nc, the floats of a cell and the box's size."""
+
+    def files(self):
+        return grid_files(self.o["base"], "")
+
+    def rows(self, store, path, node):
+        cells, size = self.number(store, path) ** 3, store.get_file_info(path).size
+        if size != 12 + 24 * cells:
+            raise ValueError(f"{path}: {cells} cells in {size} bytes")
+        return cells
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        with self.store().open_input_file(partition.path) as f:
+            head = f.read(12)
+            nc, dof = np.frombuffer(head, f"{self.order}i4", 2).tolist()
+            box = float(np.frombuffer(head, f"{self.order}f4", 1, 8)[0])
+            for a in range(partition.first, partition.last, BATCH):
+                at = np.arange(a, min(a + BATCH, partition.last))
+
+                def plane(k, per):
+                    f.seek(12 + 4 * (k * nc**3 + per * at[0]))  # noqa: B023
+                    return np.frombuffer(f.read(4 * per * len(at)), f"{self.order}f4").astype(np.float64)  # noqa: B023
+
+                v = plane(3, 3).reshape(-1, 3)
+                place = {"ix": at % nc, "iy": at // nc % nc, "iz": at // nc**2, "dof": np.full(len(at), dof)}
+                values = {c: plane(k, 1) for k, c in enumerate(("n", "halo", "c"))} | {f"v{x}": v[:, i] for i, x in enumerate("xyz")}
+                yield _columns(partition.node, a, {k: x.astype(np.int32) for k, x in place.items()} | {"box": np.full(len(at), box)} | values, None)
+
+
 class HeaderReader(_Reader):
     """Row counts from the first word of each snapshot file; nothing else is read. Option kind: xv or zip0_."""
 
@@ -275,13 +309,25 @@ class _Source(DataSource):
     def reader(self, schema):
         return self.made(self.options)
 
+    def writer(self, schema, overwrite):
+        return RangeWriter(self.options, self.layouts(), cells=self.cells())
+
+    def cells(self):
+        """Columns that place a cell, and cells on an axis; None where records are numbered by column at."""
+        return None
+
     def schema(self):
         return self.columns
 
 
 class XvSource(_Source):
+    """Written from node, n (rows of the node), at (from 0) and the six numbers of a row. Option redshift."""
+
     made, columns = XvReader, ROWS
 
+    def layouts(self):
+        return [FileLayout("{node}/" + self.options["redshift"] + "xv{node}.dat", [(c, "f4") for c in ("x", "y", "z", "vx", "vy", "vz")], XV_HEADER_BYTES, (XV_HEADER_BYTES, 24), [(0, 0, ["n"])], counted=True)]
+
     @classmethod
     def name(cls):
         return "snapshot_xv"
@@ -296,16 +342,48 @@ class ZipSource(_Source):
 
 
 class HaloSource(_Source):
+    """Written from node, n, at, x, y, z, mass and r; other fields are 0. Options redshift, layout (22 or 17), pids, mass_def."""
+
     made, columns = HaloReader, "node int, hid bigint, x double, y double, z double, r double, mass double"
 
+    def layouts(self):
+        layout = int(self.options.get("layout", HALO22))
+        head, stride = 12 if layout == HALO22 else 4, 4 * layout + (PID_BYTES if self.options.get("pids", "false") == "true" else 0)
+        mass, radius = MASS_AND_RADIUS[self.options.get("mass_def", "vir")] if layout == HALO22 else MASS_AND_RADIUS_17
+        fields = [(c, "f4") for c in ("x", "y", "z", "mass", "r")]
+        return [FileLayout("{node}/" + self.options["redshift"] + "halo{node}.dat", fields, head, (head, stride), [], stride, [0, 4, 8, 4 * mass, 4 * radius], True)]
+
     @classmethod
     def name(cls):
         return "halo_catalogue"
 
 
 class GridSource(_Source):
+    """Written by option layout, of cells with nc on an axis:
+
+    separate: node, ix, iy, iz and the columns of `planes` (by default those of a normalised mesh), each kind a file;
+    combined: the same in one file, nc, 6, the box's size, then planes n, halo and c and the momenta by cell;
+    global: gx, gy, gz and the columns of option columns in the one file base, after three words nc.
+    """
+
     made = GridReader
 
+    def cells(self):
+        return (["gx", "gy", "gz"] if self.options.get("layout") == "global" else ["ix", "iy", "iz"]), int(self.options["nc"])
+
+    def layouts(self):
+        nc, layout = int(self.options["nc"]), self.options.get("layout", "separate")
+        fields = lambda columns: [(c, "f4") for c in columns]
+        if layout == "global":
+            columns = self.options["columns"].split(",")
+            return [FileLayout("", fields(columns), 12, (12 + 4 * len(columns) * nc**3, 0), [(0, 0, [("i4", nc)] * 3)])]
+        if layout == "combined":
+            size = (12 + 24 * nc**3, 0)
+            head = [(0, 0, [("i4", nc), ("i4", 6), ("f4", float(self.options["boxsize"]))])]
+            planes = [FileLayout("{node}.dat", fields([c]), 12 + 4 * k * nc**3, size) for k, c in enumerate(("n", "halo", "c"))]
+            return [*planes, FileLayout("{node}.dat", fields(("vx", "vy", "vz")), 12 + 12 * nc**3, size, head)]
+        return [FileLayout(kind + "{node}.dat", fields(columns), 4, (4 + 4 * len(columns) * nc**3, 0), [(0, 0, [("i4", nc)])]) for kind, columns in PLANES.items()]
+
     @classmethod
     def name(cls):
         return "grid_file"
@@ -314,6 +392,92 @@ class GridSource(_Source):
         return "node int, ix int, iy int, iz int, " + ", ".join(f"v{i} double" for i in range(int(self.options.get("components", 1))))
 
 
+class CombinedSource(_Source):
+    made, columns = CombinedReader, "node int, ix int, iy int, iz int, dof int, box double, n double, halo double, c double, vx double, vy double, vz double"
+
+    @classmethod
+    def name(cls):
+        return "combined_grid"
+
+
+class CatalogueReader(_Reader):
+    """Groups of `<base><node>.dat`: count, record size, records, count."""
+
+    def files(self):
+        return grid_files(self.o["base"], "")
+
+    def record(self) -> np.dtype:
+        return np.dtype([("m", f"{self.order}f4", 6), ("n", f"{self.order}i4")])
+
+    def rows(self, store, path, node):
+        with store.open_input_file(path) as f:
+            n, size = np.frombuffer(f.read(8), f"{self.order}i4").tolist()
+            if size != self.record().itemsize:
+                raise ValueError(f"{path}: records of {size} bytes")
+            f.seek(8 + n * size)
+            if np.frombuffer(f.read(4), f"{self.order}i4").tolist() != [n]:
+                raise ValueError(f"{path}: the counts at both ends differ")
+        return n
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        kind = self.record()
+        with self.store().open_input_file(partition.path) as f:
+            f.seek(8 + kind.itemsize * partition.first)
+            for a in range(partition.first, partition.last, BATCH):
+                rec = np.frombuffer(f.read(kind.itemsize * min(BATCH, partition.last - a)), kind)
+                yield _columns(partition.node, a, {c: rec["m"][:, i].astype(np.float64) for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))} | {"nfof": rec["n"].astype(np.int32)}, None)
+
+
+class CatalogueSource(_Source):
+    """Written from node, n (groups of the node), at, mean position and velocity, and nfof."""
+
+    made, columns = CatalogueReader, "node int, x double, y double, z double, vx double, vy double, vz double, nfof int"
+
+    @classmethod
+    def name(cls):
+        return "group_catalogue"
+
+    def layouts(self):
+        fields = [*((c, "f4") for c in ("x", "y", "z", "vx", "vy", "vz")), ("nfof", "i4")]
+        return [FileLayout("{node}.dat", fields, 8, (12, 28), [(0, 0, ["n", ("i4", 28)]), (8, 28, ["n"])], counted=True)]
+
+
+class HistogramReader(_Reader):
+    """Bins of the one file base: bounds, bins, all rows, sum of values, counts."""
+
+    def files(self):
+        return {0: opened(self.o["base"])[1]}
+
+    def rows(self, store, path, node):
+        with store.open_input_file(path) as f:
+            return int(np.frombuffer(f.read(12), f"{self.order}i4")[2])
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        with self.store().open_input_file(partition.path) as f:
+            head = f.read(24)
+            (low, high), bins = np.frombuffer(head, f"{self.order}f4", 2).tolist(), int(np.frombuffer(head, f"{self.order}i4", 1, 8)[0])
+            ntot, total = int(np.frombuffer(head, f"{self.order}i8", 1, 12)[0]), float(np.frombuffer(head, f"{self.order}f4", 1, 20)[0])
+            f.seek(24 + 4 * partition.first)
+            n = np.frombuffer(f.read(4 * (partition.last - partition.first)), f"{self.order}i4").astype(np.int64)
+        at, width = np.arange(partition.first, partition.last), (high - low) / bins
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(at.astype(np.int32)), "low": low + at * width, "high": low + (at + 1) * width, "n": n, "ntot": np.full(len(at), ntot), "total": np.full(len(at), total)})
+
+
+class HistogramSource(_Source):
+    """Written from at (the bin) and n. Options low, high, bins, ntot, total."""
+
+    made, columns = HistogramReader, "bin int, low double, high double, n bigint, ntot bigint, total double"
+
+    @classmethod
+    def name(cls):
+        return "histogram_file"
+
+    def layouts(self):
+        o, bins = self.options, int(self.options["bins"])
+        head = [("f4", float(o["low"])), ("f4", float(o["high"])), ("i4", bins), ("i8", int(o["ntot"])), ("f4", float(o["total"]))]
+        return [FileLayout("", [("n", "i4")], 24, (24 + 4 * bins, 0), [(0, 0, head)])]
+
+
 class HeaderSource(_Source):
     made, columns = HeaderReader, "node int, np bigint"
 
@@ -322,29 +486,29 @@ class HeaderSource(_Source):
         return "snapshot_header"
 
 
-def _load(spark: SparkSession, source: type[DataSource], **options) -> DataFrame:
+def load(spark: SparkSession, source: type[DataSource], **options) -> DataFrame:
     spark.dataSource.register(source)
     return spark.read.format(source.name()).options(**{k: ",".join(map(str, v)) if isinstance(v, tuple) else str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).load()
 
 
 def read_xv(spark: SparkSession, base: str, redshift: str, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE) -> DataFrame:
     """Rows of xv snapshots: a header of 48 bytes, then six floats a row. Raises if a file is shorter than its header says."""
-    return _load(spark, XvSource, base=base, redshift=redshift, shift=shift, order=order, range=rows)
+    return load(spark, XvSource, base=base, redshift=redshift, shift=shift, order=order, range=rows)
 
 
 def read_headers(spark: SparkSession, base: str, redshift: str, kind: str = "xv", order: str = "<") -> DataFrame:
     """node and np of each snapshot file; kind is xv or zip0_."""
-    return _load(spark, HeaderSource, base=base, redshift=redshift, kind=kind, order=order)
+    return load(spark, HeaderSource, base=base, redshift=redshift, kind=kind, order=order)
 
 
 def read_zip(spark: SparkSession, base: str, redshift: str, nc_node_dim: int, mesh_scale: float, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE) -> DataFrame:
     """Rows of zipped snapshots. Raises if the counts don't add up to the header's rows or a file has another size than they ask for."""
-    return _load(spark, ZipSource, base=base, redshift=redshift, nc_node_dim=nc_node_dim, mesh_scale=mesh_scale, shift=shift, order=order, range=rows)
+    return load(spark, ZipSource, base=base, redshift=redshift, nc_node_dim=nc_node_dim, mesh_scale=mesh_scale, shift=shift, order=order, range=rows)
 
 
 def read_halos(spark: SparkSession, base: str, redshift: str, boxsize: float, mass_def: str = "vir", layout: int = HALO22, pids: bool = False, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<") -> DataFrame:
     """node, hid, x, y, z, r, mass of halo catalogues; positions folded into the box. A cut last record is left out."""
-    return _load(spark, HaloSource, base=base, redshift=redshift, boxsize=boxsize, mass_def=mass_def, layout=layout, pids=pids, shift=shift, order=order)
+    return load(spark, HaloSource, base=base, redshift=redshift, boxsize=boxsize, mass_def=mass_def, layout=layout, pids=pids, shift=shift, order=order)
 
 
 def read_grid(spark: SparkSession, base: str, kind: str, components: int = 1, order: str = "<", words: int = 1) -> DataFrame:
@@ -352,7 +516,12 @@ def read_grid(spark: SparkSession, base: str, kind: str, components: int = 1, or
 
     With an empty kind, base is one file (node 0). Raises if a file has another size than its header asks for.
     """
-    return _load(spark, GridSource, base=base, kind=kind, components=components, order=order, words=words)
+    return load(spark, GridSource, base=base, kind=kind, components=components, order=order, words=words)
+
+
+def read_combined(spark: SparkSession, base: str, order: str = "<", rows: int = RANGE) -> DataFrame:
+    """Cells of combined grid files `<base><node>.dat`, with the header's dof and box. Raises if a file has another size than its header asks for."""
+    return load(spark, CombinedSource, base=base, order=order, range=rows)
 
 
 def read_redshifts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,27 +1,35 @@
-"""Writers of grids, catalogues, histograms and snapshots: tasks stream sorted rows into files of the binary formats.
+"""Writers of grids, catalogues, histograms and snapshots.
 
-Every file is written under another name and then moved, so that a task that is run again replaces what it wrote.
+All but zipped snapshots go through Spark's data source writers (`sources/ranges.py`): tasks write ranges of a file side by
+side. A node's zipped files come from one task, as their records have no place before the cells before them are counted.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
+from lumengrid.sources import binary, ranges
 from lumengrid.sources.binary import ZIP_HEADER_WORDS, opened
 
 AXES = ("x", "y", "z")
-#: Cells that are filled with zeros at a time.
-FILL = 1 << 20
 WRITTEN = "path string, bytes bigint"
-#: Files of a grid and their columns.
-PLANES = {"n": ("n",), "h": ("halo",), "c": ("c",), "vel": ("vx", "vy", "vz")}
+#: Records of a node that one task writes at least.
+PER_TASK = 1 << 22
+
+
+@dataclass
+class Written:
+    path: str
+    bytes: int
 
 
 class _File:
@@ -41,249 +49,108 @@ class _File:
         return pa.RecordBatch.from_pydict({"path": [self.path], "bytes": pa.array([self.size], pa.int64())})
 
 
-def _dense(at: np.ndarray, values: np.ndarray, first: int, end: int) -> Iterator[np.ndarray]:
-    """values at their places from first to end, zeros elsewhere, some at a time."""
-    for a in range(first, end, FILL):
-        z = min(end, a + FILL)
-        s, e = np.searchsorted(at, [a, z])
-        out = np.zeros((z - a, values.shape[1]), values.dtype)
-        out[at[s:e] - a] = values[s:e]
-        yield out
+def save(rows: DataFrame, source: type[DataSource], base: str, settings: dict | None = None, manifest: str | None = None, **options) -> list[Written]:
+    """Writes rows with a data source; returns the files and their bytes, as the manifest has them.
 
+    The manifest stays if its path is given.
+    """
+    spark = rows.sparkSession
+    spark.dataSource.register(source)
+    at = manifest or f"{base}.{uuid.uuid4().hex}.manifest"
+    texts = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+    rows.write.format(source.name()).mode("append").options(base=base, manifest=at, settings=json.dumps(settings or {}), **texts).save()
+    files = ranges.committed(at)["files"]
+    if not manifest:
+        store, path = opened(at)
+        store.delete_file(path)
+    return [Written(opened(base + name)[1], size) for name, (size, _) in sorted(files.items())]
 
-def _cells(m: DataFrame, key: Column, nc: int, columns: list[str]) -> DataFrame:
-    """key and place of each cell, x fastest, with its values, in the order of files."""
-    at = (F.col("iz").cast("bigint") * nc + F.col("iy")) * nc + F.col("ix")
-    rows = m.select(key.alias("node"), at.alias("at"), *(F.col(c).cast("double").alias(c) for c in columns))
-    return rows.repartition("node").sortWithinPartitions("node", "at")
 
+def by_slab(m: DataFrame, node: str | None, slab: str, *within: str) -> DataFrame:
+    """Cells in runs as they stand in a file: a task has whole slabs of a node."""
+    keys = [node, slab] if node else [slab]
+    return m.repartition(*keys).sortWithinPartitions(*keys, *within)
 
-def _written_cells(base: str, name: str, heads: dict, nc: int, order: str):
-    """Writes each node's sorted cells. name has {kind} and {node}; heads: by kind the header's bytes and its columns' places."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, files, upto = None, {}, 0
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with at, their place in their node (from 0, by order), and n, the node's rows.
 
-        def put(at, values, end):
-            nonlocal upto
-            for part in _dense(at, values, upto, end):
-                for kind, (_, columns) in heads.items():
-                    files[kind].write(np.ascontiguousarray(part[:, columns]).astype(f"{order}f4").tobytes())
-            upto = end
+    Ranges of order are numbered by tasks of their own, so a node may have any number of rows.
+    """
+    from lumengrid.session import materialise
 
-        def close():
-            put(np.zeros(0, np.int64), np.zeros((0, 32)), nc**3)
-            return [f.done() for f in files.values()]
+    # range numbers of a node's rows, then rows before each range: nobody holds a node's rows in one task
+    placed = rows.repartitionByRange("node", order).sortWithinPartitions("node", order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialise(placed, "numbered")
+    parts = placed.groupBy("node", "_part").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))  # a row for each range and node
+    before = Window.partitionBy("node").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn("n", F.sum("_rows").over(Window.partitionBy("node")))
+    out = placed.join(F.broadcast(parts.drop("_rows")), ["node", "_part"])
+    return out.withColumn("at", F.col("_before") + F.col("_id") - F.col("_first")).drop("_part", "_id", "_first", "_before")
 
-        for batch in batches:
-            nodes, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            values = np.stack([batch.column(k).to_numpy() for k in range(2, batch.num_columns)], axis=1)
-            cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]])) if len(nodes) else []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if nodes[a] != now:
-                    if now is not None:
-                        yield from close()
-                    now, upto = nodes[a], 0
-                    files = {kind: _File(base + name.format(kind=kind, node=now)) for kind in heads}
-                    for kind, (head, _) in heads.items():
-                        files[kind].write(head)
-                put(at[a:z], values[a:z], int(at[z - 1]) + 1)
-        if now is not None:
-            yield from close()
-
-    return run
 
+def ranges_of(rows: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """Numbered rows dealt by node and range of places."""
+    return rows.withColumn("_r", F.floor(F.col("at") / per_task)).repartition("node", "_r").sortWithinPartitions("node", "at").drop("_r")
 
-def write_grids(m: DataFrame, base: str, nc: int, order: str = "<") -> DataFrame:
-    """Writes `<base>{n,h,c,vel}<node>.dat` of a normalised mesh (node, ix, iy, iz, n, halo, c, vx, vy, vz); missing cells are 0.
 
-    Returns path and bytes of each file. Each task writes whole nodes, cell by cell.
-    """
-    columns, head = [c for own in PLANES.values() for c in own], np.array([nc], f"{order}i4").tobytes()
-    heads = {kind: (head, [columns.index(c) for c in own]) for kind, own in PLANES.items()}
-    return _cells(m, F.col("node"), nc, columns).mapInArrow(_written_cells(base, "{kind}{node}.dat", heads, nc, order), WRITTEN)
+def write_grids(m: DataFrame, base: str, nc: int, order: str = "<", settings: dict | None = None, manifest: str | None = None) -> list[Written]:
+    """Writes `<base>{n,h,c,vel}<node>.dat` of a normalised mesh (node, ix, iy, iz, n, halo, c, vx, vy, vz); missing cells are 0."""
+    rows = m.select("node", "ix", "iy", "iz", "n", "halo", "c", "vx", "vy", "vz")
+    return save(by_slab(rows, "node", "iz", "iy", "ix"), binary.GridSource, base, settings, manifest, nc=nc, order=order)
 
 
-def write_combined(m: DataFrame, base: str, nc: int, boxsize: float, order: str = "<") -> DataFrame:
+def write_combined(m: DataFrame, base: str, nc: int, boxsize: float, order: str = "<") -> list[Written]:
     """Writes `<base><node>.dat` of a mesh that is not normalised: nc, 6, the box's size, then planes n, halo and c and the momenta by cell."""
-    columns = ["n", "halo", "c", "vx", "vy", "vz"]
-    head = np.array([nc, 6], f"{order}i4").tobytes() + np.array([boxsize], f"{order}f4").tobytes()
-    # planes stand one after the other: a plane's cells are those of a higher node
-    plane = lambda k, own: m.select("node", F.lit(k).alias("k"), "ix", "iy", "iz", *own)
-    flat = None
-    for k, c in enumerate(columns[:3]):
-        one = plane(k, [F.col(c).cast("double").alias("v")]).withColumn("at", ((F.col("iz").cast("bigint") * nc + F.col("iy")) * nc + F.col("ix")) + k * nc**3)
-        flat = one if flat is None else flat.unionByName(one)
-    for i, c in enumerate(columns[3:]):
-        flat = flat.unionByName(plane(3, [F.col(c).cast("double").alias("v")]).withColumn("at", F.lit(3 * nc**3) + 3 * ((F.col("iz").cast("bigint") * nc + F.col("iy")) * nc + F.col("ix")) + i))
-    rows = flat.select("node", "at", "v").repartition("node").sortWithinPartitions("node", "at")
-
-    def run(batches):
-        yield from _flat(base, head, 6 * nc**3, order, batches)
-
-    return rows.mapInArrow(run, WRITTEN)
-
-
-def _flat(base: str, head: bytes, size: int, order: str, batches) -> Iterator[pa.RecordBatch]:
-    now, file, upto = None, None, 0
-
-    def put(at, values, end):
-        nonlocal upto
-        for part in _dense(at, values, upto, end):
-            file.write(part.astype(f"{order}f4").tobytes())
-        upto = end
-
-    none = np.zeros(0, np.int64), np.zeros((0, 1))
-    for batch in batches:
-        nodes, at, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()[:, None]
-        cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]])) if len(nodes) else []
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if nodes[a] != now:
-                if now is not None:
-                    put(*none, size)
-                    yield file.done()
-                now, upto, file = nodes[a], 0, _File(f"{base}{nodes[a]}.dat")
-                file.write(head)
-            put(at[a:z], v[a:z], int(at[z - 1]) + 1)
-    if now is not None:
-        put(*none, size)
-        yield file.done()
+    rows = m.select("node", "ix", "iy", "iz", "n", "halo", "c", "vx", "vy", "vz")
+    return save(by_slab(rows, "node", "iz", "iy", "ix"), binary.GridSource, base, nc=nc, order=order, layout="combined", boxsize=boxsize)
 
 
 def write_global(m: DataFrame, path: str, nc: int, columns: list[str], order: str = "<") -> int:
     """Writes one file of a global grid (gx, gy, gz): three words nc, then the columns of each cell, x fastest; missing cells are 0. Returns its bytes.
 
-    Slabs of z are sorted and written by tasks side by side; then they are joined, a piece at a time.
+    Tasks write slabs of z side by side into the one file.
     """
-    store, root = opened(path)
-    folder = f"{path}.{uuid.uuid4().hex}"
-    rows = m.select(F.col("gz").cast("int").alias("slab"), (F.col("gy").cast("bigint") * nc + F.col("gx")).alias("at"), *(F.col(c).cast("double").alias(c) for c in columns))
-    rows = rows.repartition("slab").sortWithinPartitions("slab", "at")
-
-    def run(batches):
-        now, file, upto = None, None, 0
+    rows = m.select("gx", "gy", "gz", *columns)
+    return save(by_slab(rows, None, "gz", "gy", "gx"), binary.GridSource, path, nc=nc, order=order, layout="global", columns=",".join(columns))[0].bytes
 
-        def put(at, values, end):
-            nonlocal upto
-            for part in _dense(at, values, upto, end):
-                file.write(part.astype(f"{order}f4").tobytes())
-            upto = end
 
-        for batch in batches:
-            slab, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            values = np.stack([batch.column(k).to_numpy() for k in range(2, batch.num_columns)], axis=1)
-            cuts = np.flatnonzero(np.concatenate([[True], slab[1:] != slab[:-1], [True]])) if len(slab) else []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if slab[a] != now:
-                    if now is not None:
-                        put(np.zeros(0, np.int64), np.zeros((0, len(columns))), nc * nc)
-                        yield file.done()
-                    now, upto, file = slab[a], 0, _File(f"{folder}/{slab[a]}")
-                put(at[a:z], values[a:z], int(at[z - 1]) + 1)
-        if now is not None:
-            put(np.zeros(0, np.int64), np.zeros((0, len(columns))), nc * nc)
-            yield file.done()
-
-    found = {int(x.path.rpartition("/")[2]): x.path for x in rows.mapInArrow(run, WRITTEN).collect()}  # nc rows
-    whole = _File(path)
-    whole.write(np.array([nc] * 3, f"{order}i4").tobytes())
-    for slab in range(nc):
-        if slab not in found:
-            for _ in range(len(columns)):
-                whole.write(bytes(4 * nc * nc))
-            continue
-        with store.open_input_file(found[slab]) as f:
-            while piece := f.read(FILL):
-                whole.write(piece)
-    whole.done()
-    if found:
-        store.delete_dir(next(iter(found.values())).rpartition("/")[0])
-    return whole.size
-
-
-def write_catalogue(groups: DataFrame, base: str, order: str = "<") -> DataFrame:
+def write_catalogue(groups: DataFrame, base: str, order: str = "<") -> list[Written]:
     """Writes `<base><node>.dat` of each node's groups: count, record size, records (mean position and velocity, size), count."""
-    kind = np.dtype([("m", f"{order}f4", 6), ("n", f"{order}i4")])
-    rows = groups.join(groups.groupBy("node").agg(F.count("*").alias("n")), "node").select("node", "n", "x", "y", "z", "vx", "vy", "vz", F.col("nfof").cast("int"), "igrp")
-    rows = rows.repartition("node").sortWithinPartitions("node", "igrp")
-
-    def run(batches):
-        now, file, tail = None, None, b""
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]])) if len(nodes) else []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if nodes[a] != now:
-                    if now is not None:
-                        file.write(tail)
-                        yield file.done()
-                    now, file = nodes[a], _File(f"{base}{nodes[a]}.dat")
-                    tail = np.array([batch.column(1)[int(a)].as_py()], f"{order}i4").tobytes()
-                    file.write(tail + np.array([kind.itemsize], f"{order}i4").tobytes())
-                rec = np.zeros(z - a, kind)
-                for i in range(6):
-                    rec["m"][:, i] = batch.column(2 + i).to_numpy()[a:z]
-                rec["n"] = batch.column(8).to_numpy()[a:z]
-                file.write(rec.tobytes())
-        if now is not None:
-            file.write(tail)
-            yield file.done()
-
-    return rows.mapInArrow(run, WRITTEN)
+    rows = numbered(groups.select("node", "igrp", "x", "y", "z", "vx", "vy", "vz", "nfof"), "igrp").drop("igrp")
+    return save(ranges_of(rows), binary.CatalogueSource, base, order=order)
 
 
 def read_catalogue(spark, base: str, order: str = "<") -> DataFrame:
     """node, x, y, z, vx, vy, vz and nfof of the group catalogues `<base><node>.dat`. Raises if the counts at both ends differ."""
-    from lumengrid.sources.binary import grid_files
+    return binary.load(spark, binary.CatalogueSource, base=base, order=order)
 
-    kind = np.dtype([("m", f"{order}f4", 6), ("n", f"{order}i4")])
-    paths = spark.createDataFrame(sorted(grid_files(base, "").items()), "node int, path string")
-    store = base
 
-    def run(batches):
-        own = opened(store)[0]
-        for batch in batches:
-            for node, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with own.open_input_file(path) as f:
-                    n, size = np.frombuffer(f.read(8), f"{order}i4").tolist()
-                    if size != kind.itemsize:
-                        raise ValueError(f"{path}: records of {size} bytes")
-                    left = n
-                    while left:
-                        some = min(left, FILL)
-                        rec = np.frombuffer(f.read(some * size), kind)
-                        left -= some
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(some, node, np.int32)), *(pa.array(rec["m"][:, i].astype(np.float64)) for i in range(6)), pa.array(rec["n"].astype(np.int32))], ["node", "x", "y", "z", "vx", "vy", "vz", "nfof"])
-                    if np.frombuffer(f.read(4), f"{order}i4").tolist() != [n]:
-                        raise ValueError(f"{path}: the counts at both ends differ")
-
-    return paths.mapInArrow(run, "node int, x double, y double, z double, vx double, vy double, vz double, nfof int")
-
-
-def write_xv(points: DataFrame, base: str, redshift: str, order: str = "<") -> DataFrame:
+def write_xv(points: DataFrame, base: str, redshift: str, order: str = "<") -> list[Written]:
     """Writes `<base><node>/<redshift>xv<node>.dat` of points (node, pid, x, y, z, vx, vy, vz) in the order of pid."""
-    rows = points.join(F.broadcast(points.groupBy("node").agg(F.count("*").alias("n"))), "node").select("node", "n", "pid", "x", "y", "z", "vx", "vy", "vz")
-    rows = rows.repartition("node").sortWithinPartitions("node", "pid")
+    rows = numbered(points.select("node", "pid", "x", "y", "z", "vx", "vy", "vz"), "pid").drop("pid")
+    return save(ranges_of(rows), binary.XvSource, base, order=order, redshift=redshift)
 
-    def run(batches):
-        now, file = None, None
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]])) if len(nodes) else []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if nodes[a] != now:
-                    if now is not None:
-                        yield file.done()
-                    now, file = nodes[a], _File(f"{base}{nodes[a]}/{redshift}xv{nodes[a]}.dat")
-                    file.write(np.array([batch.column(1)[int(a)].as_py()], f"{order}i4").tobytes() + bytes(44))
-                file.write(np.stack([batch.column(3 + i).to_numpy()[a:z] for i in range(6)], axis=1).astype(f"{order}f4").tobytes())
-        if now is not None:
-            yield file.done()
 
-    return rows.mapInArrow(run, WRITTEN)
+def write_halos(halos: DataFrame, base: str, redshift: str, layout: int = 22, pids: bool = False, order: str = "<") -> list[Written]:
+    """Writes `<base><node>/<redshift>halo<node>.dat` of halos (node, hid, x, y, z, r, mass): the columns that are read, zeros elsewhere."""
+    rows = numbered(halos.select("node", "hid", "x", "y", "z", "mass", "r"), "hid").drop("hid")
+    return save(ranges_of(rows), binary.HaloSource, base, order=order, redshift=redshift, layout=layout, pids=pids)
 
 
-def write_zip(points: DataFrame, base: str, redshift: str, nc_node_dim: int, mesh_scale: float, velocity_scale: float, order: str = "<") -> DataFrame:
+def write_histogram(hist: DataFrame, total: DataFrame, path: str, low: float, high: float, bins: int, order: str = "<") -> int:
+    """Writes one histogram (bin, n, total) of total's rows: bounds, bins, all rows, sum of values, counts."""
+    sums = hist.agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total")).crossJoin(total.agg(F.count("*").alias("ntot"))).first()
+    every = total.sparkSession.range(bins).select(F.col("id").alias("at")).join(hist.select(F.col("bin").cast("bigint").alias("at"), "n"), "at", "left").select("at", F.coalesce("n", F.lit(0)).alias("n"))
+    return save(every.repartitionByRange("at").sortWithinPartitions("at"), binary.HistogramSource, path, order=order, low=low, high=high, bins=bins, ntot=sums.ntot, total=sums.total)[0].bytes
+
+
+def read_histogram(spark, path: str, order: str = "<") -> DataFrame:
+    """bin, low, high (bounds of the bin), n, ntot and total (of the whole histogram) of a histogram file."""
+    return binary.load(spark, binary.HistogramSource, base=path, order=order)
+
+
+def write_zip(points: DataFrame, base: str, redshift: str, nc_node_dim: int, mesh_scale: float, velocity_scale: float, order: str = "<") -> list[Written]:
     """Writes the four files of zipped snapshots of points (node, x, y, z, vx, vy, vz) that lie in their node's box.
 
     Positions are kept to 1/256 of a coarse cell, velocities to 1 / velocity_scale. Rows stand in the order of cells.
@@ -295,7 +162,7 @@ def write_zip(points: DataFrame, base: str, redshift: str, nc_node_dim: int, mes
     rows = rows.join(F.broadcast(rows.groupBy("node").agg(F.count("*").alias("n"))), "node").select("node", "n", "cell", "ux", "uy", "uz", "ix", "iy", "iz")
     rows = rows.repartition("node").sortWithinPartitions("node", "cell", "ux", "uy", "uz", "ix", "iy", "iz")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, files, counts = None, [], np.zeros(0, np.int64)
 
         def close():
@@ -324,57 +191,7 @@ def write_zip(points: DataFrame, base: str, redshift: str, nc_node_dim: int, mes
         if now is not None:
             yield from close()
 
-    return rows.mapInArrow(run, WRITTEN)
-
-
-def write_halos(halos: DataFrame, base: str, redshift: str, layout: int = 22, pids: bool = False, order: str = "<") -> DataFrame:
-    """Writes `<base><node>/<redshift>halo<node>.dat` of halos (node, hid, x, y, z, r, mass): the columns that are read, zeros elsewhere."""
-    places = (3, 5) if layout == 22 else (15, 13)
-    rows = halos.select("node", "hid", "x", "y", "z", "mass", "r").repartition("node").sortWithinPartitions("node", "hid")
-
-    def run(batches):
-        now, file = None, None
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]])) if len(nodes) else []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if nodes[a] != now:
-                    if now is not None:
-                        yield file.done()
-                    now, file = nodes[a], _File(f"{base}{nodes[a]}/{redshift}halo{nodes[a]}.dat")
-                    file.write(bytes(12 if layout == 22 else 4))
-                rec = np.zeros((z - a, layout), f"{order}f4")
-                for k, i in zip((0, 1, 2, *places), range(2, 7), strict=True):
-                    rec[:, k] = batch.column(i).to_numpy()[a:z]
-                for x in rec:
-                    file.write(x.tobytes() + bytes(1600 if pids else 0))
-        if now is not None:
-            yield file.done()
-
-    return rows.mapInArrow(run, WRITTEN)
-
-
-def write_histogram(hist: DataFrame, total: DataFrame, path: str, low: float, high: float, bins: int, order: str = "<") -> int:
-    """Writes one histogram (bin, n, total; at most bins rows) of total's rows: bounds, bins, all rows, sum of values, counts."""
-    n, found = np.zeros(bins, f"{order}i4"), hist.collect()  # bins rows
-    for x in found:
-        n[x.bin] = x.n
-    file = _File(path)
-    file.write(np.array([low, high], f"{order}f4").tobytes() + np.array([bins], f"{order}i4").tobytes())
-    file.write(np.array([total.count()], f"{order}i8").tobytes() + np.array([sum(x.total for x in found)], f"{order}f4").tobytes() + n.tobytes())
-    file.done()
-    return file.size
-
-
-def read_histogram(spark, path: str, order: str = "<") -> DataFrame:
-    """bin, low, high (bounds of the bin), n, ntot and total (of the whole histogram) of a histogram file."""
-    store, root = opened(path)
-    with store.open_input_file(root) as f:
-        content = f.read()  # 24 bytes and 4 for each bin
-    low, high = np.frombuffer(content, f"{order}f4", 2).tolist()
-    bins, ntot, total = int(np.frombuffer(content, f"{order}i4", 1, 8)[0]), int(np.frombuffer(content, f"{order}i8", 1, 12)[0]), float(np.frombuffer(content, f"{order}f4", 1, 20)[0])
-    n, width = np.frombuffer(content, f"{order}i4", bins, 24).tolist(), (high - low) / bins
-    return spark.createDataFrame([(i, low + i * width, low + (i + 1) * width, n[i], ntot, total) for i in range(bins)], "bin int, low double, high double, n bigint, ntot bigint, total double")
+    return [Written(r.path, r.bytes) for r in rows.mapInArrow(run, WRITTEN).collect()]  # four rows for each node
 
 
 def write_fields(mesh: DataFrame, path: str) -> None:
@@ -385,10 +202,3 @@ def write_fields(mesh: DataFrame, path: str) -> None:
 def write_ascii(points: DataFrame, path: str) -> None:
     """Six numbers a line."""
     points.select(F.format_string("%e %e %e %e %e %e", "x", "y", "z", "vx", "vy", "vz").alias("value")).write.mode("overwrite").text(path)
-
-
-def missing(base: str, kinds: dict[str, int]) -> list[str]:
-    """Files `<base><kind>.dat` that are not there with just so many bytes; the others need not be made again."""
-    store, root = opened(base)
-    info = {kind: store.get_file_info(f"{root}{kind}.dat") for kind in kinds}
-    return [k for k, x in info.items() if x.type != fs.FileType.File or x.size != kinds[k]]

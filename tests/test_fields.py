@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from lumengrid.operators import celltree, domain, groups, mesh, spatial
 from lumengrid.operators.components import components
 from lumengrid.plans import fields, formats, registry
 from lumengrid.plans.views import DELTA, halos_e, particles_e
-from lumengrid.sources import binary, writers
+from lumengrid.sources import binary, ranges, writers
 from lumengrid.sources.binary import Range
 from lumengrid.streaming.snapshots import field_stream
 
@@ -278,19 +279,67 @@ def test_grid_files_and_catalogue(spark, tmp_path):
     m = spark.createDataFrame(cells, "node int, ix int, iy int, iz int, n double, halo double")
     m = m.withColumns({c: F.lit(0.5) for c in ("c", "vx", "vy", "vz")})
     base = f"file://{tmp_path}/so/nc2/0.000"
-    assert sorted(r.bytes for r in writers.write_grids(m, base, 2).collect()) == [36, 36, 36, 100]
+    assert sorted(r.bytes for r in writers.write_grids(m, base, 2)) == [36, 36, 36, 100]
     assert rows(binary.read_grid(spark, base, "n")) == sorted([c[:5] for c in cells] + [(3, 1, 1, 1, 0.0)])  # a cell that is missing is 0
-    assert writers.missing(base, {"n3": 36, "h3": 35, "n4": 36}) == ["h3", "n4"]
     with open(tmp_path / "so/nc2/0.000n3.dat", "ab") as f:
         f.write(b"more")
     with pytest.raises(Exception, match="bytes"):
         binary.read_grid(spark, base, "n").count()
     g = spark.createDataFrame([(0, 2, 9.0, 2.0, 3.0, 4.0, 5.0, 6.0, 21), (0, 1, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 20)], "node int, igrp int, x double, y double, z double, vx double, vy double, vz double, nfof int")
-    writers.write_catalogue(g, f"file://{tmp_path}/fof").collect()
+    writers.write_catalogue(g, f"file://{tmp_path}/fof")
     c = open(f"{tmp_path}/fof0.dat", "rb").read()
     assert np.frombuffer(c[:8], "<i4").tolist() == [2, 28] and np.frombuffer(c[8:32], "<f4").tolist() == [1, 2, 3, 4, 5, 6] and np.frombuffer(c[32:36], "<i4").tolist() == [20] and np.frombuffer(c[-8:], "<i4").tolist() == [21, 2]
 
 
+def grid_cells(spark, nc=6, nodes=2):
+    cells = [(n, i % nc, i // nc % nc, i // nc**2, float(i + 1), float(n)) for n in range(nodes) for i in range(nc**3)]
+    m = spark.createDataFrame(cells, "node int, ix int, iy int, iz int, n double, halo double")
+    return m.withColumns({c: F.col("n") * k for k, c in enumerate(("c", "vx", "vy", "vz"))}).repartition(7)
+
+
+def test_tasks_write_one_file_side_by_side(spark, tmp_path):
+    """Cells in any order, by many tasks, into one file; nothing but it and its manifest stays."""
+    m = grid_cells(spark).withColumnsRenamed({f"i{a}": f"g{a}" for a in "xyz"}).where("node = 0")
+    spark.dataSource.register(binary.GridSource)
+    base = f"file://{tmp_path}/all.dat"
+    m.select("gx", "gy", "gz", "n", "c").write.format("grid_file").mode("append").options(base=base, nc=6, layout="global", columns="n,c", manifest=f"{base}.manifest", order=">").save()
+    got = binary.read_grid(spark, base, "", 2, ">", 3).select("ix", "iy", "iz", "v0", "v1")
+    assert rows(got) == rows(m.select("gx", "gy", "gz", "n", "c"))
+    assert sorted(os.listdir(tmp_path)) == ["all.dat", "all.dat.manifest"] and os.path.getsize(tmp_path / "all.dat") == 12 + 8 * 216
+    assert ranges.stale(f"{base}.manifest", {}, content=True) == []
+
+
+def test_failed_tasks_leave_nothing(spark, tmp_path):
+    """A job whose task fails removes what its other tasks wrote, and keeps the file that was there."""
+    base = f"file://{tmp_path}/0.000"
+    writers.write_grids(grid_cells(spark), base, 6)
+    before = {n: (tmp_path / n).read_bytes() for n in os.listdir(tmp_path)}
+    wrong = grid_cells(spark).withColumn("n", F.when((F.col("node") == 1) & (F.col("iz") == 5), F.raise_error(F.lit("lost")).cast("double")).otherwise(0.0))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_grids(wrong, base, 6)
+    assert {n: (tmp_path / n).read_bytes() for n in os.listdir(tmp_path)} == before and len(before) == 8
+
+
+def test_stores_that_write_whole_files_only(spark, tmp_path, monkeypatch):
+    """Pieces of a file are put together at the commit, holes included."""
+    options = {"base": f"file://{tmp_path}/g", "nc": "6", "order": "<", "manifest": f"file://{tmp_path}/m"}
+    monkeypatch.setattr(ranges, "written_in_place", lambda store: False)
+    writer = binary.GridSource(options).writer(None, False)
+    parts = [pa.RecordBatch.from_pandas(x.toPandas()) for x in (grid_cells(spark).where("iz < 2"), grid_cells(spark).where("iz >= 4 AND node = 1"))]
+    writer.commit([writer.write(iter([p])) for p in parts] + [None])
+    got = binary.read_grid(spark, options["base"], "n").where("v0 <> 0").select("node", "ix", "iy", "iz", "v0")
+    assert rows(got) == rows(grid_cells(spark).where("iz < 2 OR (iz >= 4 AND node = 1)").select("node", "ix", "iy", "iz", "n"))
+    assert len(os.listdir(tmp_path)) == 9 and ranges.stale(options["manifest"], {}, content=True) == []
+
+
+def test_numbering_of_nodes_over_ranges(spark):
+    p = spark.createDataFrame([(i % 3 if i % 5 else 0, 1000 - i) for i in range(600)], "node int, pid long").repartition(5)
+    got = writers.numbered(p, "pid").collect()
+    for node in range(3):
+        own = sorted((r.pid, r.at, r.n) for r in got if r.node == node)
+        assert [r[1] for r in own] == list(range(len(own))) and {r[2] for r in own} == {len(own)}
+
+
 def test_large_sparse_files_open(spark, tmp_path):
     """A file of more than 2 GB, nearly all of it a hole: its rows are read by ranges."""
     n = 100_000_000

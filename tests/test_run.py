@@ -1,6 +1,7 @@
 """The run program from node files to grids and global files."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from lumengrid.config import parse
 from lumengrid.operators import domain, mesh
 from lumengrid.plans import fields, run
 from lumengrid.plans.views import DELTA, halos_e, particles_e
-from lumengrid.sources import binary, writers
+from lumengrid.sources import binary, ranges, writers
 
 Z, EDGE, NODES, BUFFER, NC = "0.000", 32.0, 2, 0.2, 4
 
@@ -23,8 +24,8 @@ def files(spark, sf, tmp_path_factory):
     local, halos = domain.to_nodes(p, EDGE, NODES), domain.to_nodes(halos_e(p).where("hid % 150 <> 0"), EDGE, NODES)
     for kind in ("xv", "zip"):
         base = f"file://{folder}/{kind}/node"
-        writers.write_halos(halos, base, Z).collect()
-        writers.write_xv(local, base, Z).collect() if kind == "xv" else writers.write_zip(local, base, Z, 16, 2.0, 512.0).collect()
+        writers.write_halos(halos, base, Z)
+        writers.write_xv(local, base, Z) if kind == "xv" else writers.write_zip(local, base, Z, 16, 2.0, 512.0)
     (folder / "redshifts.txt").write_text(f"{Z}\n")
     return folder
 
@@ -49,7 +50,7 @@ def test_run_writes_the_grids_of_the_node_fields(spark, sf, files):
         assert len(got) == NODES**3 * NC**3
         assert all(math.isclose(v, want[at][column] if at in want else 0.0, rel_tol=1e-5, abs_tol=1e-5) for at, v in got.items())
     table = report.table(spark).collect()
-    assert {r.phase for r in table} == {"io", "so_halo", "neighbors", f"so nc{NC}"} and math.isclose(sum(r.part for r in table), 1.0)
+    assert {r.phase for r in table} == {"io", "so_halo", "neighbors", "cropped", f"so nc{NC}"} and math.isclose(sum(r.part for r in table), 1.0)
     # what is there is not made again
     assert run.run(spark, c)[0] == []
     totals = run.merge(spark, base, f"file://{files}/global/{Z}", NC, NODES)
@@ -67,6 +68,28 @@ def test_run_of_zipped_files_and_groups(spark, sf, files):
     assert grid.agg(F.sum("v0")).first()[0] > 0
 
 
+def test_other_settings_make_grids_anew(spark, files, tmp_path):
+    """Files of the right sizes don't count if they were made with another shift or density, or aren't what was committed."""
+    out = f"file://{tmp_path}/out"
+    c = options(files, "xv", "-no_halos", "-out", out)
+    c = c.__class__(**{**c.__dict__, "fof": True, "out_dir": out, "shift_dir": f"file://{tmp_path}"})
+    grids = lambda c: len([x for x in run.run(spark, c)[0] if "/nc" in x])
+    assert grids(c) == 4 * NODES**3 and grids(c) == 0
+    manifest = f"{out}/fof/nc{NC}/{Z}.manifest"
+    settings = ranges.committed(manifest)["settings"]
+    assert ranges.stale(manifest, settings, content=True) == [] and ranges.stale(manifest, settings | {"omega_m": 1.0}) is None
+    assert grids(c.__class__(**{**c.__dict__, "omega_m": 0.4})) == 4 * NODES**3
+    (tmp_path / f"{Z}shift.txt").write_text(f"{Z} 0.5 0 0\n")
+    assert grids(c) == 4 * NODES**3 and grids(c) == 0
+    settings, path = ranges.committed(manifest)["settings"], f"{tmp_path}/out/fof/nc{NC}/{Z}n3.dat"
+    with open(path, "r+b") as f:
+        f.seek(40)
+        f.write(b"spam")
+    assert ranges.stale(manifest, settings) == [] and ranges.stale(manifest, settings, content=True) == ["n3.dat"]
+    os.truncate(path, 40)
+    assert ranges.stale(manifest, settings) == ["n3.dat"] and grids(c) == 4 * NODES**3
+
+
 def test_wrong_mass_stops_the_run(spark, files):
     with pytest.raises(run.MassError, match="in halos of mass"):
         run.run(spark, options(files, "xv", "-replace"))
@@ -75,8 +98,8 @@ def test_wrong_mass_stops_the_run(spark, files):
 def test_halos_of_wrong_density_stop_the_run(spark, sf, files, tmp_path):
     p = particles_e(spark, sf)
     base = f"file://{tmp_path}/node"
-    writers.write_xv(domain.to_nodes(p, EDGE, NODES), base, Z).collect()
-    writers.write_halos(domain.to_nodes(halos_e(p), EDGE, NODES), base, Z).collect()
+    writers.write_xv(domain.to_nodes(p, EDGE, NODES), base, Z)
+    writers.write_halos(domain.to_nodes(halos_e(p), EDGE, NODES), base, Z)
     c = options(files, "xv")
     with pytest.raises(Exception, match="overdensity"):
         run.run(spark, c.__class__(**{**c.__dict__, "node_dir": base}))
