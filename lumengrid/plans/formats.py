@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lumengrid.config import RunConfig
 from lumengrid.functions import kernels
 from lumengrid.operators import domain, groups, histogram, mesh
 from lumengrid.plans import registry as q
+from lumengrid.plans import run as program
 from lumengrid.plans.views import BOX, HE, PE, halos_e, particles_e
 from lumengrid.session import scratch
 from lumengrid.sources import binary, nodes, writers
@@ -181,3 +183,62 @@ def format_halo_all(spark, sf_dir) -> DataFrame:
     base = f"{_folder(spark)}/node"
     writers.write_halos(domain.to_nodes(halos_e(particles_e(spark, sf_dir)), q.EDGE, q.NODES), base, Z, 17)
     return nodes.all_halos(spark, base, Z, q.EDGE, q.NODES, q._NODE_BF, q.DELTA).select("node", "x", "y", "z", "is_ghost", "ok")
+
+
+# the run program: node files in, grids and catalogues out, read back
+
+
+def _config(spark: SparkSession, sf_dir: str, **own) -> RunConfig:
+    """Node files of the particles and of the halos with the right density, a list of one redshift, and a run over them."""
+    folder, p = _folder(spark), particles_e(spark, sf_dir)
+    writers.write_xv(_local(spark, sf_dir), f"{folder}/node", Z)
+    writers.write_halos(domain.to_nodes(halos_e(p).where("hid % 150 <> 0"), q.EDGE, q.NODES), f"{folder}/node", Z)
+    store, path = binary.opened(f"{folder}/redshifts.txt")
+    with store.open_output_stream(path) as f:
+        f.write(f"{Z}\n".encode())
+    # rows are not as many as the catalogue's mass asks for
+    return RunConfig(boxsize=q.EDGE, nodes_per_axis=q.NODES, buffer_factor=q._NODE_BF, nc=(q._NODE_NC,), omega_m=q.OMEGA, redshifts=f"{folder}/redshifts.txt", node_dir=f"{folder}/node", shift_dir=folder, out_dir=f"{folder}/out", halo_tolerance=100.0, **own)
+
+
+_VALID_NODE_MESH = f"{q._NODE_MESH}, {q._NODE_NORM}".replace("pid % 50 = 0", "pid % 50 = 0 AND pid % 150 <> 0")
+_AS_FILES = "ff AS (SELECT (node % 2 * 8 + ix)::INT AS ix, (node // 2 % 2 * 8 + iy)::INT AS iy, (node // 4 % 2 * 8 + iz)::INT AS iz, n::FLOAT::DOUBLE AS n, halo::FLOAT::DOUBLE AS halo, vy::FLOAT::DOUBLE AS vy FROM nm)"
+
+
+@query(f"{_VALID_NODE_MESH}, {_AS_FILES} SELECT i::INT AS ix, j::INT AS iy, k::INT AS iz, round(coalesce(n, 0)::FLOAT::DOUBLE, 4) + 0e0 AS n, round(coalesce(n + halo, 0)::FLOAT::DOUBLE, 4) + 0e0 AS ntot, round(coalesce(vy * n / 8e0, 0)::FLOAT::DOUBLE, 3) + 0e0 AS py FROM range(16) a(i), range(16) b(j), range(16) c(k) LEFT JOIN ff ON (ff.ix, ff.iy, ff.iz) = (i, j, k)")
+def run_fields(spark, sf_dir) -> DataFrame:
+    c = _config(spark, sf_dir)
+    program.run(spark, c)
+    base, out = f"{c.out_dir}/so/nc{q._NODE_NC}/{Z}", f"{c.out_dir}/global/{Z}"
+    program.merge(spark, base, out, q._NODE_NC, q.NODES)
+    n, ntot = (binary.read_grid(spark, f"{out}{k}_all.dat", "", words=3, rows=1000) for k in ("n", "ntot"))
+    v = binary.read_grid(spark, f"{out}v_all.dat", "", 3, words=3, rows=1000)
+    cell, r = ["ix", "iy", "iz"], lambda c, d, name: (F.round(c, d) + F.lit(0.0)).alias(name)
+    both = n.withColumnRenamed("v0", "n").join(ntot.withColumnRenamed("v0", "t"), cell).join(v, cell)
+    return both.select(*cell, r("n", 4, "n"), r("t", 4, "ntot"), r("v1", 3, "py"))
+
+
+_NODE_FOF = f"""WITH RECURSIVE {PE}, {q._exchanged_sql('pe', 'pid, vx, vy, vz', 'np')},
+ed AS (SELECT a.node, a.pid AS a, b.pid AS b FROM np a JOIN np b USING (node) WHERE a.pid <> b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {q.LINK * q.LINK!r}::DOUBLE),
+rc AS (SELECT node, pid, pid AS other FROM np UNION SELECT rc.node, rc.pid, ed.b FROM rc JOIN ed ON ed.node = rc.node AND ed.a = rc.other),
+fg AS (SELECT node, pid, min(other) AS root FROM rc GROUP BY ALL),
+ct AS (SELECT node, {', '.join(f'avg({c}) AS {c}' for c in ('x', 'y', 'z', 'vx', 'vy', 'vz'))}, count(*)::INT AS nfof FROM np JOIN fg USING (node, pid) GROUP BY node, root HAVING count(*) >= 20)"""
+
+
+@query(f"{_NODE_FOF} SELECT node, " + ", ".join(f"round({c}::FLOAT::DOUBLE, 3) + 0e0 AS {c}" for c in ("x", "y", "z", "vx", "vy", "vz")) + f", nfof FROM ct WHERE {' AND '.join(f'{a} > 0 AND {a} < {q.EDGE!r}::DOUBLE' for a in 'xyz')}")
+def run_groups(spark, sf_dir) -> DataFrame:
+    c = _config(spark, sf_dir, fof=True, halos=False, linking_length=q.LINK / 2)
+    program.run(spark, c)
+    return writers.read_catalogue(spark, f"{c.out_dir}/fof/{Z}fof").select("node", *((F.round(x, 3) + F.lit(0.0)).alias(x) for x in ("x", "y", "z", "vx", "vy", "vz")), "nfof")
+
+
+_CROP_BF = 0.1
+_INSIDE = " AND ".join(f"{a} > {-_CROP_BF * q.EDGE!r}::DOUBLE AND {a} < {q.EDGE + _CROP_BF * q.EDGE!r}::DOUBLE" for a in "xyz")
+
+
+@query(f"WITH {PE}, {q._NODES.format(p='pe')}, {q._ghost_sql(q._BF_E)}, a AS (SELECT x, y, z, false AS is_ghost FROM nd UNION ALL SELECT x, y, z, true FROM gh) SELECT count(*) FILTER (WHERE {_INSIDE}) AS kept, count(*) FILTER (WHERE NOT ({_INSIDE})) AS removed, count(*) FILTER (WHERE NOT ({_INSIDE}) AND NOT is_ghost) AS removed_local FROM a")
+def crop_counts(spark, sf_dir) -> DataFrame:
+    seen = Observation()
+    rows = domain.exchange(domain.to_nodes(particles_e(spark, sf_dir), q.EDGE, q.NODES), q.EDGE, q._BF_E, q.NODES)
+    domain.crop_counted(rows, q.EDGE, _CROP_BF, seen).write.format("noop").mode("overwrite").save()
+    counts = seen.get  # three numbers of the job that read the rows
+    return spark.createDataFrame([(counts["kept"], counts["removed"], counts["removed_local"])], "kept bigint, removed bigint, removed_local bigint")

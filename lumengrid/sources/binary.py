@@ -6,16 +6,19 @@ may be of any size. Files are opened through pyarrow's file systems, on any that
 
 from __future__ import annotations
 
+import io
+import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lumengrid.sources.ranges import FileLayout, RangeWriter
 
@@ -75,16 +78,17 @@ def grid_files(base: str, kind: str) -> dict[int, str]:
 
 @dataclass
 class Range(InputPartition):
-    """Rows first to last (not included) of a node's file."""
+    """Rows first to last (not included) of a node's file; of zipped ones, also a block of cells, and rows and large counts before it."""
 
     node: int
     path: str
     first: int
     last: int
+    start: tuple[int, int, int] = (0, 0, 0)
 
-    def __init__(self, node: int, path: str, first: int, last: int):
+    def __init__(self, node: int, path: str, first: int, last: int, start: tuple[int, int, int] = (0, 0, 0)):
         super().__init__(None)
-        self.node, self.path, self.first, self.last = node, path, first, last
+        self.node, self.path, self.first, self.last, self.start = node, path, first, last, start
 
 
 def _columns(node: int, first: int, columns: dict[str, np.ndarray], key: str | None) -> pa.RecordBatch:
@@ -96,13 +100,39 @@ def _columns(node: int, first: int, columns: dict[str, np.ndarray], key: str | N
 
 
 class _Reader(DataSourceReader):
-    """Options: base, redshift, order (< or >), shift (x,y,z), range (rows of a task)."""
+    """Options: base, redshift, order (< or >), shift (x,y,z), range (rows of a task), where.
+
+    where (JSON) has bounds, both included: on the node they leave files out; on the number of a row, or the plane of a cell,
+    ranges of rows. A list of other than two nodes means these. Bounds are options and not filters that Spark pushes: Spark
+    4.1 keeps pushed filters with the table, so another scan of the same DataFrame would get them too.
+    """
+
+    #: The column that numbers rows: a node's own are after node << 40.
+    key: str | None = "pid"
+    #: The column that counts planes of cells, if rows are cells.
+    plane: str | None = None
 
     def __init__(self, options: dict):
         self.o = dict(options)
         self.order = self.o.get("order", "<")
         self.range = int(self.o.get("range", RANGE))
         self.shift = np.array([float(s) for s in self.o.get("shift", "0,0,0").split(",")])
+        held = json.loads(self.o.get("where") or "{}")
+        self.nodes = set(held.pop("node")) if len(held.get("node", (0, 0))) != 2 else None
+        self.bounds: dict[str, tuple[int, int]] = held
+        if unknown := set(held) - {"node", self.key, self.plane}:
+            raise ValueError(f"no bounds on {', '.join(sorted(unknown))}: they don't place rows in files")
+
+    def wanted(self, node: int, n: int) -> tuple[int, int]:
+        """The rows of a node's n that are within the bounds."""
+        first, last = 0, n
+        if self.key in self.bounds:
+            low, high = (x - (node << 40) for x in self.bounds[self.key])
+            first, last = max(first, low), min(last, high + 1)
+        if self.plane in self.bounds:
+            (low, high), nc = self.bounds[self.plane], round(n ** (1 / 3))
+            first, last = max(first, low * nc**2), min(last, (high + 1) * nc**2)
+        return first, last
 
     def store(self) -> fs.FileSystem:
         return opened(self.o["base"])[0]
@@ -118,18 +148,40 @@ class _Reader(DataSourceReader):
     def rows(self, store: fs.FileSystem, path: str, node: int) -> int:
         return self.number(store, path)
 
+    def wanted_files(self) -> list[tuple[int, str]]:
+        low, high = self.bounds.get("node", (-(1 << 62), 1 << 62))
+        return [(node, path) for node, path in sorted(self.files().items()) if low <= node <= high and (self.nodes is None or node in self.nodes)]
+
     def partitions(self):
         store, out = self.store(), []
-        for node, path in sorted(self.files().items()):
+        for node, path in self.wanted_files():
             n = self.rows(store, path, node)
+            first, last = self.wanted(node, n)
             # an empty file has a range too, so that it is checked
-            out += [Range(node, path, a, min(n, a + self.range)) for a in range(0, max(1, n), self.range)]
-        return out
+            out += [Range(node, path, a, min(last, a + self.range)) for a in range(first, max(last, first + (n == 0)), self.range)]
+        return self.placed(out)
+
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # Spark reads None where there are no partitions
+            yield from self.scan(partition)
+
+    def placed(self, ranges: list[Range]) -> list[Range]:
+        return ranges
 
     def particles(self, node: int, first: int, xyz: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return _columns(node, first, {a: xyz[:, i] for i, a in enumerate("xyz")} | {f"v{a}": v[:, i] for i, a in enumerate("xyz")}, "pid")
 
 
+def large_counts(store: fs.FileSystem, path: str, first: int, n: int, order: str) -> np.ndarray:
+    """n of the counts that don't fit a byte, from the first on."""
+    with store.open_input_file(path) as f:
+        f.seek(4 * first)
+        out = np.frombuffer(f.read(4 * n), f"{order}i4").astype(np.int64)
+    if len(out) < n:
+        raise ValueError(f"{path}: {first + len(out)} counts are too few")
+    return out
+
+
 class XvReader(_Reader):
     kind = "xv"
 
@@ -139,7 +191,7 @@ class XvReader(_Reader):
             raise ValueError(f"xv file of node {node}: {n} rows in {size} bytes")
         return n
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with self.store().open_input_file(partition.path) as f:
             f.seek(XV_HEADER_BYTES + 24 * partition.first)
             for a in range(partition.first, partition.last, BATCH):
@@ -154,21 +206,30 @@ class ZipReader(_Reader):
     def files(self):
         return node_files(self.o["base"], self.o["redshift"] + "zip0_{}.dat")
 
-    def counts(self, store: fs.FileSystem, path: str) -> Iterator[tuple[int, np.ndarray]]:
-        """Counts of coarse cells, some at a time, with the number of the first."""
-        cells, escaped = int(self.o["nc_node_dim"]) ** 3, 0
+    def placed(self, ranges):
+        """With an index each range begins at the block of cells that has its first row."""
+        if not self.o.get("index"):
+            return ranges
+        store, path = opened(self.o["index"])
+        with store.open_input_file(path) as f:
+            blocks = np.load(io.BytesIO(f.read()))  # node, block, rows before, large counts before; 32 bytes for each block
+        own = {node: blocks[blocks[:, 0] == node] for node in {r.node for r in ranges}}
+        for r in ranges:
+            b = own[r.node]
+            r.start = tuple(b[max(0, np.searchsorted(b[:, 2], r.first, "right") - 1), 1:].tolist())
+        return ranges
+
+    def counts(self, store: fs.FileSystem, path: str, block: int = 0, escaped: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+        """Counts of coarse cells from a block on, a block at a time, with the number of the first cell."""
+        cells, step = int(self.o["nc_node_dim"]) ** 3, int(self.o.get("block", CELLS))
         path2, path3 = (re.sub(r"zip0_(\d+\.dat)$", rf"zip{k}_\1", path) for k in (2, 3))
         with store.open_input_file(path2) as f:
-            for a in range(0, cells, CELLS):
-                c = np.frombuffer(f.read(min(CELLS, cells - a)), np.uint8).astype(np.int64)
+            f.seek(block * step)
+            for a in range(block * step, cells, step):
+                c = np.frombuffer(f.read(min(step, cells - a)), np.uint8).astype(np.int64)
                 large = np.flatnonzero(c == 255)
                 if len(large):
-                    with store.open_input_file(path3) as g:
-                        g.seek(4 * escaped)
-                        more = np.frombuffer(g.read(4 * len(large)), f"{self.order}i4")
-                    if len(more) < len(large):
-                        raise ValueError(f"{path3}: {escaped + len(more)} counts are too few")
-                    c[large] = more
+                    c[large] = large_counts(store, path3, escaped, len(large), self.order)
                     escaped += len(large)
                 yield a, c
 
@@ -178,7 +239,7 @@ class ZipReader(_Reader):
         if found != n or sizes != [64 + 3 * n, 64 + 6 * n]:
             raise ValueError(f"zip files of node {node}: {n} rows, {found} in cells, {sizes[0]} and {sizes[1]} bytes")
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         store, path = self.store(), partition.path
         if partition.first == 0:
             self.check(store, path, partition.node)
@@ -189,8 +250,8 @@ class ZipReader(_Reader):
             unit = float(np.frombuffer(f0.read(64), f"{self.order}f4")[VELOCITY_WORD])
             f0.seek(64 + 3 * partition.first)
             f1.seek(64 + 6 * partition.first)
-            before = 0
-            for cell0, c in self.counts(store, path):
+            block, before, escaped = partition.start
+            for cell0, c in self.counts(store, path, block, escaped):
                 upto = before + np.cumsum(c)
                 a, z = max(partition.first, before), min(partition.last, int(upto[-1]))
                 for s in range(a, z, BATCH):
@@ -208,7 +269,7 @@ class ZipReader(_Reader):
 class HaloReader(_Reader):
     """More options: boxsize, mass_def (vir or 200c), layout (22 or 17), pids (true if ids follow a record)."""
 
-    kind = "halo"
+    kind, key = "halo", "hid"
 
     def __init__(self, options):
         super().__init__(options)
@@ -220,7 +281,7 @@ class HaloReader(_Reader):
     def rows(self, store, path, node):
         return max(0, store.get_file_info(path).size - self.head) // self.size
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         step = max(1, (BATCH * 48) // self.size)
         with self.store().open_input_file(partition.path) as f:
             f.seek(self.head + self.size * partition.first)
@@ -236,6 +297,8 @@ class HaloReader(_Reader):
 class GridReader(_Reader):
     """Cells of `<base><kind><node>.dat`, or of the one file base where kind is empty. More options: components, words (of the header)."""
 
+    key, plane = None, "iz"
+
     def __init__(self, options):
         super().__init__(options)
         self.words, self.components = int(self.o.get("words", 1)), int(self.o.get("components", 1))
@@ -249,7 +312,7 @@ class GridReader(_Reader):
             raise ValueError(f"{path}: {cells} cells in {size} bytes")
         return cells
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         store = self.store()
         nc = self.number(store, partition.path)
         with store.open_input_file(partition.path) as f:
@@ -274,7 +337,7 @@ class CombinedReader(GridReader):
             raise ValueError(f"{path}: {cells} cells in {size} bytes")
         return cells
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with self.store().open_input_file(partition.path) as f:
             head = f.read(12)
             nc, dof = np.frombuffer(head, f"{self.order}i4", 2).tolist()
@@ -298,10 +361,12 @@ class HeaderReader(_Reader):
     def files(self):
         return node_files(self.o["base"], self.o["redshift"] + self.o.get("kind", "xv") + "{}.dat")
 
+    key = None
+
     def partitions(self):
-        return [Range(node, path, 0, 1) for node, path in sorted(self.files().items())]
+        return [Range(node, path, 0, 1) for node, path in self.wanted_files()]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         yield _columns(partition.node, 0, {"np": np.array([self.number(self.store(), partition.path)], np.int64)}, None)
 
 
@@ -333,6 +398,55 @@ class XvSource(_Source):
         return "snapshot_xv"
 
 
+class SnapshotStream(DataSourceStreamReader):
+    """Rows of the snapshots of a list of redshifts that grows line by line; an offset is how many lines have been read."""
+
+    def __init__(self, options: dict):
+        self.o = dict(options)
+
+    def redshifts(self) -> list[str]:
+        store, path = opened(self.o["redshifts"])
+        with store.open_input_file(path) as f:
+            text = f.read().decode()
+        # a line counts once it is whole
+        return [line.split()[0] for line in text[: text.rfind("\n") + 1].splitlines() if line.strip()]
+
+    def initialOffset(self) -> dict:
+        return {"lines": 0}
+
+    def latestOffset(self) -> dict:
+        return {"lines": len(self.redshifts())}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for z in self.redshifts()[start["lines"] : end["lines"]]:
+            for r in XvReader(self.o | {"redshift": z}).partitions():
+                r.redshift = z
+                out.append(r)
+        return out
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        for batch in XvReader(self.o | {"redshift": partition.redshift}).read(partition):
+            yield batch.append_column("redshift", pa.array([partition.redshift] * batch.num_rows))
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class SnapshotStreamSource(DataSource):
+    """Options: base, redshifts (a file of lines), order, shift, range."""
+
+    @classmethod
+    def name(cls):
+        return "snapshot_stream"
+
+    def schema(self):
+        return f"{ROWS}, redshift string"
+
+    def streamReader(self, schema):
+        return SnapshotStream(self.options)
+
+
 class ZipSource(_Source):
     made, columns = ZipReader, ROWS
 
@@ -403,6 +517,8 @@ class CombinedSource(_Source):
 class CatalogueReader(_Reader):
     """Groups of `<base><node>.dat`: count, record size, records, count."""
 
+    key = None
+
     def files(self):
         return grid_files(self.o["base"], "")
 
@@ -419,7 +535,7 @@ class CatalogueReader(_Reader):
                 raise ValueError(f"{path}: the counts at both ends differ")
         return n
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         kind = self.record()
         with self.store().open_input_file(partition.path) as f:
             f.seek(8 + kind.itemsize * partition.first)
@@ -445,6 +561,8 @@ class CatalogueSource(_Source):
 class HistogramReader(_Reader):
     """Bins of the one file base: bounds, bins, all rows, sum of values, counts."""
 
+    key = None
+
     def files(self):
         return {0: opened(self.o["base"])[1]}
 
@@ -452,7 +570,7 @@ class HistogramReader(_Reader):
         with store.open_input_file(path) as f:
             return int(np.frombuffer(f.read(12), f"{self.order}i4")[2])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def scan(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with self.store().open_input_file(partition.path) as f:
             head = f.read(24)
             (low, high), bins = np.frombuffer(head, f"{self.order}f4", 2).tolist(), int(np.frombuffer(head, f"{self.order}i4", 1, 8)[0])
@@ -488,12 +606,15 @@ class HeaderSource(_Source):
 
 def load(spark: SparkSession, source: type[DataSource], **options) -> DataFrame:
     spark.dataSource.register(source)
-    return spark.read.format(source.name()).options(**{k: ",".join(map(str, v)) if isinstance(v, tuple) else str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).load()
+    return spark.read.format(source.name()).options(**{k: json.dumps(v or {}) if isinstance(v, dict) or k == "where" else ",".join(map(str, v)) if isinstance(v, tuple) else str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).load()
 
 
-def read_xv(spark: SparkSession, base: str, redshift: str, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE) -> DataFrame:
-    """Rows of xv snapshots: a header of 48 bytes, then six floats a row. Raises if a file is shorter than its header says."""
-    return load(spark, XvSource, base=base, redshift=redshift, shift=shift, order=order, range=rows)
+def read_xv(spark: SparkSession, base: str, redshift: str, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE, where: dict | None = None) -> DataFrame:
+    """Rows of xv snapshots: a header of 48 bytes, then six floats a row. Raises if a file is shorter than its header says.
+
+    where has bounds on node and pid, such as {"node": (3, 3)}: only files and ranges within them are read.
+    """
+    return load(spark, XvSource, base=base, redshift=redshift, shift=shift, order=order, range=rows, where=where)
 
 
 def read_headers(spark: SparkSession, base: str, redshift: str, kind: str = "xv", order: str = "<") -> DataFrame:
@@ -501,9 +622,58 @@ def read_headers(spark: SparkSession, base: str, redshift: str, kind: str = "xv"
     return load(spark, HeaderSource, base=base, redshift=redshift, kind=kind, order=order)
 
 
-def read_zip(spark: SparkSession, base: str, redshift: str, nc_node_dim: int, mesh_scale: float, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE) -> DataFrame:
-    """Rows of zipped snapshots. Raises if the counts don't add up to the header's rows or a file has another size than they ask for."""
-    return load(spark, ZipSource, base=base, redshift=redshift, nc_node_dim=nc_node_dim, mesh_scale=mesh_scale, shift=shift, order=order, range=rows)
+def zip_index(spark: SparkSession, base: str, redshift: str, nc_node_dim: int, order: str = "<", block: int = CELLS) -> str:
+    """Writes where each block of coarse cells of each node begins, in rows and in large counts, and returns its path.
+
+    Blocks are counted side by side; each file of counts is read once, however many ranges are read with the index.
+    """
+    from lumengrid.session import scratch
+
+    files, cells = node_files(base, redshift + "zip0_{}.dat"), nc_node_dim**3
+    nodes = spark.createDataFrame(sorted(files.items()), "node int, path string")
+    todo = nodes.select("node", "path", F.explode(F.sequence(F.lit(0), F.lit((cells - 1) // block))).alias("block"))
+    todo = todo.repartition("node", "block")
+
+    def small(batches):
+        store = opened(base)[0]
+        for batch in batches:
+            sums = []
+            for path, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                with store.open_input_file(re.sub(r"zip0_(\d+\.dat)$", r"zip2_\1", path)) as f:
+                    f.seek(k * block)
+                    c = np.frombuffer(f.read(min(block, cells - k * block)), np.uint8)
+                sums.append((int(c[c < 255].sum(dtype=np.int64)), int((c == 255).sum())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([s[i] for s in sums], pa.int64()) for i in range(2))], [*batch.schema.names, "small", "large"])
+
+    def big(batches):
+        store = opened(base)[0]
+        for batch in batches:
+            path, first, n = (batch.column(i).to_pylist() for i in (1, 5, 4))
+            sums = [int(large_counts(store, re.sub(r"zip0_(\d+\.dat)$", r"zip3_\1", p), a, m, order).sum()) if m else 0 for p, a, m in zip(path, first, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(sums, np.int64) + batch.column(3).to_numpy()), batch.column(5)], ["node", "block", "n", "escaped"])
+
+    counted = todo.mapInArrow(small, "node int, path string, block int, small bigint, large bigint")
+    before = Window.partitionBy("node").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    counted = counted.withColumn("escaped", upto("large")).mapInArrow(big, "node int, block int, n bigint, escaped bigint")
+    t = counted.select(F.col("node").cast("bigint"), F.col("block").cast("bigint"), upto("n").alias("before"), "escaped").orderBy("node", "block").toArrow()  # 32 bytes for each block of cells
+    path = f"{scratch(spark)}/zip-index-{uuid.uuid4().hex}.npy"
+    held = io.BytesIO()
+    np.save(held, np.stack([c.to_numpy() for c in t.columns], 1))
+    store, at = opened(path)
+    with store.open_output_stream(at) as f:
+        f.write(held.getvalue())
+    return path
+
+
+def read_zip(spark: SparkSession, base: str, redshift: str, nc_node_dim: int, mesh_scale: float, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<", rows: int = RANGE, block: int = CELLS, where: dict | None = None) -> DataFrame:
+    """Rows of zipped snapshots. Raises if the counts don't add up to the header's rows or a file has another size than they ask for.
+
+    Nodes of several blocks of cells get an index first, so that a range reads the counts of its own cells only. The check is
+    made where a node's first rows are read.
+    """
+    index = zip_index(spark, base, redshift, nc_node_dim, order, block) if nc_node_dim**3 > block else ""
+    return load(spark, ZipSource, base=base, redshift=redshift, nc_node_dim=nc_node_dim, mesh_scale=mesh_scale, shift=shift, order=order, range=rows, block=block, index=index, where=where)
 
 
 def read_halos(spark: SparkSession, base: str, redshift: str, boxsize: float, mass_def: str = "vir", layout: int = HALO22, pids: bool = False, shift: tuple[float, float, float] = (0, 0, 0), order: str = "<") -> DataFrame:
@@ -511,12 +681,13 @@ def read_halos(spark: SparkSession, base: str, redshift: str, boxsize: float, ma
     return load(spark, HaloSource, base=base, redshift=redshift, boxsize=boxsize, mass_def=mass_def, layout=layout, pids=pids, shift=shift, order=order)
 
 
-def read_grid(spark: SparkSession, base: str, kind: str, components: int = 1, order: str = "<", words: int = 1) -> DataFrame:
+def read_grid(spark: SparkSession, base: str, kind: str, components: int = 1, order: str = "<", words: int = 1, rows: int = RANGE, where: dict | None = None) -> DataFrame:
     """node, ix, iy, iz and v0, v1, ... of grid files `<base><kind><node>.dat`: a header whose first word is the cells per axis, then values, x fastest.
 
-    With an empty kind, base is one file (node 0). Raises if a file has another size than its header asks for.
+    With an empty kind, base is one file (node 0). Raises if a file has another size than its header asks for. where has
+    bounds on node and iz.
     """
-    return load(spark, GridSource, base=base, kind=kind, components=components, order=order, words=words)
+    return load(spark, GridSource, base=base, kind=kind, components=components, order=order, words=words, range=rows, where=where)
 
 
 def read_combined(spark: SparkSession, base: str, order: str = "<", rows: int = RANGE) -> DataFrame:

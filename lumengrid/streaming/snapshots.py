@@ -24,3 +24,15 @@ def field_stream(spark: SparkSession, path: str, schema: str, field: Callable[[D
             rows.unpersist()
 
     return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def snapshot_stream(spark: SparkSession, base: str, redshifts: str, order: str = "<") -> DataFrame:
+    """A stream of the rows of xv snapshots with their redshift, as lines are added to a list of redshifts.
+
+    Files of a redshift must be whole before its line is. A query that starts again from its checkpoint goes on after the
+    lines that it has finished.
+    """
+    from lumengrid.sources.binary import SnapshotStreamSource
+
+    spark.dataSource.register(SnapshotStreamSource)
+    return spark.readStream.format(SnapshotStreamSource.name()).options(base=base, redshifts=redshifts, order=order).load()

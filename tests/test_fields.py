@@ -19,7 +19,7 @@ from lumengrid.plans import fields, formats, registry
 from lumengrid.plans.views import DELTA, halos_e, particles_e
 from lumengrid.sources import binary, ranges, writers
 from lumengrid.sources.binary import Range
-from lumengrid.streaming.snapshots import field_stream
+from lumengrid.streaming.snapshots import field_stream, snapshot_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -340,6 +340,70 @@ def test_numbering_of_nodes_over_ranges(spark):
         assert [r[1] for r in own] == list(range(len(own))) and {r[2] for r in own} == {len(own)}
 
 
+@pytest.fixture
+def node_files(spark, tmp_path):
+    """Four nodes of 250 rows, and their grids."""
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.integers(0, 16 * 256, (900, 3)) / 256 + 1 / 512, np.full((100, 3), 1 / 512)])
+    p = spark.createDataFrame([(i % 4, i, *map(float, x), 1.0, 2.0, float(i)) for i, x in enumerate(at)], "node int, pid long, x double, y double, z double, vx double, vy double, vz double")
+    base = f"file://{tmp_path}/node"
+    writers.write_xv(p, base, "0.000")
+    writers.write_zip(p.where("node < 2").unionByName(p.where("node = 1 AND pid >= 900").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19)))).drop("k")), base, "0.000", 16, 1.0, 4.0)
+    writers.write_grids(grid_cells(spark, 6, 3), f"{base}s", 6)
+    return base
+
+
+def test_bounds_leave_files_and_ranges_out(spark, node_files):
+    """Bounds on node, row number and plane reach the reader: files and ranges that can't match have no partition."""
+    parts, own = lambda df: df.rdd.getNumPartitions(), 3 << 40
+    whole = binary.read_xv(spark, node_files, "0.000", rows=100)
+    assert parts(whole) == 12 and whole.count() == 1000
+    some = (({"node": (3, 3)}, "node = 3", 3), ({"node": [0, 2, 3]}, "node IN (0, 2, 3)", 9), ({"node": [2]}, "node = 2", 3), ({"pid": (own + 120, own + 129)}, f"pid BETWEEN {own + 120} AND {own + 129}", 1), ({"node": (1, 3), "pid": (own + 249, 1 << 50)}, f"pid >= {own + 249}", 1), ({"node": (9, 9)}, "node = 9", 1))
+    for where, same, n in some:
+        df = binary.read_xv(spark, node_files, "0.000", rows=100, where=where)
+        assert parts(df) == n and rows(df) == rows(whole.where(same)), where
+    grid = lambda where: binary.read_grid(spark, f"{node_files}s", "n", rows=36, where=where)
+    assert parts(grid(None)) == 18 and parts(grid({"iz": (2, 3), "node": (1, 1)})) == 2
+    assert rows(grid({"iz": (5, 5), "node": (2, 2)}).select("v0")) == [(float(i + 1),) for i in range(180, 216)]
+    with pytest.raises(Exception, match="no bounds on x"):
+        binary.read_xv(spark, node_files, "0.000", where={"x": (0, 1)}).count()
+
+
+def test_zip_ranges_begin_at_their_blocks(spark, node_files, monkeypatch):
+    """With an index a range reads the counts of its own blocks; rows are those that are read without."""
+    plain = rows(binary.read_zip(spark, node_files, "0.000", 16, 1.0))
+    assert rows(binary.read_zip(spark, node_files, "0.000", 16, 1.0, rows=60, block=256)) == plain and len(plain) == 1000
+    index = binary.zip_index(spark, node_files, "0.000", 16, block=256)
+    reader = binary.ZipReader({"base": node_files, "redshift": "0.000", "nc_node_dim": "16", "mesh_scale": "1", "range": "20", "block": "256", "index": index})
+    read = []
+    real = binary.ZipReader.counts
+    monkeypatch.setattr(binary.ZipReader, "counts", lambda self, *a: (read.append(x[0]) or x for x in real(self, *a)))
+    for r in reader.partitions():
+        if r.first:
+            read.clear()
+            assert sum(b.num_rows for b in reader.read(r)) == r.last - r.first
+            assert len(read) <= 4 and read[0] == 256 * r.start[0]
+
+
+def test_stream_goes_on_after_its_checkpoint(spark, node_files, tmp_path):
+    """Each redshift comes once, also when the query is stopped and started again."""
+    for z in ("1.000", "2.000"):
+        for n in range(4):
+            put(tmp_path / f"node{n}/{z}xv{n}.dat", open(tmp_path / f"node{n}/0.000xv{n}.dat", "rb").read())
+    lines = tmp_path / "redshifts.txt"
+
+    def go(text):
+        lines.write_text(text)
+        stream = snapshot_stream(spark, node_files, f"file://{lines}")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+        return {r.redshift: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("redshift").count().collect()}
+
+    assert go("0.000\n") == {"0.000": 1000}
+    assert go("0.000\n") == {"0.000": 1000}
+    assert go("0.000\n1.000\n2.0") == {"0.000": 1000, "1.000": 1000}  # a line that is not whole waits
+    assert go("0.000\n1.000\n2.000\n") == {"0.000": 1000, "1.000": 1000, "2.000": 1000}
+
+
 def test_large_sparse_files_open(spark, tmp_path):
     """A file of more than 2 GB, nearly all of it a hole: its rows are read by ranges."""
     n = 100_000_000
