@@ -382,10 +382,25 @@ def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = corpus_pipeline.drop_contaminated(spark, corpus_pipeline.one_of_each(spark, docs, sf), sf)
-    groups = {r.doc_id: r.component_id for r in registry.QUERIES["op4_simhash"](spark, sf).collect()}
-    hit = {r.doc_id for r in registry.QUERIES["op2_decontaminate"](spark, sf).collect() if r.contaminated}
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, c in groups.items() if i == c} - hit
+    # each stage on what the one before kept, against versions of its own
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality classifier"](spark, docs, sf)
+    scores = {r.doc_id: r.score for r in quality.quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    assert sorted(r.doc_id for r in good.select("doc_id").collect()) == sorted(i for i, s in scores.items() if s >= corpus_pipeline.LEAST_QUALITY)
+    lined = stages["line dedup"](spark, good, sf)
+    key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate({c: c + 32 for c in range(65, 91)})
+    texts, holders = {r.doc_id: (r.text or "").split("\n") for r in good.collect()}, {}
+    for i, lines in texts.items():
+        for line in lines:
+            holders.setdefault(key(line), set()).add(i)
+    gone = lambda i, line: len(key(line)) >= 10 and len(holders[key(line)]) > 1 and i != min(holders[key(line)])
+    want = {i: "\n".join(x for x in lines if not gone(i, x)) for i, lines in texts.items()}
+    assert {r.doc_id: r.text for r in lined.collect()} == want
+    apart = stages["SimHash near-dedup"](spark, lined, sf)
+    assert sorted(str(r.doc_id) for r in apart.collect()) == plain_pipeline_groups(list(want.items()))
+    kept = stages["benchmark decontamination"](spark, apart, sf)
+    hit = {r.doc_id for r in decontaminate.decontaminate(apart, spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if r.contaminated}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in apart.collect()} - hit
     assert kept.columns == corpus_pipeline.COLUMNS
     assert 0 < corpus_pipeline.run(spark, sf).where(F.col("copies") > 0).count() <= docs.count()
 
@@ -493,6 +508,34 @@ def test_near_dedup_stage_matches_brute_force(spark):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_dedup_does_not_depend_on_its_limits(spark):
+    """Chains of edits in families of similar texts: whatever a row is linked to first, the groups are the same."""
+    from lumengrid.llm import near_copies
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(6):
+        w = [f"g{g}w{x}" for x in rng.integers(0, 400, 150)]
+        for i in range(40):  # each differs from the one before by a word, and from the family's first by ever more
+            if i % 10 == 0:
+                w = [x if k % 12 else f"{x}v{i}" for k, x in enumerate(w)]  # too different: a group of its own
+            w[int(rng.integers(0, 150))] += "e"
+            rows.append((100 * g + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {limits: sorted(str(r.doc_id) for r in near_copies.one_of_each(docs, *limits).collect()) for limits in ((4, 1024, 2048), (1, 8, 7), (200, 1024, 2048))}
+    assert got[4, 1024, 2048] == got[1, 8, 7] == got[200, 1024, 2048] == plain_pipeline_groups(rows)
+
+
+def test_masks_grow_with_the_rows():
+    from lumengrid.llm import near_copies
+
+    assert near_copies.masks(1000).shape == (64, 16) == near_copies.masks(1 << 24).shape
+    many = near_copies.masks(1 << 30)
+    meet = lambda m: 1 - (1 - near_copies.AGREE ** m.shape[1]) ** len(m)
+    assert many.shape[1] == 22 and meet(many) >= meet(near_copies.masks(1000)) - 0.01
+    assert all(len(set(m)) == 22 for m in many.tolist())
+
+
 def test_pipeline_stages_on_edge_rows(spark, sf, docs, labels, items, tmp_path):
     """Values that the stages promise for null, empty, repeated and long texts, null ids and empty tables."""
     import corpus_pipeline
