@@ -4,12 +4,14 @@ import bisect
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumengrid.llm import alignment, ranked_search, suffix_dedup
+from lumengrid.llm import alignment, language, quality, ranked_search, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -220,3 +222,104 @@ def test_alignment_on_edge_tables(spark):
     assert empty.count() == 0 and empty.columns[1:] == ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     extra = spark.createDataFrame([(1, "a b", 2, "x", 3)], "doc_id long, text string, row int, pair string, n_a int")
     assert [r.n_a for r in alignment.align(extra).collect()] == [2]
+
+
+# results of the trained operators, by plain arithmetic from their fitted models
+
+
+def plain_segments(s):
+    """All maximal segments: the best one of a stretch, then those left and right of it."""
+    out, todo = [], [(0, len(s))]
+    while todo:
+        a, z = todo.pop()
+        best = None
+        for i in range(a, z):
+            total = 0.0
+            for j in range(i, z):
+                total += s[j]
+                if total > 0 and (best is None or total > best[0] + 1e-12):
+                    best = (total, i, j + 1)
+        if best:
+            out.append((best[1], best[2], best[0]))
+            todo += [(a, best[1]), (best[2], z)]
+    return sorted(out)
+
+
+def test_toxicity_scores_match_plain_segments(spark, sf):
+    """Every document's score from the entries, by a search of all segments, and its spans."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    some = docs.where(F.length("text") < 1500)
+    found = 0
+    for r in toxicity.score(some.select("doc_id", "text"), model).collect():
+        s = []
+        for w in toxicity.words(r.text):
+            own = [model["entries"][x] for x in [w[:n] for n in model["prefixes"] if len(w) >= n] + [w + "$"] if x in model["entries"]]
+            s.append((own[-1] if own else 0.0) - toxicity.DRIFT)
+        logs, spans = 0.0, []
+        for a, z, total in plain_segments(s):
+            p = -math.expm1(-model["k"] * len(s) * math.exp(-model["lam"] * total))
+            if p < toxicity.SIGNIFICANT:
+                logs -= math.log(max(p, 1e-300))
+                spans.append((a, z))
+        want = 1 / (1 + math.exp(-(model["slope"] * math.log1p(logs) + model["intercept"])))
+        assert math.isclose(r.toxic_score, want, rel_tol=1e-6, abs_tol=1e-9)
+        assert [tuple(map(int, x.split(":")[:2])) for x in r.toxic_spans.split(",") if x] == spans
+        found += bool(spans)
+    assert found
+
+
+def test_quality_scores_match_plain_sums(spark, sf):
+    """Every document's score from the weights: features counted one by one, and a sum over them."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    w = quality.fit(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.quality(docs, labels).collect()}
+    mask, quarter = (1 << 64) - 1, quality.DIM // 4
+
+    def place(h, k):
+        h = (h + (1 << 63)) & mask
+        h -= 1 << 63
+        return ((h ^ (h >> 21)) & (quarter - 1)) + k * quarter
+
+    for r in docs.collect():
+        tokens = re.findall(r"\w+|[^\w\s]+", r.text or "")
+        words = [zlib.crc32(t.lower().encode()) for t in tokens]
+        shapes = []
+        for i, t in enumerate(tokens):
+            kind = 4 if not (t[0].isalnum() or t[0] == "_") else 3 if t.isdigit() else 2 if t.isupper() and len(t) > 1 else 1 if t[0].isupper() else 0
+            shapes.append(kind + 8 * (i > 0 and words[i] == words[i - 1]))
+        bags = [Counter() for _ in range(4)]
+        for i in range(len(tokens)):
+            bags[0][place(words[i] * 2654435761 + 1, 0)] += 1
+            if i:
+                bags[1][place(words[i] * 40503 + words[i - 1] * 2654435761 + 2, 1)] += 1
+                bags[2][place((shapes[i] * 16 + shapes[i - 1]) * 7919 + 3, 2)] += 1
+            if i > 1:
+                bags[3][place((shapes[i] * 256 + shapes[i - 1] * 16 + shapes[i - 2]) * 104729 + 4, 3)] += 1
+        dot = float(w[0]) + sum(float(w[i]) * n / math.sqrt(sum(x * x for x in bag.values())) for bag in bags for i, n in bag.items())
+        want = 1 / (1 + math.exp(-max(-35.0, min(35.0, dot))))
+        assert math.isclose(got[r.doc_id][0], want, rel_tol=1e-5, abs_tol=1e-7) and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.7)
+
+
+def test_language_scores_match_a_plain_softmax(spark, sf):
+    """Every document's language and probability from the weights, n-gram by n-gram."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = language.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language(docs).collect()}
+    for r in docs.where(F.length("text") < 3000).collect():
+        c, tf = [ord(x) for x in r.text.lower()], Counter()
+        for i in range(len(c)):
+            tf[(c[i] * 2654435761) % 2**32 >> 17] += 1
+            if i:
+                tf[(c[i - 1] * 2246822519 + c[i] * 3266489917 + 1) % 2**32 >> 17] += 1
+            if i > 1:
+                tf[(c[i - 2] * 668265263 + c[i - 1] * 374761393 + c[i] * 2869860233 + 2) % 2**32 >> 17] += 1
+        if not any(x.isalpha() for x in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        x = {i: (1 + math.log(n)) * m["idf"][i] for i, n in tf.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [sum(v / norm * m["weights"][i][k] for i, v in x.items()) / m["temperature"] for k in range(len(m["langs"]))]
+        e = [math.exp(v - max(logits)) for v in logits]
+        best = max(range(len(e)), key=lambda k: e[k])
+        assert got[r.doc_id][0] == m["langs"][best] and math.isclose(got[r.doc_id][1], e[best] / sum(e), rel_tol=1e-4)
