@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.functions import kernels
-from lumengrid.operators import domain, groups, histogram, mesh, spatial
+from lumengrid.operators import balance, domain, groups, histogram, mesh, spatial
 from lumengrid.plans import fields
 from lumengrid.plans.views import BOX, DELTA, HE, PE, PV, halos_e, particles_e, particles_v
 
@@ -88,6 +88,14 @@ def zip_decode(spark, sf_dir) -> DataFrame:
     return packed.select("pid", decoded_position(F.col("u8"), F.col("cell"), 2.0, 0.25).alias("x"), decoded_velocity(F.col("i16"), 512.0).alias("vx"))
 
 
+_HALVED = "l0 AS (SELECT *, 0 AS node FROM pv), " + ", ".join(f"l{i + 1} AS (SELECT * REPLACE (2 * node + (row_number() OVER (PARTITION BY node ORDER BY {a}, pid) > ceil(count(*) OVER (PARTITION BY node) / 2e0))::INT AS node) FROM l{i})" for i, a in enumerate("xyzx"))
+
+
+@query(f"WITH {PV}, {_HALVED} SELECT node, count(*) AS n, " + ", ".join(f"min({a}) AS low_{a}, max({a}) AS high_{a}" for a in "xyz") + " FROM l4 GROUP BY node")
+def balanced_nodes(spark, sf_dir) -> DataFrame:
+    return balance.node_bounds(balance.balanced(particles_v(spark, sf_dir), 4))
+
+
 # neighbours and density
 
 _PAIRS = """on_one AS MATERIALIZED (SELECT *, 0 AS box FROM pe),

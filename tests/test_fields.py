@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lumengrid.config import RunConfig, parse
 from lumengrid.functions import kernels
-from lumengrid.operators import celltree, domain, groups, mesh, spatial
+from lumengrid.operators import balance, celltree, domain, groups, mesh, spatial
 from lumengrid.operators.components import components
 from lumengrid.plans import fields, formats, registry
 from lumengrid.plans.views import DELTA, halos_e, particles_e
@@ -126,6 +126,25 @@ def test_no_leaf_pairs_more_than_its_share(spark):
         assert all(c0 + c * edge <= x <= c0 + (c + 1) * edge for c0, c, x in zip(frame.corner, cell, (r.x, r.y, r.z), strict=True))
 
 
+def test_balanced_nodes_have_equal_rows(spark):
+    """A cluster, a wide field and very many rows at one place: exact halves, however few rows are sorted at once."""
+    rng = np.random.default_rng(8)
+    at = np.concatenate([rng.normal(5, 0.01, (400, 3)), rng.uniform(0, 100, (300, 3)), np.full((333, 3), 7.0)])
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "pid long, x double, y double, z double").repartition(5)
+    node = np.zeros(len(at), int)
+    for level in range(4):
+        new = node.copy()
+        for n in np.unique(node):
+            own = np.flatnonzero(node == n)
+            order = own[np.lexsort((own, at[own, level % 3]))]
+            new[order] = 2 * n + (np.arange(len(own)) >= -(-len(own) // 2))
+        node = new
+    for limit in (balance.LIMIT, 20):
+        got = {r.pid: r.node for r in balance.balanced(p, 4, limit).collect()}
+        assert got == dict(enumerate(node.tolist()))
+    assert set(Counter(got.values()).values()) <= {64, 65}
+
+
 def test_nearest_within_trees(spark):
     """Rows of one node are neighbours of each other only, at the same places as in a node alone."""
     rng = np.random.default_rng(6)
