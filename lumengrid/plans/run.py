@@ -72,16 +72,23 @@ def _settings(c: RunConfig, redshift: str, shift: tuple[float, float, float]) ->
     return own | {"redshift": redshift, "shift": shift, "inputs": inputs}
 
 
+def _place(c: RunConfig, redshift: str, kind: str, nc: int) -> str:
+    return f"{c.out_dir}/{kind}/nc{nc}/{redshift}" if nc else f"{c.out_dir}/{kind}/{redshift}fof"
+
+
+def _there(c: RunConfig, redshift: str, kind: str, nc: int, settings: dict) -> bool:
+    """Whether a grid, or with nc 0 the catalogue, was committed from the same inputs and options and is there as committed."""
+    return not c.replace and ranges.stale(f"{_place(c, redshift, kind, nc)}.manifest", settings | {"kind": kind, "nc": nc}) == []
+
+
 def _grids(rows: DataFrame, c: RunConfig, redshift: str, kind: str, sign: int, n_rows: int, report: Report, settings: dict) -> list[str]:
     written = []
     for nc in c.nc:
-        base = f"{c.out_dir}/{kind}/nc{nc}/{redshift}"
-        # what was committed from the same inputs and options, and is there, is not made again
-        own, manifest = settings | {"kind": kind, "nc": nc}, f"{base}.manifest"
-        if not c.replace and ranges.stale(manifest, own) == []:
+        base = _place(c, redshift, kind, nc)
+        if _there(c, redshift, kind, nc, settings):
             continue
 
-        def work(nc=nc, base=base, own=own, manifest=manifest):
+        def work(nc=nc, base=base, own=settings | {"kind": kind, "nc": nc}, manifest=f"{base}.manifest"):
             m, seen = _counted(mesh.assign(rows, c.box, nc, sign=sign, keys=("node",)), "mesh", total=F.coalesce(F.sum(F.col("n") + F.col("halo")), F.lit(0.0)))
             total = seen["total"]
             _checked(n_rows == 0 or abs(total / n_rows - 1) < 0.001, f"redshift {redshift}, nc {nc}: mass {total} in the grid, {n_rows} rows")
@@ -96,6 +103,10 @@ def compute(spark: SparkSession, c: RunConfig, redshift: str, report: Report) ->
     """Grids (and with fof a catalogue) of one redshift; paths of the files written. Counts come from the jobs that write the tables."""
     points, shift = snapshot(spark, c, redshift)
     settings = _settings(c, redshift, shift)
+    # what is there as it was committed is not made again; a redshift of which all is there isn't read
+    wanted = [(kind, nc) for kind, on in (("so", c.halos), ("fof", c.fof)) if on for nc in c.nc] + [("fof", 0)] * c.fof
+    if all(_there(c, redshift, kind, nc, settings) for kind, nc in wanted):
+        return []
 
     def load():
         rows, seen = _counted(points, "points")
@@ -108,7 +119,8 @@ def compute(spark: SparkSession, c: RunConfig, redshift: str, report: Report) ->
         def find():
             near = materialise(fields.with_ghosts(points, c.box, nodes, c.buffer_factor), "ghosts")
             tags, seen = _counted(groups.large_groups(groups.friends(near, c.link, ("node",))), "tags")
-            files = writers.write_catalogue(groups.node_catalogue(near, tags, c.box), f"{c.out_dir}/fof/{redshift}fof", c.order)
+            base = _place(c, redshift, "fof", 0)
+            files = writers.write_catalogue(groups.node_catalogue(near, tags, c.box), base, c.order, settings | {"kind": "fof", "nc": 0}, f"{base}.manifest")
             return (tags, [x.path for x in files]), seen["rows"]
 
         tags, files = report.timed(redshift, "fof", find)

@@ -115,10 +115,10 @@ def write_global(m: DataFrame, path: str, nc: int, columns: list[str], order: st
     return save(by_slab(rows, None, "gz", "gy", "gx"), binary.GridSource, path, nc=nc, order=order, layout="global", columns=",".join(columns))[0].bytes
 
 
-def write_catalogue(groups: DataFrame, base: str, order: str = "<") -> list[Written]:
+def write_catalogue(groups: DataFrame, base: str, order: str = "<", settings: dict | None = None, manifest: str | None = None) -> list[Written]:
     """Writes `<base><node>.dat` of each node's groups: count, record size, records (mean position and velocity, size), count."""
     rows = numbered(groups.select("node", "igrp", "x", "y", "z", "vx", "vy", "vz", "nfof"), "igrp").drop("igrp")
-    return save(ranges_of(rows), binary.CatalogueSource, base, order=order)
+    return save(ranges_of(rows), binary.CatalogueSource, base, settings, manifest, order=order)
 
 
 def read_catalogue(spark, base: str, order: str = "<") -> DataFrame:
