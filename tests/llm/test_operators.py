@@ -526,6 +526,37 @@ def test_near_dedup_does_not_depend_on_its_limits(spark):
     assert got[4, 1024, 2048] == got[1, 8, 7] == got[200, 1024, 2048] == plain_pipeline_groups(rows)
 
 
+def test_counts_rule_out_no_near_copies():
+    """Of pairs around the limit, with short, long, blank and repeating texts, what shares enough always passes.
+
+    Of the rest most don't, where texts have some hundred pieces; beyond some thousand, differences in a bin cancel and most do.
+    """
+    from lumengrid.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "one", "one two", "a " * 3000, "a " * 3001]
+    for n in (6, 40, 300, 20_000):
+        w = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        for edits in range(0, n // 3 + 1, max(1, n // 60)):
+            v = list(w)
+            for k in rng.permutation(n)[: edits // 5 + 1] if edits else ():
+                v[k] += "x"
+            texts.append(" ".join(v))
+    made = near_copies.sketch(texts)
+    counts = np.frombuffer(b"".join(made["counts"]), np.uint8).reshape(-1, near_copies.BINS)
+    sets = [near_copies.shingles(t) for t in texts]
+    assert made["size"].tolist() == [len(s) for s in sets]
+    passed = others = 0
+    for i in range(len(texts)):
+        near = np.array([near_copies.shared(sets[i], s) >= near_copies.LEAST_SHARED for s in sets])
+        may = near_copies.may_share(made["size"], counts, i, np.arange(len(texts)))
+        assert (may | ~near).all()
+        some = ~near & (made["size"] <= 300)
+        if made["size"][i] <= 300:
+            passed, others = passed + (may & some).sum(), others + some.sum()
+    assert passed < 0.1 * others
+
+
 def test_masks_grow_with_the_rows():
     from lumengrid.llm import near_copies
 
