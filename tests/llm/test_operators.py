@@ -526,6 +526,16 @@ def test_near_dedup_does_not_depend_on_its_limits(spark):
     assert got[4, 1024, 2048] == got[1, 8, 7] == got[200, 1024, 2048] == plain_pipeline_groups(rows)
 
 
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    from lumengrid.llm import near_copies
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("a", 7, text, 1.5, "x", None), ("b", 8, text + " more", 2.5, "y", 3), ("c", 9, "another text", None, "z", 4)]
+    docs = spark.createDataFrame(rows, "node string, doc_id long, text string, size double, counts string, _row int")
+    got = near_copies.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
 def test_counts_rule_out_no_near_copies():
     """Of pairs around the limit, with short, long, blank and repeating texts, what shares enough always passes.
 
