@@ -2,11 +2,13 @@
 
 import math
 import re
+import types
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +318,65 @@ def test_lm_scores_match_a_plain_coder(spark):
     assert gained > 5  # copies were foreseen
 
 
+def plain_decisions(m, tables, text):
+    """(gate, inputs of both tables and the match in quarters, decision) of a text, one decision after the other."""
+    code, data, last, run, word, place, out = m["code"], mixing_lm.PAD + text, {}, 0, 0, 0, Counter()
+    slot = lambda h, salt: int(mixing_lm.slots(np.array([h % 2**64], np.uint64), salt, m["bits"])[0])
+    for i in range(len(mixing_lm.PAD), len(data)):
+        if data[i - 1] == 32:
+            word, place = 0, 0
+        six = data[i - 6 : i]
+        guess = data[last[six]] if six in last else None
+        lines = [slot(word, 1), slot(int.from_bytes(data[i - 5 : i], "little"), 3)]
+        row = int(code.context[data[i - 1] | (data[i - 2] << 8)]) * 256
+        path = lambda c: code.step[code.start[row + c] :][: code.length[row + c]].tolist()
+        entry = lambda k, step: int(tables[k][lines[k] ^ int(m["places"][step])])
+        gate = (0 if guess is None else 1 + (run > 3) + (run > 15)) * 16 + sum((entry(k, 2 * mixing_lm.ROOT) & 3) << (2 - 2 * k) for k in range(2))
+        mine, theirs = path(data[i]), path(guess) if guess is not None else []
+        for j, step in enumerate(mine):
+            match = 0 if theirs[:j] != mine[:j] or j >= len(theirs) else 8 if theirs[j] & 1 else -8
+            out[gate, entry(0, step) >> 2, entry(1, step) >> 2, match, step & 1] += 1
+        run, last[six] = run + 1 if guess == data[i] else 0, i
+        word, place = (word + int(mixing_lm.RANDOM[data[i] + 256 * (place & 31)])) % 2**64, place + 1
+    return out
+
+
+def test_lm_all_documents_teach_the_weights(spark):
+    """Each decision of each document to learn from is counted, by the other half's tables, and the weights are where its gradient is none."""
+    rng = np.random.default_rng(13)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x * x}" for x in rng.zipf(1.6, 40) % 50)) for i in range(50)] + [(60, None), (None, "an id of none")], "doc_id long, text string").repartition(3)
+    rows, words, total = mixing_lm.counted(docs, 10, 0)
+    m = mixing_lm.fit(rows, words, total)
+    m["halves"] = [m["tables"], [np.random.default_rng(k).permutation(t) for k, t in enumerate(m["tables"])]]
+    texts, want = rows.where("learned").select("text", "half"), Counter()
+    assert {r.half for r in texts.collect()} == {0, 1}
+    for r in texts.collect():
+        want.update(plain_decisions(m, m["halves"][1 - r.half], b" ".join([*bytes(r.text).lower().split(), mixing_lm.END_WORD])))
+    got, seen = Counter(), np.zeros((mixing_lm.GATES, mixing_lm.CELLS), np.int64)
+    for r in texts.mapInArrow(mixing_lm._decided(spark.sparkContext.broadcast(m)), "gate int, counts binary").collect():
+        seen[r.gate] += mixing_lm._unpacked(bytes(r.counts), mixing_lm.CELLS)
+    for gate, at in zip(*np.nonzero(seen), strict=True):
+        cell, y = divmod(int(at), 2)
+        got[int(gate), cell // 189 - 31, cell // 3 % 63 - 31, 8 * (cell % 3 - 1), y] = int(seen[gate, at])
+    assert got == want
+    weights, chances = mixing_lm.mixer(texts, m, 2)
+    for gate in {g for g, *_ in want}:
+        w, pull = weights[:, gate].astype(float), np.zeros(3)
+        for (g, *x, y), n in want.items():
+            if g == gate:
+                pull += n * np.array(x) / 4 * (y - 1 / (1 + math.exp(-(w @ np.array(x)) / 4)))
+        assert np.allclose(pull, mixing_lm.HELD * (w - mixing_lm.FIRST_WEIGHT), atol=0.2)
+    assert ((chances > 0) & (chances < 1)).all()
+
+
+def test_lm_counts_beyond_24_bits():
+    """Counts of common words in the tables have no limit."""
+    code = mixing_lm.Code({(32 << 8) + 32: np.ones(256, np.int64)})
+    batch = pa.RecordBatch.from_arrays([pa.array([b"the"]), pa.array([1 << 40]), pa.array([3])], ["word", "n", "n_second"])
+    made = [r.to_pylist()[0] for r in mixing_lm._fill_words(types.SimpleNamespace(value=code), 16)(iter([batch]))]
+    assert {r["half"]: int(mixing_lm._unpacked(r["counts"], 2 << 16).max()) for r in made} == {0: 1 << 40, 1: 3}
+
+
 def test_lm_does_not_depend_on_the_head_or_on_dealing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0")
     one, two = ({r.doc_id: r for r in mixing_lm.lm_scores(d, head_words=h).collect()} for d, h in ((docs.repartition(2), 100), (docs.repartition(7), 1 << 17)))
