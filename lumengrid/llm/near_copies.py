@@ -1,6 +1,7 @@
 """One of each group of near copies: documents that share at least 0.8 of their five-word pieces.
 
-Candidates come from SimHash over the set of pieces, 128 bits wide. Pieces that are shared to 0.8 leave about 20 of those
+Candidates come from SimHash over the set of pieces, 128 bits wide. Those that differ in at most three of the first 64 bits
+come from the hierarchical index in Gray order (simhash.py). Pieces that are shared to 0.8 leave about 20 of those
 bits different, too many for blocks that must agree; so each of 64 masks takes 16 of the bits, and documents that agree on
 any of them meet in a bucket. With more documents masks take more bits, and there are more masks, so that buckets stay small
 and as many pairs meet. There documents stand in Gray order and those at most 40 bits apart are candidates. Each pair is
@@ -8,10 +9,16 @@ confirmed on the texts. Of simulated pairs that share just 0.8, 94 % meet; of th
 
 A large group of near copies has too many pairs to confirm all. So a row is first linked to the nearest few before it in each
 bucket. Buckets where that left any candidate out are gone through once more, in blocks of bounded size, all rows against all:
-what is left there of pairs whose rows no confirmed links join yet is confirmed too. So no link that matters is lost. Most of
+what is left there of pairs whose rows no confirmed links join yet is confirmed too. Most of
 those candidates aren't near copies. Counts of a text's pieces by BINS bins of their hash tell so for sure: the counts of two
 texts differ by no more than the pieces that just one of them has, so where they differ by more than near copies may, the pair
 needs no look at the texts. (They tell much of texts of some hundred words, little of those of some thousand.)
+
+Last comes an exact pass for what fingerprints don't tell: near copies that no mask brings together. In an order of all pieces,
+two sets that share LEAST_SHARED have one in common among the first of each, as many as may be missing and one more: their
+marks. So rows meet by marks, again only where no confirmed links join them yet, and all pairs that their counts and the
+number of marks in common don't rule out are confirmed. Pieces stand in the order of their hash, but those that are marks of many rows come last: then a passage
+of many texts is a mark only where little else is. Which pieces these are changes the work, not the groups.
 """
 
 from __future__ import annotations
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lumengrid.operators.components import components
 
-from .common import id_or_last, keep, map_texts
-from .simhash import SEED, gray_rank
+from .common import id_or_last, keep, map_texts, small
+from .simhash import SEED, gray_rank, near_links
 
 WORDS, LEAST_SHARED = 5, 0.8
 BITS, FAR_BITS = 128, 40
@@ -39,6 +46,15 @@ NEAREST, ALL_PAIRS, WINDOW = 4, 1024, 256
 BLOCK, PASSED_ON = 2048, 1 << 18
 #: Bins of the counts of pieces; a count stops at 255, which can only make a difference smaller.
 BINS = 128
+#: Rows of which a piece is a mark above which it comes last in the order, and how many such pieces there are at most.
+OFTEN, MOST_OFTEN = 256, 1 << 16
+#: Marks in common that are sent to all tasks, at most.
+SMALL_ROWS = 1 << 20
+#: Texts whose marks are sent to all tasks, at most.
+FEW_TEXTS = 10_000
+#: Rows of groups that are gone through at once.
+AT_ONCE = 4096
+NONE = np.empty(0, np.uint64)
 
 
 def masks(n: int) -> np.ndarray:
@@ -63,11 +79,39 @@ def shared(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
+def digests_of(text: str | None) -> bytes:
+    """The digests of a text's pieces, sorted."""
+    return b"".join(sorted({xxhash.xxh128_digest(s, SEED) for s in shingles(text)}))
+
+
+def marks(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Of a set's hashes, sorted, the first in an order that has those of often last: any set that shares LEAST_SHARED with it has one of them."""
+    if len(often):
+        last = np.isin(hashes, often)
+        hashes = np.concatenate([hashes[~last], hashes[last]])
+    return hashes[: len(hashes) - int(unmarked(len(hashes)))]
+
+
+def unmarked(size: np.ndarray | int) -> np.ndarray:
+    """How many pieces of sets of these sizes are no marks."""
+    return np.maximum(np.ceil(LEAST_SHARED * np.asarray(size) - 1e-6).astype(np.int64) - 1, 0)
+
+
+def least_marks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Marks that near copies of these sizes have in common at least: where the marks of one end, only its other pieces can still be shared."""
+    return np.ceil((x + y) * (LEAST_SHARED / (1 + LEAST_SHARED)) - 1e-6).astype(np.int64) - np.maximum(unmarked(x), unmarked(y))
+
+
+def piece_hashes(digests: bytes) -> np.ndarray:
+    """64 bits of each digest, in their order."""
+    return np.frombuffer(digests, ">u8")[::2].astype(np.uint64)
+
+
 def sketch(texts: list) -> dict:
-    """node, a hash of the set of pieces, its fingerprint's halves, its size and its counts by bins."""
-    node, halves, sizes, counts = [], np.zeros((len(texts), 2), "<u8"), np.zeros(len(texts), np.int64), []
+    """node, a hash of the set of pieces, its fingerprint's halves, its size, its counts by bins and its marks by the order of hashes."""
+    node, halves, sizes, counts, first = [], np.zeros((len(texts), 2), "<u8"), np.zeros(len(texts), np.int64), [], []
     for i, text in enumerate(texts):
-        digests = b"".join(sorted({xxhash.xxh128_digest(s, SEED) for s in shingles(text)}))
+        digests = digests_of(text)
         node.append(xxhash.xxh64_intdigest(digests, SEED))
         hashes = np.frombuffer(digests, np.uint8).reshape(-1, BITS // 8)
         set_bits = np.zeros(BITS, np.int64)
@@ -76,10 +120,11 @@ def sketch(texts: list) -> dict:
         halves[i] = np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")
         sizes[i] = len(hashes)
         counts.append(np.minimum(np.bincount(hashes[:, 0] % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
-    return {"node": np.array(node, np.uint64).view(np.int64), "high": halves[:, 0].copy().view(np.int64), "low": halves[:, 1].copy().view(np.int64), "size": sizes, "counts": counts}
+        first.append(marks(piece_hashes(digests), NONE).tobytes())
+    return {"node": np.array(node, np.uint64).view(np.int64), "high": halves[:, 0].copy().view(np.int64), "low": halves[:, 1].copy().view(np.int64), "size": sizes, "counts": counts, "marks": first}
 
 
-def may_share(size: np.ndarray, counts: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+def may_share(size: np.ndarray, counts: np.ndarray, i: int | np.ndarray, j: np.ndarray) -> np.ndarray:
     """Where sets j may share LEAST_SHARED with set i: of both, d pieces are in just one, and d is at least what the counts differ by.
 
     The union has half of (sizes of both + d) pieces, of which d may be 1 - LEAST_SHARED at the most.
@@ -132,30 +177,37 @@ def _near(bucket: np.ndarray, node: np.ndarray, high: np.ndarray, low: np.ndarra
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks (bucket, one, two, block, node, high, low, root, size, counts; sorted by the first three).
+    """Pairs of blocks (bucket, one, two, block, node, high, low, root, size, counts; sorted by the first three), with the marks that they must share.
 
     They are near by their fingerprints, not ruled out by their counts and of different roots.
     """
 
-    def solved(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        one, two, block, node, high, low, root, size, counts = rows
+    def solved(groups: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(g[0]) for g in groups]
+        one, two, block, node, high, low, root, size, counts = (np.concatenate(x) for x in zip(*groups, strict=True))
         high, low, found, total = high.view(np.uint64), low.view(np.uint64), [], 0
         counts = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, BINS)
-        whole = one[0] == two[0]
-        for i in range(len(node) - 1):
-            j = np.arange(i + 1, len(node))
-            j = j[(root[j] != root[i]) & (whole | (block[j] != block[i]))]
-            j = j[np.bitwise_count(high[j] ^ high[i]).astype(np.int16) + np.bitwise_count(low[j] ^ low[i]) <= FAR_BITS]
-            j = j[may_share(size, counts, i, j)]
-            found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
-            total += len(j)
+        pairs = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["a", "b", "least"])
+        end, i, d = np.repeat(np.cumsum(sizes), sizes), np.arange(len(node)), 0
+        while True:
+            d += 1
+            i = i[i + d < end[i]]
+            if not len(i):
+                break
+            a = i[(root[i + d] != root[i]) & ((one[i] == two[i]) | (block[i + d] != block[i]))]
+            a = a[np.abs(size[a + d] - size[a]) * (1 + LEAST_SHARED) <= (size[a + d] + size[a]) * (1 - LEAST_SHARED) + 1e-6]
+            a = a[np.bitwise_count(high[a + d] ^ high[a]).astype(np.int16) + np.bitwise_count(low[a + d] ^ low[a]) <= FAR_BITS]
+            a = a[may_share(size, counts, a, a + d)]
+            found.append((np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d]), least_marks(size[a], size[a + d])))
+            total += len(a)
             if total > PASSED_ON:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], ["a", "b"])
+                yield pairs()
                 found, total = [], 0
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], ["a", "b"])
+            yield pairs()
 
-    now, held = None, []
+    now, groups, n = None, [], 0
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [batch.column(k).to_numpy(zero_copy_only=k < 9) for k in range(10)]
         if not batch.num_rows:
@@ -168,11 +220,16 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = tuple(int(c[a]) for c in cols[:3])
             if key != now:
                 if held:
-                    yield from solved([np.concatenate(x) for x in zip(*held, strict=True)])
+                    groups.append([np.concatenate(x) for x in zip(*held, strict=True)])
+                    n += len(groups[-1][0])
+                if n >= AT_ONCE:
+                    yield from solved(groups)
+                    groups, n = [], 0
                 now, held = key, []
             held.append([c[a:z] for c in cols[1:]])
     if held:
-        yield from solved([np.concatenate(x) for x in zip(*held, strict=True)])
+        groups.append([np.concatenate(x) for x in zip(*held, strict=True)])
+        yield from solved(groups)
 
 
 def left_out(buckets: DataFrame, full: DataFrame, roots: DataFrame, block: int, counts: DataFrame) -> DataFrame:
@@ -184,7 +241,59 @@ def left_out(buckets: DataFrame, full: DataFrame, roots: DataFrame, block: int,
     sizes = again.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.countDistinct("root").alias("roots")).where("roots > 1")
     own = again.join(sizes.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "k").alias("one"), F.greatest("block", "k").alias("two"), "block", "node", "high", "low", "root")
-    return dealt.join(counts, "node").select(*dealt.columns, "size", "counts").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(_apart, "a bigint, b bigint")
+    return dealt.join(counts, "node").select(*dealt.columns, "size", "counts").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(_apart, "a bigint, b bigint, least bigint")
+
+
+def _by_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each mark of rows (node, root, marks)."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = np.array([len(m) // 8 for m in batch.column(2).to_pylist()])
+            found = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in range(2))], ["bucket", "node", "root"])
+
+
+def _with(often: np.ndarray):
+    """node and row of the rows (node, row, marks) that have one of these marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = pa.array([bool(np.isin(np.frombuffer(m, np.uint64), often).any()) for m in batch.column(2).to_pylist()], pa.bool_())
+            yield batch.select(["node", "row"]).filter(has)
+
+    return run
+
+
+def unmet(rows: DataFrame, counts: DataFrame, roots: DataFrame, block: int, often: int = OFTEN) -> DataFrame:
+    """Pairs of nodes of different roots that have enough marks in common and are not ruled out by their counts: all that may be near copies.
+
+    rows: _row, node, text, marks. counts: node, size, counts.
+    """
+
+    def shared_marks(by_mark: DataFrame) -> DataFrame:
+        n = by_mark.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        return n.where("low <> high").select("bucket", "n")
+
+    by_mark = lambda own: own.select("node", "root", "marks").mapInArrow(_by_mark, "bucket bigint, node bigint, root bigint")
+    few = lambda keys: small(keys, keys.count(), SMALL_ROWS)
+    own = rows.select("_row", "node", "marks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = keep(shared_marks(by_mark(own)), "marks")
+    last = met.where(F.col("n") > often).orderBy(F.desc("n"), "bucket").limit(MOST_OFTEN).select("bucket")
+    held = last.toArrow()["bucket"].to_numpy().view(np.uint64)
+    if len(held):
+        wanted = own.select(F.col("_row").alias("row"), "node", "marks").mapInArrow(_with(held), "node bigint, row bigint")
+        again = lambda texts: {"again": [marks(piece_hashes(digests_of(t)), held).tobytes() for t in texts]}
+        found = keep(map_texts(rows.select("_row", "text").join(wanted.select(F.col("row").alias("_row")), "_row"), again, "again binary").select("_row", "again"), "marked-again")
+        own = own.join(small(found, found.count(), FEW_TEXTS), "_row", "left").withColumn("marks", F.coalesce("again", "marks"))
+        # what rows without these marks have in common is known; what they share with the others is one of the others' marks now
+        new = keep(found.select(F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("root"), F.col("again").alias("marks")).mapInArrow(_by_mark, "bucket bigint, node bigint, root bigint").select("bucket").distinct(), "new-marks")
+        more = shared_marks(by_mark(own).join(few(new), "bucket", "left_semi"))
+        met = keep(met.join(F.broadcast(last), "bucket", "left_anti").unionByName(more).select("bucket").distinct(), "all-marks")
+    # without fingerprints, which must not rule out anything here; rows with the same pieces are one node
+    met_rows = by_mark(own).join(few(met.select("bucket")), "bucket", "left_semi").select("bucket", "node").distinct()
+    buckets = met_rows.withColumns({"high": F.lit(0).cast("bigint"), "low": F.lit(0).cast("bigint")})
+    pairs = left_out(buckets, met.select("bucket"), roots, block, counts)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
 
 
 def _pairs(nearest: int, all_pairs: int):
@@ -220,22 +329,23 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(near)
 
 
-def one_of_each(docs: DataFrame, nearest: int = NEAREST, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
+def one_of_each(docs: DataFrame, nearest: int = NEAREST, all_pairs: int = ALL_PAIRS, block: int = BLOCK, often: int = OFTEN) -> DataFrame:
     """docs without all but one row of each group of near copies, the one with the smallest doc_id.
 
     A group is what confirmed pairs connect. Rows are told apart as rows: of several with one doc_id, or with none, each
     stays or goes by its text. A null doc_id counts as larger than any other. Null, empty and blank texts are one group.
     Other columns are kept as they are, whatever their names.
-    nearest, all_pairs and block are about work only: the groups don't depend on them.
+    nearest, all_pairs, block and often are about work only: the groups don't depend on them.
     """
     own = [c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)]  # no clash with the columns made here
-    rows = keep(map_texts(docs.toDF(*own).withColumn("_row", F.monotonically_increasing_id()), sketch, "node bigint, high bigint, low bigint, size bigint, counts binary"), "sketched")
+    rows = keep(map_texts(docs.toDF(*own).withColumn("_row", F.monotonically_increasing_id()), sketch, "node bigint, high bigint, low bigint, size bigint, counts binary, marks binary"), "sketched")
     first = F.min(F.struct(id_or_last(F.col("doc_id")).alias("id"), F.col("_row").alias("row"))).alias("first")
     nodes = keep(rows.groupBy("node", "high", "low", "size", "counts").agg(first), "nodes")
     buckets = nodes.select("node", "high", "low").mapInArrow(_bucketed(masks(nodes.count())), "bucket bigint, node bigint, high bigint, low bigint")
     sorted_rows = buckets.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("high")), "low")
     found = keep(sorted_rows.mapInArrow(_pairs(nearest, all_pairs), "a bigint, b bigint, full bigint").distinct(), "pairs")
-    pairs, full = found.where("full IS NULL").select("a", "b"), found.where("full IS NOT NULL").select(F.col("full").alias("bucket"))
+    indexed = near_links(nodes.select(F.col("high").alias("fp"), "node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs, full = keep(found.where("full IS NULL").select("a", "b").unionByName(indexed).distinct(), "candidates"), found.where("full IS NOT NULL").select(F.col("full").alias("bucket"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.row").alias("_row"))
@@ -245,9 +355,17 @@ def one_of_each(docs: DataFrame, nearest: int = NEAREST, all_pairs: int = ALL_PA
 
     links = confirmed(pairs)
     roots = components(links)
+
+    def completed(more: DataFrame, links: DataFrame, roots: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Links and roots with those of more candidates."""
+        more = keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), name)
+        if more.isEmpty():
+            return links, roots
+        found = confirmed(more)
+        return (links.unionByName(found), components(links.unionByName(found))) if not found.isEmpty() else (links, roots)
+
     if not full.isEmpty():
-        more = keep(left_out(buckets, full, roots, block, nodes.select("node", "size", "counts")).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            roots = components(links.unionByName(confirmed(more)))
+        links, roots = completed(left_out(buckets, full, roots, block, nodes.select("node", "size", "counts")).select("a", "b"), links, roots, "more-pairs")
+    _, roots = completed(unmet(rows, nodes.select("node", "size", "counts"), roots, block, often), links, roots, "unmet-pairs")
     stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return rows.join(stay.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(own).toDF(*docs.columns)

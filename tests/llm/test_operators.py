@@ -587,6 +587,37 @@ def test_near_dedup_does_not_depend_on_its_limits(spark):
     assert got[4, 1024, 2048] == got[1, 8, 7] == got[200, 1024, 2048] == plain_pipeline_groups(rows)
 
 
+def test_near_dedup_loses_no_link_that_masks_dont_meet(spark, monkeypatch):
+    """Pairs that share little over 0.8, of which masks bring some 94 % together, beside a passage of many texts."""
+    from lumengrid.llm import near_copies
+
+    rng = np.random.default_rng(21)
+    passage, rows = [f"p{x}" for x in range(30)], []
+    for g in range(200):
+        w = [f"w{x}" for x in rng.integers(0, 100_000, 100)] if g % 2 else passage + [f"w{x}" for x in rng.integers(0, 100_000, 70)]
+        v = list(w)
+        for k in (40, 70):  # ten of 96 pieces
+            v[k] += "e"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), list(range(0, 400, 2))
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == want
+    monkeypatch.setattr(near_copies, "MOST_OFTEN", 3)  # of the passage's pieces, which are marks of 200 texts
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs, 1, 8, 7, often=4).collect()) == want
+
+
+def test_sets_that_share_enough_have_a_mark_in_common():
+    from lumengrid.llm import near_copies
+
+    rng = np.random.default_rng(22)
+    for _ in range(20_000):
+        both, a, b = rng.integers(0, 40), rng.integers(0, 8), rng.integers(0, 8)
+        h = rng.choice(1 << 40, both + a + b, replace=False).astype(np.uint64)
+        x, y, often = np.sort(h[: both + a]), np.sort(np.r_[h[:both], h[both + a :]]), h[rng.random(len(h)) < 0.3]
+        if len(h) and both / len(h) >= near_copies.LEAST_SHARED:
+            common = len(np.intersect1d(near_copies.marks(x, often), near_copies.marks(y, often)))
+            assert common >= max(1, near_copies.least_marks(np.array([len(x)]), np.array([len(y)]))[0])
+
+
 def test_near_dedup_keeps_columns_of_any_name(spark):
     from lumengrid.llm import near_copies
 
