@@ -17,8 +17,12 @@ needs no look at the texts. (They tell much of texts of some hundred words, litt
 Last comes an exact pass for what fingerprints don't tell: near copies that no mask brings together. In an order of all pieces,
 two sets that share LEAST_SHARED have one in common among the first of each, as many as may be missing and one more: their
 marks. So rows meet by marks, again only where no confirmed links join them yet, and all pairs that their counts and the
-number of marks in common don't rule out are confirmed. Pieces stand in the order of their hash, but those that are marks of many rows come last: then a passage
-of many texts is a mark only where little else is. Which pieces these are changes the work, not the groups.
+number of marks in common don't rule out are confirmed. Pieces stand in the order of their hash, but those of many texts come
+last: then a passage of many texts is a mark only where little else is. Which pieces these are is told from a sample, as
+it changes the work, not the groups.
+
+Texts are by far the widest column. They are read where they stand, in the table of rows, by a map of the rows that are
+wanted, a bit for each; only those of pairs to confirm are shuffled.
 """
 
 from __future__ import annotations
@@ -46,12 +50,12 @@ NEAREST, ALL_PAIRS, WINDOW = 4, 1024, 256
 BLOCK, PASSED_ON = 2048, 1 << 18
 #: Bins of the counts of pieces; a count stops at 255, which can only make a difference smaller.
 BINS = 128
-#: Rows of which a piece is a mark above which it comes last in the order, and how many such pieces there are at most.
+#: Texts that a piece is in above which it comes last in the order, and how many such pieces there are at most.
 OFTEN, MOST_OFTEN = 256, 1 << 16
-#: Marks in common that are sent to all tasks, at most.
+#: They are told from one text in so many, but from so many texts at least.
+ONE_IN, LEAST_TEXTS = 16, 8192
+#: Marks in common, full buckets, roots and numbers of the map of wanted rows that are sent to all tasks, at most.
 SMALL_ROWS = 1 << 20
-#: Texts whose marks are sent to all tasks, at most.
-FEW_TEXTS = 10_000
 #: Rows of groups that are gone through at once.
 AT_ONCE = 4096
 NONE = np.empty(0, np.uint64)
@@ -85,9 +89,9 @@ def digests_of(text: str | None) -> bytes:
 
 
 def marks(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """Of a set's hashes, sorted, the first in an order that has those of often last: any set that shares LEAST_SHARED with it has one of them."""
+    """Of a set's hashes, sorted, the first in an order that has those of often (sorted) last: any set that shares LEAST_SHARED with it has one of them."""
     if len(often):
-        last = np.isin(hashes, often)
+        last = often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
         hashes = np.concatenate([hashes[~last], hashes[last]])
     return hashes[: len(hashes) - int(unmarked(len(hashes)))]
 
@@ -107,8 +111,8 @@ def piece_hashes(digests: bytes) -> np.ndarray:
     return np.frombuffer(digests, ">u8")[::2].astype(np.uint64)
 
 
-def sketch(texts: list) -> dict:
-    """node, a hash of the set of pieces, its fingerprint's halves, its size, its counts by bins and its marks by the order of hashes."""
+def sketch(texts: list, often: np.ndarray = NONE) -> dict:
+    """node, a hash of the set of pieces, its fingerprint's halves, its size, its counts by bins and its marks, with those of often last."""
     node, halves, sizes, counts, first = [], np.zeros((len(texts), 2), "<u8"), np.zeros(len(texts), np.int64), [], []
     for i, text in enumerate(texts):
         digests = digests_of(text)
@@ -120,7 +124,7 @@ def sketch(texts: list) -> dict:
         halves[i] = np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")
         sizes[i] = len(hashes)
         counts.append(np.minimum(np.bincount(hashes[:, 0] % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
-        first.append(marks(piece_hashes(digests), NONE).tobytes())
+        first.append(marks(piece_hashes(digests), often).tobytes())
     return {"node": np.array(node, np.uint64).view(np.int64), "high": halves[:, 0].copy().view(np.int64), "low": halves[:, 1].copy().view(np.int64), "size": sizes, "counts": counts, "marks": first}
 
 
@@ -133,6 +137,29 @@ def may_share(size: np.ndarray, counts: np.ndarray, i: int | np.ndarray, j: np.n
     return d * (1 + LEAST_SHARED) <= (size[j] + size[i]) * (1 - LEAST_SHARED) + 1e-6
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of the pieces of each text."""
+    for batch in batches:
+        for text in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(piece_hashes(digests_of(text.as_py())).view(np.int64))], ["piece"])
+
+
+def often_met(docs: DataFrame, often: int) -> np.ndarray:
+    """Pieces of more than about so many differing texts, the most frequent ones, sorted; told from one text in ONE_IN, by a hash of the text."""
+    share = max(1 / ONE_IN, min(1.0, LEAST_TEXTS / max(1, docs.count())))
+    chosen = F.pmod(F.xxhash64(F.lit("often"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)
+    texts = docs.select("text").where(F.col("text").isNotNull() & chosen).distinct()
+    met = texts.mapInArrow(_pieces, "piece bigint").groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") > often * share)
+    return np.sort(met.orderBy(F.desc("n"), "piece").limit(MOST_OFTEN).toArrow()["piece"].to_numpy().view(np.uint64))
+
+
+def wanted_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose _row is in wanted (_row). These are sent to all tasks as a number for each 64 rows, so that rows aren't shuffled."""
+    numbers = keep(wanted.groupBy(F.shiftright("_row", 6).alias("_of")).agg(F.expr("bit_or(shiftleft(1L, CAST(_row & 63 AS INT)))").alias("_bits")), "wanted")
+    found = rows.withColumn("_of", F.shiftright("_row", 6)).join(small(numbers, numbers.count(), SMALL_ROWS), "_of")
+    return found.where("getbit(_bits, CAST(_row & 63 AS INT)) = 1").select(rows.columns)
+
+
 def _bucketed(places_of: np.ndarray):
     """Each node (node, high, low) in a bucket for every mask."""
 
@@ -237,7 +264,7 @@ def left_out(buckets: DataFrame, full: DataFrame, roots: DataFrame, block: int,
 
     counts (node, size, counts) tells for sure which of them can't be near copies.
     """
-    again = buckets.join(full, "bucket", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = buckets.join(full, "bucket", "left_semi").join(small(roots, roots.count(), SMALL_ROWS), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = again.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.countDistinct("root").alias("roots")).where("roots > 1")
     own = again.join(sizes.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "k").alias("one"), F.greatest("block", "k").alias("two"), "block", "node", "high", "low", "root")
@@ -253,46 +280,19 @@ def _by_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in range(2))], ["bucket", "node", "root"])
 
 
-def _with(often: np.ndarray):
-    """node and row of the rows (node, row, marks) that have one of these marks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            has = pa.array([bool(np.isin(np.frombuffer(m, np.uint64), often).any()) for m in batch.column(2).to_pylist()], pa.bool_())
-            yield batch.select(["node", "row"]).filter(has)
-
-    return run
-
-
-def unmet(rows: DataFrame, counts: DataFrame, roots: DataFrame, block: int, often: int = OFTEN) -> DataFrame:
+def unmet(rows: DataFrame, nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """Pairs of nodes of different roots that have enough marks in common and are not ruled out by their counts: all that may be near copies.
 
-    rows: _row, node, text, marks. counts: node, size, counts.
+    rows: _row, node, marks. nodes: node, size, counts, first (with the row that stands for the node).
     """
-
-    def shared_marks(by_mark: DataFrame) -> DataFrame:
-        n = by_mark.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        return n.where("low <> high").select("bucket", "n")
-
-    by_mark = lambda own: own.select("node", "root", "marks").mapInArrow(_by_mark, "bucket bigint, node bigint, root bigint")
-    few = lambda keys: small(keys, keys.count(), SMALL_ROWS)
-    own = rows.select("_row", "node", "marks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = keep(shared_marks(by_mark(own)), "marks")
-    last = met.where(F.col("n") > often).orderBy(F.desc("n"), "bucket").limit(MOST_OFTEN).select("bucket")
-    held = last.toArrow()["bucket"].to_numpy().view(np.uint64)
-    if len(held):
-        wanted = own.select(F.col("_row").alias("row"), "node", "marks").mapInArrow(_with(held), "node bigint, row bigint")
-        again = lambda texts: {"again": [marks(piece_hashes(digests_of(t)), held).tobytes() for t in texts]}
-        found = keep(map_texts(rows.select("_row", "text").join(wanted.select(F.col("row").alias("_row")), "_row"), again, "again binary").select("_row", "again"), "marked-again")
-        own = own.join(small(found, found.count(), FEW_TEXTS), "_row", "left").withColumn("marks", F.coalesce("again", "marks"))
-        # what rows without these marks have in common is known; what they share with the others is one of the others' marks now
-        new = keep(found.select(F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("root"), F.col("again").alias("marks")).mapInArrow(_by_mark, "bucket bigint, node bigint, root bigint").select("bucket").distinct(), "new-marks")
-        more = shared_marks(by_mark(own).join(few(new), "bucket", "left_semi"))
-        met = keep(met.join(F.broadcast(last), "bucket", "left_anti").unionByName(more).select("bucket").distinct(), "all-marks")
-    # without fingerprints, which must not rule out anything here; rows with the same pieces are one node
-    met_rows = by_mark(own).join(few(met.select("bucket")), "bucket", "left_semi").select("bucket", "node").distinct()
-    buckets = met_rows.withColumns({"high": F.lit(0).cast("bigint"), "low": F.lit(0).cast("bigint")})
-    pairs = left_out(buckets, met.select("bucket"), roots, block, counts)
+    # rows with the same pieces are one node
+    own = wanted_of(rows.select("_row", "node", "marks"), nodes.select(F.col("first.row").alias("_row"))).join(small(roots, roots.count(), SMALL_ROWS), "node", "left")
+    by_mark = own.select("node", F.coalesce("root", "node").alias("root"), "marks").mapInArrow(_by_mark, "bucket bigint, node bigint, root bigint")
+    met = by_mark.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    met = keep(met.select("bucket"), "marks")
+    # without fingerprints, which must not rule out anything here
+    buckets = by_mark.select("bucket", "node", F.lit(0).cast("bigint").alias("high"), F.lit(0).cast("bigint").alias("low"))
+    pairs = left_out(buckets, small(met, met.count(), SMALL_ROWS), roots, block, nodes.select("node", "size", "counts"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
 
 
@@ -329,6 +329,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(near)
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of the pairs (a, b, size and counts of a, size and counts of b) that their counts don't rule out."""
+    for batch in batches:
+        if batch.num_rows:
+            size = np.concatenate([batch.column(k).to_numpy() for k in (2, 4)])
+            counts = np.frombuffer(b"".join(batch.column(3).to_pylist() + batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
+            i = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(may_share(size, counts, i, i + batch.num_rows)))
+
+
 def one_of_each(docs: DataFrame, nearest: int = NEAREST, all_pairs: int = ALL_PAIRS, block: int = BLOCK, often: int = OFTEN) -> DataFrame:
     """docs without all but one row of each group of near copies, the one with the smallest doc_id.
 
@@ -338,18 +348,23 @@ def one_of_each(docs: DataFrame, nearest: int = NEAREST, all_pairs: int = ALL_PA
     nearest, all_pairs, block and often are about work only: the groups don't depend on them.
     """
     own = [c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)]  # no clash with the columns made here
-    rows = keep(map_texts(docs.toDF(*own).withColumn("_row", F.monotonically_increasing_id()), sketch, "node bigint, high bigint, low bigint, size bigint, counts binary, marks binary"), "sketched")
+    docs_of = docs.toDF(*own)
+    last = often_met(docs_of, often)
+    rows = keep(map_texts(docs_of.withColumn("_row", F.monotonically_increasing_id()), lambda texts: sketch(texts, last), "node bigint, high bigint, low bigint, size bigint, counts binary, marks binary"), "sketched")
     first = F.min(F.struct(id_or_last(F.col("doc_id")).alias("id"), F.col("_row").alias("row"))).alias("first")
     nodes = keep(rows.groupBy("node", "high", "low", "size", "counts").agg(first), "nodes")
     buckets = nodes.select("node", "high", "low").mapInArrow(_bucketed(masks(nodes.count())), "bucket bigint, node bigint, high bigint, low bigint")
     sorted_rows = buckets.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("high")), "low")
     found = keep(sorted_rows.mapInArrow(_pairs(nearest, all_pairs), "a bigint, b bigint, full bigint").distinct(), "pairs")
     indexed = near_links(nodes.select(F.col("high").alias("fp"), "node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs, full = keep(found.where("full IS NULL").select("a", "b").unionByName(indexed).distinct(), "candidates"), found.where("full IS NOT NULL").select(F.col("full").alias("bucket"))
+    full = found.where("full IS NOT NULL").select(F.col("full").alias("bucket"))
+    sketched = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("counts").alias(f"counts_{k}"))
+    near = found.where("full IS NULL").select("a", "b").unionByName(indexed).distinct().join(sketched("a"), "a").join(sketched("b"), "b")
+    pairs = keep(near.select("a", "b", "size_a", "counts_a", "size_b", "counts_b").mapInArrow(_possible, "a bigint, b bigint"), "candidates")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.row").alias("_row"))
-        texts = keep(rows.select("_row", "text").join(wanted, "_row").select("node", "text"), "texts")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(F.col("first.row").alias("_row"))
+        texts = keep(wanted_of(rows.select("_row", "node", "text"), wanted).select("node", "text"), "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return keep(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a bigint, b bigint"), "confirmed")
 
@@ -364,8 +379,8 @@ def one_of_each(docs: DataFrame, nearest: int = NEAREST, all_pairs: int = ALL_PA
         found = confirmed(more)
         return (links.unionByName(found), components(links.unionByName(found))) if not found.isEmpty() else (links, roots)
 
-    if not full.isEmpty():
-        links, roots = completed(left_out(buckets, full, roots, block, nodes.select("node", "size", "counts")).select("a", "b"), links, roots, "more-pairs")
-    _, roots = completed(unmet(rows, nodes.select("node", "size", "counts"), roots, block, often), links, roots, "unmet-pairs")
+    if n_full := full.count():
+        links, roots = completed(left_out(buckets, small(full, n_full, SMALL_ROWS), roots, block, nodes.select("node", "size", "counts")).select("a", "b"), links, roots, "more-pairs")
+    _, roots = completed(unmet(rows, nodes, roots, block), links, roots, "unmet-pairs")
     stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(stay.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(own).toDF(*docs.columns)
+    return wanted_of(rows, stay.select(F.col("first.row").alias("_row"))).select(own).toDF(*docs.columns)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import types
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lumengrid.llm import common, decontaminate, language, line_dedup, mixing, mixing_lm, quality, quality_rules, registry, secrets, simhash, toxicity
@@ -605,6 +607,47 @@ def test_near_dedup_loses_no_link_that_masks_dont_meet(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs, 1, 8, 7, often=4).collect()) == want
 
 
+def test_near_dedup_shuffles_texts_of_pairs_to_confirm_only(spark, monkeypatch):
+    """400 texts of random words, a few of them near copies: most texts stay where they are, and so less is shuffled than they take."""
+    from lumengrid.llm import near_copies
+
+    rng = np.random.default_rng(23)
+    rows = [(i, " ".join(rng.integers(0, 1 << 60, 1500).astype("U"))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(3)] + [(2000, None), (2001, "")]
+    docs = near_copies.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "docs")
+    monkeypatch.setattr(near_copies, "LEAST_TEXTS", 16, raising=False)  # of a sample, which is shuffled
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        time.sleep(1)
+        before = written()
+        assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == [*range(400), 2000]
+        time.sleep(1)  # figures of the last tasks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written() - before < 0.5 * sum(len(t or "") for _, t in rows)
+
+
+def test_wanted_rows_are_found_by_their_bits(spark):
+    from lumengrid.llm import near_copies
+
+    ids = [*range(200), *range((3 << 33) + 60, (3 << 33) + 70)]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "_row long, text string")
+    for some in ([], [0], [63, 64, 127, 128], ids[::3], ids):
+        got = near_copies.wanted_of(rows, spark.createDataFrame([(i,) for i in some], "_row long")).collect()
+        assert sorted(map(tuple, got)) == [(i, f"t{i}") for i in some]
+
+
+def test_pieces_of_many_texts_are_told(spark):
+    from lumengrid.llm import near_copies
+
+    passage = "a passage that many texts have here"  # three pieces
+    docs = spark.createDataFrame([(i, f"{passage} {i}") for i in range(50)] + [(100, "the same words again here and")] * 50 + [(200, None)], "doc_id long, text string")
+    want = {int.from_bytes(xxhash.xxh128_digest(s, near_copies.SEED)[:8], "big") for s in near_copies.shingles(passage)}
+    assert set(near_copies.often_met(docs, 10).tolist()) == want  # copies count once
+    assert not len(near_copies.often_met(docs.limit(0), 10))
+
+
 def test_sets_that_share_enough_have_a_mark_in_common():
     from lumengrid.llm import near_copies
 
