@@ -371,6 +371,20 @@ def test_lm_all_documents_teach_the_weights(spark):
     assert ((chances > 0) & (chances < 1)).all()
 
 
+def test_lm_kinds_come_in_the_order_of_their_places():
+    """Each kind once (or, if hashes are alike in most bits, more often), with all its bytes counted."""
+    rng = np.random.default_rng(24)
+    b, guess, trust = (rng.integers(0, k, 5000).astype(np.int64) for k in (4, 4, 3))
+    window, word = (rng.integers(0, 3, 5000).astype(np.uint64) << np.uint64(k) for k in (30, 0))
+    of, times = mixing_lm.kinds(b, window, word, guess, trust)
+    assert (np.diff(of) > 0).all() and times.sum() == 5000
+    own = lambda i: (b[i], window[i], word[i], guess[i] * (trust[i] > 0), trust[i])
+    got = Counter()
+    for i, n in zip(of, times, strict=True):
+        got[own(i)] += n
+    assert got == Counter(map(own, range(5000)))
+
+
 def test_lm_counts_beyond_24_bits():
     """Counts of common words in the tables have no limit."""
     code = mixing_lm.Code({(32 << 8) + 32: np.ones(256, np.int64)})
