@@ -385,6 +385,30 @@ def test_lm_kinds_come_in_the_order_of_their_places():
     assert got == Counter(map(own, range(5000)))
 
 
+def test_lm_words_are_counted_as_python_splits_them():
+    """Each white space, blank and long texts, either half, and counts given out in between."""
+    texts = [b"", b" \t\n\x0b\x0c\r ", b"A  b\r\n\ta \x1c \xc3\x84\xc3\xa4", b"Z" * 3000 + b" [@`{ z", b"a " * 5000] + [b"w%d  A" % (i % 40) for i in range(600)]
+    for t in texts:
+        assert mixing_lm.normal(t) == b" ".join([*t.lower().split(), mixing_lm.END_WORD])
+    halves = [i % 3 % 2 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(halves, pa.int32())], ["text", "half"])
+    for flush in (10, 1000):
+        got = [Counter(), Counter()]
+        for out in mixing_lm._counted(flush)(iter([batch])):
+            assert out.schema.names == ["word", "n", "n_second"] and out.num_rows <= max(flush, 50)
+            for w, n, k in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                got[0][w], got[1][w] = got[0][w] + n, got[1][w] + k
+        for half, of in enumerate((texts, [t for t, h in zip(texts, halves, strict=True) if h])):
+            assert +got[half] == Counter(w for t in of for w in [*t.lower().split(), mixing_lm.END_WORD])
+    assert list(mixing_lm._counted()(iter([]))) == []
+
+
+def test_lm_packs_few_bytes_of_small_counts():
+    """Counts come back as they were, up to the largest."""
+    for x in (np.zeros(50, np.int64), np.arange(300, dtype=np.int32), np.array([0, 255, 256, 1 << 40, (1 << 63) - 1])):
+        assert mixing_lm._unpacked(mixing_lm._packed(x), len(x)).tolist() == x.tolist()
+
+
 def test_lm_counts_beyond_24_bits():
     """Counts of common words in the tables have no limit."""
     code = mixing_lm.Code({(32 << 8) + 32: np.ones(256, np.int64)})
